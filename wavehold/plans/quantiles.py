@@ -47,13 +47,13 @@ def exact_quantiles(
     """One row per group with a column per entry of ``probs``.
 
     ``kind`` is ``linear`` (interpolated) or ``higher`` (order statistic). ``bounded`` says
-    the caller has proven that no group exceeds ``limit``. ``sizes`` is an optional cheaper
-    table ``(keys, n)`` used for that proof.
+    the caller has proven that no group exceeds ``limit``. ``sizes`` is an optional cheap
+    table whose ``n`` bounds every group from above; it saves counting ``df`` itself.
     """
-    if bounded:
+    over = F.col("n") > limit
+    if bounded or (sizes is not None and sizes.where(over).isEmpty()):
         return _plain(df, keys, value, probs, kind)
-    counts = sizes if sizes is not None else df.groupBy(*keys).agg(F.count(value).alias("n"))
-    hot = counts.where(F.col("n") > limit).select(*keys)
+    hot = df.groupBy(*keys).agg(F.count(value).alias("n")).where(over).select(*keys)
     if hot.isEmpty():
         return _plain(df, keys, value, probs, kind)
     if not keys:
