@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..operators import audits as ops, fit, metrics as m, probe, selection, splits, windows as wo
 from ..plans.ranking import id_block
+from ..session import cut
 from ..sources import views as v
 from .base import W, W10, query, u, with_
 from .fitting import RIDGE, halves
@@ -80,7 +81,8 @@ def recording_halves(spark, sf):
     half = lambda a: F.expr(f"aggregate(slice(x, {a}, 32), 0.0D, (t, z) -> t + cast(z as double)) / 32")
     w = v.windows(spark, sf).withColumn("values", F.array(half(1), half(33)))
     r = fit.recording_mean_features(w, [])
-    return r.select("recording_id", "domain", F.col("label").cast("int").alias("label"), "values", F.substring("domain", 2, 9).cast("int").alias("cls"))
+    r = r.select("recording_id", "domain", F.col("label").cast("int").alias("label"), "values", F.substring("domain", 2, 9).cast("int").alias("cls"))
+    return cut(r)  # one row per recording, read by every permutation
 
 
 BLOCK = F.substring("recording_id", 1, 3)
@@ -105,7 +107,7 @@ def perm_sql(src, key, draws, seed, label, out):
  SELECT label, count(*) AS permutations, round(list_sort(list(accuracy))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1], 6) AS threshold FROM ac GROUP BY label""")
 def _(spark, sf):
     p = ops.permuted_classes(recording_halves(spark, sf), ["label"], 40, 24024)
-    a = ops.probe_accuracy(p, ["label", "draw"], BLOCK)
+    a = cut(ops.probe_accuracy(p, ["label", "draw"], BLOCK))
     q = ops.null_quantile(a, ["label"], "accuracy")
     n = a.groupBy("label").agg(F.count("*").alias("permutations"))
     return q.join(n, "label").select("label", "permutations", *r6("threshold"))
@@ -124,7 +126,7 @@ def macro_sql(src, key, out):
 
 def fold_recordings(spark, sf):
     roles = splits.split_roles(v.recordings(spark, sf), ["d0", "d1", "d2"]).select("fold_id", "role", "recording_id")
-    return recording_halves(spark, sf).drop("cls").withColumnRenamed("label", "cls").join(roles, "recording_id")
+    return cut(recording_halves(spark, sf).drop("cls").withColumnRenamed("label", "cls").join(roles, "recording_id"))
 
 
 def shuffled_f1(fit_rows, eval_rows, keys):
@@ -148,7 +150,7 @@ def _(spark, sf):
     fit_rows = fit_rows.withColumn("f", F.substring("fold_id", 2, 9).cast("int"))
     copies = ops.permuted_classes(fit_rows, ["f"], 40, 24023)
     draws = F.explode(F.sequence(F.lit(0), F.lit(39)))
-    null = shuffled_f1(copies, eval_rows.withColumn("draw", draws), ["fold_id", "draw"])
+    null = cut(shuffled_f1(copies, eval_rows.withColumn("draw", draws), ["fold_id", "draw"]))
     real = shuffled_f1(fit_rows, eval_rows, ["fold_id"])
     q = ops.null_quantile(null, ["fold_id"], "macro_f1").withColumnRenamed("threshold", "shuffle_q95")
     above = null.withColumnRenamed("macro_f1", "f1").join(real, "fold_id").groupBy("fold_id").agg(
@@ -170,7 +172,7 @@ def _(spark, sf):
         return s.groupBy(*keys).agg(F.avg((m.argmax("probs") == F.col("cls")).cast("double")).alias("accuracy"))
 
     copies = ops.permuted_classes(fit_rows, ["fold_id"], 40, 24023)
-    null = accuracy(copies, eval_rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39)))), ["fold_id", "draw"])
+    null = cut(accuracy(copies, eval_rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39)))), ["fold_id", "draw"]))
     real = accuracy(fit_rows, eval_rows, ["fold_id"])
     q = ops.null_quantile(null, ["fold_id"], "accuracy")
     status = F.when(F.col("accuracy").isNull(), "not_applicable").when(F.col("accuracy") <= F.col("threshold"), "passed").otherwise("failed")

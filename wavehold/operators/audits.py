@@ -10,6 +10,7 @@ from ..functions import kernels as k
 from ..functions.rng import hash_order
 from ..plans.quantiles import exact_quantiles
 from ..plans.ranking import blocked_lead, blocked_row_number, hash_block
+from ..session import cut
 from . import probe
 from .fit import mean_vectors
 from .metrics import argmax, single
@@ -62,7 +63,8 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.999) -> DataFrame:
     same = prints.groupBy(F.sha2(F.to_json(F.struct("unit")), 256).alias("fp")).agg(
         F.first("unit").alias("unit"), F.min("recording_id").alias("recording_id"),
         F.collect_set("role").alias("roles"), F.count("*").alias("members"))
-    light = same.select("fp", "recording_id", "roles", F.array(*[axis(j + 1) for j in range(PROJECTIONS)]).alias("p"))
+    same = cut(same.withColumn("p", F.array(*[axis(j + 1) for j in range(PROJECTIONS)])))
+    light = same.select("fp", "recording_id", "roles", "p")
     cell = F.transform(F.slice("p", 1, CELL_AXES), lambda z: F.floor(z / d))
     salt = F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")
     left = light.select(F.col("fp").alias("lf"), F.col("recording_id").alias("lr"), F.col("roles").alias("lo"), F.col("p").alias("lp"), cell.alias("cell"), salt.alias("salt"))

@@ -10,6 +10,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from ..session import cut
 from .fit import source_only
 
 FLUSH = 32 << 20  # doubles held by one task before partial sums are emitted
@@ -109,6 +110,7 @@ def _softmax(logits):
 
 def score_ridge(features: DataFrame, model: DataFrame, keys: list[str], keep: list[str], classes: int) -> DataFrame:
     """Class probabilities per row. Weights are sent to executors only under a checked size."""
+    model = cut(model)
     size = model.agg(F.sum(F.size("weights").cast("long")).alias("s")).first()["s"] or 0
     if size <= BROADCAST:
         return _score_sent(features, model, keys, keep, classes)
