@@ -233,3 +233,14 @@ def midranks(values: DataFrame, keys: list[str], value: str, out: str = "midrank
     t = blocked_running_sum(t, keys, [value], value_block(F.col(value)), {"_upto": F.col("_at")})
     t = t.select(*keys, value, (F.col("_upto") - F.col("_at") + (F.col("_at") + 1) / 2.0).alias(out))
     return values.join(t, [*keys, value])
+
+
+def weighted_average_precision(scored: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """Average precision of a resample given as counts; equal scores rank negatives first."""
+    t = _score_totals(scored, keys, "score", weight).withColumn("_down", -F.col("score"))
+    t = blocked_running_sum(
+        t, keys, ["_down"], value_block(F.col("_down")), {"n_upto": F.col("n_at"), "pos_upto": F.col("pos_at")})
+    before = (F.col("pos_upto") - F.col("pos_at"), F.col("n_upto") - F.col("pos_at"))
+    t = t.where("pos_at > 0").withColumn("_p", before[0]).withColumn("_n", before[1])
+    inside = F.expr("aggregate(sequence(1L, pos_at), 0.0D, (t, j) -> t + (_p + j) / (_n + j))")
+    return t.groupBy(*keys).agg((F.sum(inside) / F.sum("pos_at")).alias("auprc"))
