@@ -313,6 +313,14 @@ def _(spark, sf):
     return bk.nested_bootstrap(bank_rows(spark, sf), 20, SEED, ["d0", "d1", "d2"], ID)
 
 
-@query("freedman_lane")
+@query("freedman_lane", with_(BANK + matrix_sql("bank", [], "mx") + """, r0 AS (SELECT *, source_f1 - held_f1 AS dg FROM mx), r1 AS (SELECT fold, config, """ + ", ".join(f"rank() OVER (PARTITION BY fold ORDER BY {c}) + (count(*) OVER (PARTITION BY fold, {c}) - 1) / 2.0 - 6.5 AS {o}" for c, o in (("source_f1", "c"), ("instability", "z"), ("dg", "y"))) + """ FROM r0),
+ r2 AS (SELECT fold, config, c, z - sum(c * z) OVER q / sum(c * c) OVER q * c AS z, y - sum(c * y) OVER q / sum(c * c) OVER q * c AS y FROM r1 WINDOW q AS (PARTITION BY fold)),
+ pm AS (SELECT draw, config, row_number() OVER (PARTITION BY draw ORDER BY config) AS pos, row_number() OVER (PARTITION BY draw ORDER BY sha256(concat_ws('|', 24021, draw, config))) AS src FROM range(12) a(config), range(199) b(draw)),
+ mv AS (SELECT a.draw, a.config, b.config AS source FROM pm a JOIN pm b ON a.draw = b.draw AND a.pos = b.src UNION ALL SELECT -1, config, config FROM range(12) a(config)),
+ sm AS (SELECT draw, t.fold, sum(s.y * t.z) AS yz, sum(t.z * t.z) AS zz, sum(s.y * s.y) - sum(s.y) * sum(s.y) / 12 - pow(sum(t.c * s.y), 2) / sum(t.c * t.c) AS yy FROM mv JOIN r2 t ON t.config = mv.config JOIN r2 s ON s.fold = t.fold AND s.config = mv.source GROUP BY ALL),
+ v AS (SELECT draw, avg(yz / sqrt(yy * zz)) AS v FROM sm GROUP BY draw), e AS (SELECT v AS e FROM v WHERE draw = -1)
+ SELECT round(max(e), 6) AS estimate, count(*) AS permutations, 'ok' AS status, round((1 + count(*) FILTER (WHERE v >= e - 1e-12)) / (count(*) + 1), 6) AS tail_fraction FROM v, e WHERE draw >= 0"""))
 def _(spark, sf):
-    return bk.freedman_lane(bk.bank_matrix(bank_rows(spark, sf), []), 999, 24021)
+    """Diagnostic only."""
+    f = bk.freedman_lane(bk.bank_matrix(bank_rows(spark, sf), []), 199, 24021)
+    return f.select(*r6("estimate"), "permutations", "status", *r6("tail_fraction"))

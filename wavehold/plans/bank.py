@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from ..functions.rng import hash_order
 from ..operators import metrics as m
+from ..session import cut
 from . import resampling as rs
 
 ETA = 1e-10
@@ -120,36 +120,35 @@ def nested_bootstrap(rows: DataFrame, draws: int, seed: int, folds: list[str], b
 def freedman_lane(bank: DataFrame, permutations: int, seed: int) -> DataFrame:
     """Diagnostic tail fraction: one permutation of the configs shared by all domains per draw.
 
-    Not an inferential p-value. The bank (domains x a dozen configs) is the only thing sent
-    to the draws, which are spread over the cluster.
+    Not an inferential p-value. A permuted residual is no longer orthogonal to the control,
+    which is projected out again; the observed instability residual already is, which leaves plain
+    sums per (draw, domain).
     """
     d = bank.withColumn("degradation", F.col("source_f1") - F.col("held_f1"))
     r = rank_residuals(d, ["fold"], ["instability", "degradation"], ["source_f1"])
     r = r.withColumn("_c", small_midrank(["fold"], "source_f1"))
-    rows = r.select("fold", "config", "residual_instability", "residual_degradation", "_c").toPandas().sort_values(["fold", "config"])
-    shape = (rows["fold"].nunique(), -1)
-    z = rows["residual_instability"].to_numpy().reshape(shape)
-    y = rows["residual_degradation"].to_numpy().reshape(shape)
-    c = rows["_c"].to_numpy(float).reshape(shape)
-    c = c - c.mean(axis=1, keepdims=True)
-    unit = c / np.maximum(np.linalg.norm(c, axis=1, keepdims=True), ETA)
-
-    def correlate(a):
-        a = a - a.mean(axis=1, keepdims=True)
-        a = a - unit * (a * unit).sum(axis=1, keepdims=True)
-        norm = np.linalg.norm(a, axis=1) * np.linalg.norm(z, axis=1)
-        bad = (np.linalg.norm(a, axis=1) <= ETA) | (np.linalg.norm(z, axis=1) <= ETA)
-        return np.where(bad, np.nan, (a * z).sum(axis=1) / np.where(bad, 1.0, norm)).mean()
-
-    observed = correlate(y)
-
-    def run(frames):
-        for pdf in frames:
-            v = [correlate(y[:, np.random.default_rng([seed, int(b)]).permutation(y.shape[1])]) for b in pdf["id"]]
-            yield pd.DataFrame({"v": v})
-
-    drawn = bank.sparkSession.range(permutations).mapInPandas(run, "v double")
+    r = r.withColumn("_c", F.col("_c") - F.avg("_c").over(Window.partitionBy("fold")))
+    r = cut(r.select("fold", "config", F.col("residual_instability").alias("z"), F.col("residual_degradation").alias("y"), "_c"))
+    draws = r.select("config").distinct().withColumn("draw", F.explode(F.sequence(F.lit(-1), F.lit(permutations - 1))))
+    w = Window.partitionBy("draw")  # one bank of configs per draw
+    order = hash_order(F.lit(seed), F.col("draw"), F.col("config"))
+    draws = draws.withColumn("_to", F.row_number().over(w.orderBy("config")))
+    shuffled = F.row_number().over(w.orderBy(order))
+    draws = draws.withColumn("_from", F.when(F.col("draw") < 0, F.col("_to")).otherwise(shuffled))
+    moved = draws.select("draw", F.col("_to").alias("_k"), F.col("config").alias("config")).join(
+        draws.select("draw", F.col("_from").alias("_k"), F.col("config").alias("_source")), ["draw", "_k"])
+    d = moved.join(r.drop("y"), "config").join(r.select("fold", F.col("config").alias("_source"), "y"), ["fold", "_source"])
+    s = d.groupBy("draw", "fold").agg(
+        F.sum(F.col("y") * F.col("z")).alias("yz"), F.sum(F.col("z") * F.col("z")).alias("zz"), F.sum(F.col("y") * F.col("y")).alias("yy"),
+        F.sum("y").alias("sy"), F.sum(F.col("_c") * F.col("y")).alias("cy"), F.sum(F.col("_c") * F.col("_c")).alias("cc"), F.count("*").alias("n"))
+    span = F.when(F.col("cc") > ETA, F.col("cy") * F.col("cy") / F.col("cc")).otherwise(0.0)
+    norm = F.sqrt(F.greatest(F.col("yy") - F.col("sy") * F.col("sy") / F.col("n") - span, F.lit(0.0)))
+    ok = (norm > ETA) & (F.sqrt("zz") > ETA)
+    s = s.withColumn("v", F.when(ok, F.col("yz") / (norm * F.sqrt("zz"))))
+    per = cut(s.groupBy("draw").agg(F.when(F.count("v") == F.count("*"), F.avg("v")).alias("v")))
+    observed = per.where("draw = -1").select("v")
+    drawn = per.where("draw >= 0").withColumn("e", observed.scalar())
     return drawn.agg(
-        F.lit(float(observed)).alias("estimate"), F.count("*").alias("permutations"),
-        F.when(F.bool_or(F.isnan("v")) | F.isnan(F.lit(float(observed))), "blocked").otherwise("ok").alias("status"),
-        ((1 + F.count_if(F.col("v") >= observed - 1e-12)) / (F.count("*") + 1)).alias("tail_fraction"))
+        F.max("e").alias("estimate"), F.count("*").alias("permutations"),
+        F.when((F.count("v") < F.count("*")) | F.max("e").isNull(), "blocked").otherwise("ok").alias("status"),
+        ((1 + F.count_if(F.col("v") >= F.col("e") - 1e-12)) / (F.count("*") + 1)).alias("tail_fraction"))
