@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import fit, metrics as m, perturb as pt, selection as ops, splits
+from ..session import cut
 from ..sources import views as v
 from .base import OBJ, RP, W, query, with_
 from .metrics import SEEDF1, seed_f1
@@ -146,3 +147,31 @@ def _(spark, sf):
     named = [(k, c) for k, c in enumerate(_CANDS) if not c.startswith("selection") and c not in ("active_minus_E", "active_minus_S")]
     cands = base.select("fold_id", F.explode(F.array(*[F.struct(F.lit(c).alias("candidate_id"), F.col(f"c{k}").alias("value")) for k, c in named])).alias("c")).select("fold_id", "c.*")
     return ops.ablation_bank(base.select("fold_id", "scalar", "pareto"), cands, base.select("fold_id", "value")).withColumn("value", F.round("value", 6))
+
+
+def bank_for_short_windows():
+    from ..operators import transforms as tr
+    return tr.selection_bank(cyclic=(1, 2, 3), bins=(2, 4, 8), frame=16, hop=8)
+
+
+def fold_objectives(spark, sf):
+    """Objectives of the 25 candidates on complex windows of 32 samples."""
+    from ..plans import source_selection as ss
+    folds = ["d0", "d1", "d2"]
+    w = cut(v.iq_windows(spark, sf, starts=True).select("vec_id", "recording_id", "domain", "cls", "start", "i", "q"))
+    roles = cut(splits.split_roles(v.recordings(spark, sf), folds))
+    configs = bank_for_short_windows()
+    lat = spark.createDataFrame([(c.stable_id, float(c.bins * len(c.families)), True) for c in configs], "config_id string, latency_ms double, measurement_valid boolean")
+    return ss.objectives(w, roles, configs, folds, lat, 2)
+
+
+@query("source_objectives")
+def _(spark, sf):
+    o = fold_objectives(spark, sf)
+    return o.select("fold_id", "stable_id", *r6("macro_f1", "sensitivity"), "bytes_per_sample", "macs", "latency_ms", "feasible")
+
+
+@query("source_selection")
+def _(spark, sf):
+    from ..plans import source_selection as ss
+    return ss.choose(fold_objectives(spark, sf))

@@ -38,11 +38,11 @@ def _(spark, sf):
 
 
 @query("stream_energy", with_(S) + """, rf AS (SELECT domain, avg(v * v) AS reference FROM s GROUP BY domain), x AS (SELECT recording_id, s.domain, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 12 AS start, avg(v * v) AS power FROM s GROUP BY ALL)
-  SELECT recording_id, x.domain, start, round(power, 4) AS power, round(ln(1 + power / reference), 6) AS energy FROM x JOIN rf USING (domain)""")
+  SELECT recording_id, x.domain, start, round(ln(1 + power / reference), 6) AS energy FROM x JOIN rf USING (domain)""")
 def _(spark, sf):
     ref = v.samples(spark, sf, position=False).groupBy("domain").agg(F.avg(F.col("v") * F.col("v")).alias("reference"))
     d = jobs.drain(jobs.energy_windows(events(spark, sf), ref, "12 hours", "1 day"), ["recording_id", "domain", "start", "end"], "energy")
-    return d.select("recording_id", "domain", hours("start"), F.round("power", 4).alias("power"), *r6("energy"))
+    return d.select("recording_id", "domain", hours("start"), *r6("energy"))
 
 
 @query("stream_session", with_(S) + """, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY recording_id ORDER BY ts, event_id) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS b FROM s),

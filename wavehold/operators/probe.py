@@ -17,9 +17,18 @@ FLUSH = 32 << 20  # doubles held by one task before partial sums are emitted
 BROADCAST = 32 << 20  # doubles of weights that may be sent to every executor
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1)
+class _Vectors:
+    """Feature vectors of a batch; rows of one key share a length, keys may differ."""
+
+    def __init__(self, column: pa.Array):
+        self.flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        self.start = np.asarray(column.offsets) - column.offsets[0].as_py()
+
+    def take(self, rows) -> np.ndarray:
+        sizes = self.start[rows + 1] - self.start[rows]
+        if (sizes != sizes[0]).any():
+            raise ValueError("feature vectors of one key differ in length")
+        return self.flat[self.start[rows][:, None] + np.arange(sizes[0])]
 
 
 def _groups(batch: pa.RecordBatch, keys: list[str]):
@@ -55,10 +64,10 @@ def gram_rows(features: DataFrame, keys: list[str], classes: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(batch.schema.names.index("values")))
+            x = _Vectors(batch.column(batch.schema.names.index("values")))
             y = batch.column(batch.schema.names.index("cls")).to_numpy(zero_copy_only=False).astype(int)
             for key, rows in _groups(batch, keys):
-                z = np.column_stack([x[rows], np.ones(len(rows))])
+                z = np.column_stack([x.take(rows), np.ones(len(rows))])
                 part = z.T @ np.column_stack([z, np.eye(classes)[y[rows]]])
                 if key in held:
                     held[key] += part
@@ -129,13 +138,13 @@ def _score_sent(features, model, keys, keep, classes):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column(batch.schema.names.index("values")))
-            probs = np.full((len(x), classes), np.nan)
-            known = np.zeros(len(x), dtype=bool)
+            x = _Vectors(batch.column(batch.schema.names.index("values")))
+            probs = np.full((batch.num_rows, classes), np.nan)
+            known = np.zeros(batch.num_rows, dtype=bool)
             for key, rows in _groups(batch, keys):
                 if key in sent.value:
                     mean, scale, weights = sent.value[key]
-                    z = (x[rows] - mean) / scale
+                    z = (x.take(rows) - mean) / scale
                     probs[rows] = _softmax(z @ weights[:-1] + weights[-1])
                     known[rows] = True
             columns = [batch.column(batch.schema.names.index(name)) for name in names]

@@ -133,24 +133,28 @@ class Config:
         return {family: keys[family] for family in self.families}
 
 
-def selection_bank(**common) -> list[Config]:
+def selection_bank(cyclic=(4, 8, 16), bins=(8, 16, 32), **common) -> list[Config]:
     """The 25 candidates that compete in source selection."""
-    masks = [Config(name, fam, **common) for name, fam in (("W", "W"), ("C", "C"), ("W+C", "WC"), ("W+C+E", "WCE"), ("W+C+E+S", "WCES"))]
-    wavelets = [Config(f"wst_J{j}Q{q}", "W", j=j, q=q, **common) for j in (3, 4, 5) for q in (1, 2, 4)]
-    cyclic = [Config(f"cyclic_A{a}", "C", cyclic=a, **common) for a in (4, 8, 16)]
-    cyclic.append(Config("cyclic_permuted", "C", permuted=True, **common))
-    norms = [Config(f"norm_{n}", normalization=n, **common) for n in ("percentile", "zscore", "none")]
-    sizes = [Config(f"resolution_{b}", bins=b, **common) for b in (8, 16, 32)]
-    return [*masks, *wavelets, *cyclic, *norms, *sizes, Config("STFT", "S", **common)]
-
-
-def fixed_bank(**common) -> list[Config]:
+    base = dict(cyclic=cyclic[1], bins=bins[1], **common)
+    make = lambda name, families="WC", **own: Config(name, families, **{**base, **own})
+    masks = [make(n, f) for n, f in (("W", "W"), ("C", "C"), ("W+C", "WC"), ("W+C+E", "WCE"), ("W+C+E+S", "WCES"))]
+    wavelets = [make(f"wst_J{j}Q{q}", "W", j=j, q=q) for j in (3, 4, 5) for q in (1, 2, 4)]
+    cyclics = [make(f"cyclic_A{a}", "C", cyclic=a) for a in cyclic]
+    cyclics.append(make("cyclic_permuted", "C", permuted=True))
+    norms = [make(f"norm_{n}", normalization=n) for n in ("percentile", "zscore", "none")]
+    sizes = [make(f"resolution_{b}", bins=b) for b in bins]
+    return [*masks, *wavelets, *cyclics, *norms, *sizes, make("STFT", "S")]
+
+
+def fixed_bank(cyclic=(4, 8, 16), bins=(8, 16, 32), **common) -> list[Config]:
     """The 12 fixed members used for the instability / degradation question."""
-    classical = [Config("raw_iq", "IQ", **common), Config("log_stft", "S", **common), Config("cwt", "V", **common)]
-    wavelets = [Config(f"wst_J{j}Q2", "W", j=j, **common) for j in (3, 4, 5)]
-    cyclic = [Config(f"cyclic_A{a}", "C", cyclic=a, **common) for a in (4, 8, 16)]
-    sizes = [Config(f"wst_cyclic_resolution_{b}", bins=b, **common) for b in (8, 16, 32)]
-    return [*classical, *wavelets, *cyclic, *sizes]
+    base = dict(cyclic=cyclic[1], bins=bins[1], **common)
+    make = lambda name, families="WC", **own: Config(name, families, **{**base, **own})
+    classical = [make("raw_iq", "IQ"), make("log_stft", "S"), make("cwt", "V")]
+    wavelets = [make(f"wst_J{j}Q2", "W", j=j) for j in (3, 4, 5)]
+    cyclics = [make(f"cyclic_A{a}", "C", cyclic=a) for a in cyclic]
+    sizes = [make(f"wst_cyclic_resolution_{b}", bins=b) for b in bins]
+    return [*classical, *wavelets, *cyclics, *sizes]
 
 
 def raw_key(key: tuple) -> str:
