@@ -12,7 +12,6 @@ def load():
     """(queries, sql) of every subject, imported once."""
     from . import base
 
-    from importlib.util import find_spec
     for subject in SUBJECTS:
-        if find_spec(f"{__name__}.{subject}"): import_module(f"{__name__}.{subject}")
+        import_module(f"{__name__}.{subject}")
     return dict(base.QUERIES), dict(base.SQL)

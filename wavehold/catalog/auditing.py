@@ -2,14 +2,14 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import audits as ops, fit, metrics as m, probe, selection, splits, windows as wo
+from ..operators import audits as ops, fit, metrics as m, probe, selection, windows as wo
 from ..plans.ranking import id_block
 from ..session import cut
 from ..sources import views as v
 from .base import W, W10, query, u, with_
 from .fitting import RIDGE, halves
 from .framing import FR, HOP, framed
-from .splits import ROLES
+from .splits import ROLES, fold_plan
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
@@ -85,13 +85,14 @@ def recording_halves(spark, sf):
     return cut(r)  # one row per recording, read by every permutation
 
 
-BLOCK = F.substring("recording_id", 1, 3)
+def block():
+    return F.substring("recording_id", 1, 3)
 
 
 @query("domain_probe", with_(RF) + ", p0 AS (SELECT cls AS k, recording_id, a, b, CAST(substr(domain, 2) AS INTEGER) AS y FROM rf)" + _SPLIT.format(o="p1", s="p0") + ridge2_sql("p1", "k", 3, 0.05, "pr")
        + " SELECT k AS label, round(avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END), 6) AS accuracy FROM pr GROUP BY k")
 def _(spark, sf):
-    return ops.probe_accuracy(recording_halves(spark, sf), ["label"], BLOCK).select("label", *r6("accuracy"))
+    return ops.probe_accuracy(recording_halves(spark, sf), ["label"], block()).select("label", *r6("accuracy"))
 
 
 def perm_sql(src, key, draws, seed, label, out):
@@ -107,7 +108,7 @@ def perm_sql(src, key, draws, seed, label, out):
  SELECT label, count(*) AS permutations, round(list_sort(list(accuracy))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1], 6) AS threshold FROM ac GROUP BY label""")
 def _(spark, sf):
     p = ops.permuted_classes(recording_halves(spark, sf), ["label"], 40, 24024)
-    a = cut(ops.probe_accuracy(p, ["label", "draw"], BLOCK))
+    a = cut(ops.probe_accuracy(p, ["label", "draw"], block()))
     q = ops.null_quantile(a, ["label"], "accuracy")
     n = a.groupBy("label").agg(F.count("*").alias("permutations"))
     return q.join(n, "label").select("label", "permutations", *r6("threshold"))
@@ -125,7 +126,7 @@ def macro_sql(src, key, out):
 
 
 def fold_recordings(spark, sf):
-    roles = splits.split_roles(v.recordings(spark, sf), ["d0", "d1", "d2"]).select("fold_id", "role", "recording_id")
+    roles = fold_plan(spark, sf).drop("n_windows")
     return cut(recording_halves(spark, sf).drop("cls").withColumnRenamed("label", "cls").join(roles, "recording_id"))
 
 

@@ -2,27 +2,24 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import costs, fit, metrics as m, probe, splits, transforms as tr
-from ..plans.quantiles import exact_quantiles
+from ..operators import costs, fit, metrics as m, probe, transforms as tr
 from ..sources import views as v
 from .base import W, WP, query, with_
-from .splits import FOLDS, ROLES
+from .splits import FOLDS, ROLES, fold_plan
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
 
-def role_windows(spark, sf, values="x"):
+def role_windows(spark, sf, plan=None):
     """Windows fanned out to folds with their role; the vector itself is the feature map."""
-    roles = splits.split_roles(v.recordings(spark, sf), FOLDS).select("fold_id", "role", "recording_id")
-    w = v.windows(spark, sf).select("vec_id", "recording_id", "domain", "label", "cls", F.col(values).alias("values"))
-    return w.join(roles, "recording_id")
+    plan = fold_plan(spark, sf) if plan is None else plan
+    w = v.windows(spark, sf).select("vec_id", "recording_id", "domain", "label", "cls", F.col("x").alias("values"))
+    return w.join(plan.drop("n_windows"), "recording_id")
 
 
-def coefficient_sizes(spark, sf):
-    """Cheap bound for the quantile fits: coefficients per fold from recording counts."""
-    roles = splits.split_roles(v.recordings(spark, sf), FOLDS).where("role = 'source_fit'")
-    n = v.recordings(spark, sf).select("recording_id", "n_windows")
-    return roles.join(n, "recording_id").groupBy("fold_id").agg((F.sum("n_windows") * 64).alias("n"))
+def coefficient_sizes(plan):
+    """Cheap bound for the quantile fits: coefficients per fold from the split plan."""
+    return plan.where("role = 'source_fit'").groupBy("fold_id").agg((F.sum("n_windows") * 64).alias("n"))
 
 
 RW = ROLES + """, rw AS (SELECT r.fold_id, r.role, w.* FROM w JOIN roles r ON r.recording_id = w.recording_id),
@@ -32,17 +29,18 @@ pn AS (SELECT fold_id, quantile_cont(z, 0.01) AS offs, greatest(quantile_cont(z,
 
 @query("fit_percentile", with_(RW) + "SELECT fold_id, 'percentile' AS mode, round(offs, 6) AS offs, round(scale, 6) AS scale FROM pn")
 def _(spark, sf):
-    n = fit.fit_percentile(role_windows(spark, sf), ["fold_id"], coefficient_sizes(spark, sf))
+    plan = fold_plan(spark, sf)
+    n = fit.fit_percentile(role_windows(spark, sf, plan), ["fold_id"], coefficient_sizes(plan))
     return n.select("fold_id", "mode", F.round("offset", 6).alias("offs"), *r6("scale"))
 
 
-@query("fit_percentile_all_values", """SELECT event_type, quantile_cont(value, 0.01) AS low, quantile_cont(value, 0.5) AS mid, quantile_cont(value, 0.99) AS high FROM events GROUP BY event_type""")
+@query("fit_percentile_all_values", """SELECT event_type, round(quantile_cont(value, 0.01), 6) AS low, round(quantile_cont(value, 0.5), 6) AS mid, round(quantile_cont(value, 0.99), 6) AS high FROM events GROUP BY event_type""")
 def _(spark, sf):
     """Same quantiles by interval refinement, the path taken by groups over the buffer limit."""
     from ..plans.quantiles import refine_quantiles
     e = v.table(spark, sf, "events").select("event_type", "value")
     q = refine_quantiles(e, ["event_type"], "value", {"low": 0.01, "mid": 0.5, "high": 0.99}, "linear", limit=64)
-    return q.select("event_type", "low", "mid", "high")
+    return q.select("event_type", *r6("low", "mid", "high"))
 
 
 @query("fit_zscore", with_(RW) + """SELECT fold_id, 'zscore' AS mode, round(avg(z), 6) AS offs, round(greatest(stddev_pop(z), 1e-8), 6) AS scale FROM cf GROUP BY fold_id
@@ -58,8 +56,9 @@ NORM = RW + """, nw AS (SELECT rw.fold_id, role, vec_id, recording_id, domain, l
 
 
 def normalized(spark, sf):
-    rw = role_windows(spark, sf)
-    n = fit.fit_percentile(rw, ["fold_id"], coefficient_sizes(spark, sf))
+    plan = fold_plan(spark, sf)
+    rw = role_windows(spark, sf, plan)
+    n = fit.fit_percentile(rw, ["fold_id"], coefficient_sizes(plan))
     return fit.apply_normalizer(rw, n, ["fold_id"])
 
 
@@ -89,9 +88,8 @@ def held_predictions(spark, sf):
 @query("held_domain_macro_f1", with_(MEANS) + """SELECT fold_id, round(avg(2.0 * (tp / greatest(named, 1)) * (tp / greatest(sup, 1)) / greatest(tp / greatest(named, 1) + tp / greatest(sup, 1), 1e-12)), 6) AS macro_f1,
   CAST(sum(sup) AS BIGINT) AS recordings FROM cl GROUP BY fold_id""")
 def held_domain_macro_f1(spark, sf):
-    cells = m.cells(held_predictions(spark, sf), ["fold_id"])
-    n = cells.groupBy("fold_id").agg(F.sum("n").alias("recordings"))
-    return m.macro_f1(cells, ["fold_id"]).join(n, "fold_id").select("fold_id", *r6("macro_f1"), "recordings")
+    scores = m.class_scores(m.cells(held_predictions(spark, sf), ["fold_id"]), ["fold_id"])
+    return scores.groupBy("fold_id").agg(F.round(F.avg("f1"), 6).alias("macro_f1"), F.sum("support").alias("recordings"))
 
 
 @query("nearest_mean_probs", with_(MEANS) + "SELECT fold_id, recording_id, truth, pred, round(p0, 6) AS p0 FROM np2")
@@ -99,11 +97,10 @@ def _(spark, sf):
     return held_predictions(spark, sf).select("fold_id", "recording_id", "truth", "pred", F.round(F.col("probs")[0], 6).alias("p0"))
 
 
-def energy_maps(spark, sf):
+def energy_maps(spark, sf, plan):
     """Frame powers per window with roles."""
     w = v.iq_windows(spark, sf).select("vec_id", "recording_id", tr.frame_energy("i", "q", 8, 4).alias("values"))
-    roles = splits.split_roles(v.recordings(spark, sf), FOLDS).select("fold_id", "role", "recording_id")
-    return w.join(roles, "recording_id")
+    return w.join(plan.drop("n_windows"), "recording_id")
 
 
 _EN = ROLES + """, il AS (SELECT vec_id, recording_id, n, i[n + 1]::DOUBLE AS re, q[n + 1]::DOUBLE AS im FROM w, range(32) z(n)),
@@ -113,20 +110,22 @@ _EN = ROLES + """, il AS (SELECT vec_id, recording_id, n, i[n + 1]::DOUBLE AS re
  er AS (SELECT fold_id, greatest(median(m), 1e-8) AS reference FROM rm GROUP BY fold_id)"""
 
 
-def recording_sizes(spark, sf):
-    return v.recordings(spark, sf).select(F.col("n_windows").alias("n"))
+def recording_sizes(plan):
+    return plan.select(F.col("n_windows").alias("n"))
 
 
 @query("energy_reference", with_(_EN) + "SELECT fold_id, round(reference, 8) AS reference FROM er")
 def _(spark, sf):
-    return fit.energy_reference(energy_maps(spark, sf), ["fold_id"], recording_sizes(spark, sf)).select("fold_id", F.round("reference", 8).alias("reference"))
+    plan = fold_plan(spark, sf)
+    return fit.energy_reference(energy_maps(spark, sf, plan), ["fold_id"], recording_sizes(plan)).select("fold_id", F.round("reference", 8).alias("reference"))
 
 
 @query("normalize_energy", with_(_EN) + """SELECT e.fold_id, vec_id, round(avg(CAST(ln(1 + greatest(val, 0) / reference) AS FLOAT)::DOUBLE), 5) AS mean_energy
   FROM le JOIN roles r ON r.recording_id = le.recording_id JOIN er e ON e.fold_id = r.fold_id GROUP BY e.fold_id, vec_id""")
 def _(spark, sf):
-    e = energy_maps(spark, sf)
-    ref = fit.energy_reference(e, ["fold_id"], recording_sizes(spark, sf))
+    plan = fold_plan(spark, sf)
+    e = energy_maps(spark, sf, plan)
+    ref = fit.energy_reference(e, ["fold_id"], recording_sizes(plan))
     d = fit.normalize_energy(e, ref, ["fold_id"])
     return d.select("fold_id", "vec_id", F.round(fit.array_sum("cast(z as double)") / F.size("values"), 5).alias("mean_energy"))
 
@@ -144,8 +143,7 @@ _GREEDY = """, g AS (SELECT fold_id, 0::BIGINT AS k, []::BIGINT[] AS fs, []::INT
 
 
 def peaks(spark, sf):
-    roles = splits.split_roles(v.recordings(spark, sf), FOLDS)
-    return fit.cyclic_scores(v.windows(spark, sf), roles, i="x", q=None)
+    return fit.cyclic_scores(v.windows(spark, sf), fold_plan(spark, sf), i="x", q=None)
 
 
 @query("cyclic_bin_scores", with_(_CY) + "SELECT fold_id, CAST(f AS INTEGER) AS bin, round(score, 6) AS score, peak FROM pk")
@@ -171,8 +169,7 @@ def channels(spark, sf):
     """Two channels of each window (I and Q) with roles."""
     w = v.iq_windows(spark, sf).select("vec_id", "recording_id", F.explode(F.array(
         F.struct(F.lit(0).alias("channel"), F.col("i").alias("values")), F.struct(F.lit(1).alias("channel"), F.col("q").alias("values")))).alias("c"))
-    roles = splits.split_roles(v.recordings(spark, sf), FOLDS).select("fold_id", "role", "recording_id")
-    return w.select("vec_id", "recording_id", "c.*").join(roles, "recording_id")
+    return w.select("vec_id", "recording_id", "c.*").join(fold_plan(spark, sf).drop("n_windows"), "recording_id")
 
 
 _CH = ROLES + """, ch AS (SELECT fold_id, role, vec_id, 0 AS channel, unnest(i)::DOUBLE AS z FROM w JOIN roles USING (recording_id)

@@ -42,7 +42,7 @@ def _(spark, sf):
     return ops.respect_continuity(framed(spark, sf), 32).select("recording_id", "start")
 
 
-@query("first_window_per_recording", with_(W) + """SELECT recording_id, domain, label, vec_id, start, round(x[1], 6) AS x0
+@query("first_window_per_recording", with_(W) + """SELECT recording_id, domain, label, vec_id, start, round(x[1]::DOUBLE, 6) AS x0
   FROM w QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY start) = 1""")
 def _(spark, sf):
     first = ops.first_window(v.windows(spark, sf, starts=True), KEYS, ["start", "vec_id", "x"])

@@ -170,7 +170,8 @@ def _(spark, sf):
     return rs.bootstrap_contrast(cut(p), ["fold", "domain", "truth"], B, SEED).select(*r6("estimate", "raw_p"))
 
 
-ID = F.substring("recording_id", 1, 3)
+def by_id():
+    return F.substring("recording_id", 1, 3)
 _INS = DISP + """, mx AS (SELECT domain, recording_id, max(med) FILTER (WHERE family = 'I') AS l, max(med) FILTER (WHERE family = 'Q') AS r FROM fm GROUP BY ALL), df AS (SELECT domain, recording_id, r - l AS diff FROM mx)"""
 
 
@@ -186,7 +187,7 @@ def instability_gaps(spark, sf):
   SELECT round(max(e), 6) AS estimate, round((1 + count(*) FILTER (WHERE v - e >= e + 0.01 - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dv, ob""")
 def _(spark, sf):
     g = instability_gaps(spark, sf)
-    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED, ID).groupBy("draw").agg(F.avg("v").alias("v"))
+    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED, by_id()).groupBy("draw").agg(F.avg("v").alias("v"))
     e = g.groupBy("domain").agg(F.avg("diff").alias("v")).agg(F.avg("v").alias("e"))
     d = d.withColumn("e", e.scalar())
     p = rs.centered_p(d, [], "v", "e", null=-0.01)
@@ -197,7 +198,7 @@ def _(spark, sf):
   SELECT domain, round((1 + count(*) FILTER (WHERE v - e >= e - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dd2 JOIN ob USING (domain) GROUP BY domain""")
 def _(spark, sf):
     g = instability_gaps(spark, sf)
-    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED, ID)
+    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED, by_id())
     return rs.centered_p(d.join(g.groupBy("domain").agg(F.avg("diff").alias("e")), "domain"), ["domain"], "v", "e").select("domain", *r6("raw_p"))
 
 
@@ -304,13 +305,13 @@ _PICK = ", rl AS (SELECT DISTINCT fold, side, domain, truth, recording_id FROM b
   CASE WHEN vf >= 0.95 AND e IS NOT NULL THEN round(lo, 6) END AS low, CASE WHEN vf >= 0.95 AND e IS NOT NULL THEN round(hi, 6) END AS high FROM sm""")
 def _(spark, sf):
     rows = bank_rows(spark, sf)
-    h = bk.hierarchical_bootstrap(rows, bank_costs(rows), 20, SEED, ID)
+    h = bk.hierarchical_bootstrap(rows, bank_costs(rows), 20, SEED, by_id())
     return h.select("status", *r6("estimate"), "valid_fraction", *r6("raw_p", "low", "high"))
 
 
 @query("nested_bootstrap")
 def _(spark, sf):
-    return bk.nested_bootstrap(bank_rows(spark, sf), 20, SEED, ["d0", "d1", "d2"], ID)
+    return bk.nested_bootstrap(bank_rows(spark, sf), 20, SEED, ["d0", "d1", "d2"], by_id())
 
 
 @query("freedman_lane", with_(BANK + matrix_sql("bank", [], "mx") + """, r0 AS (SELECT *, source_f1 - held_f1 AS dg FROM mx), r1 AS (SELECT fold, config, """ + ", ".join(f"rank() OVER (PARTITION BY fold ORDER BY {c}) + (count(*) OVER (PARTITION BY fold, {c}) - 1) / 2.0 - 6.5 AS {o}" for c, o in (("source_f1", "c"), ("instability", "z"), ("dg", "y"))) + """ FROM r0),

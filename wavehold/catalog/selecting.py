@@ -2,11 +2,12 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import fit, metrics as m, perturb as pt, selection as ops, splits
+from ..operators import perturb as pt, selection as ops
 from ..session import cut
 from ..sources import views as v
 from .base import OBJ, RP, W, query, with_
 from .metrics import SEEDF1, seed_f1
+from .splits import fold_plan
 from .perturbation import DETERMINISTIC, PT, iq_families
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
@@ -159,7 +160,7 @@ def fold_objectives(spark, sf):
     from ..plans import source_selection as ss
     folds = ["d0", "d1", "d2"]
     w = cut(v.iq_windows(spark, sf, starts=True).select("vec_id", "recording_id", "domain", "cls", "start", "i", "q"))
-    roles = cut(splits.split_roles(v.recordings(spark, sf), folds))
+    roles = fold_plan(spark, sf)
     configs = bank_for_short_windows()
     lat = spark.createDataFrame([(c.stable_id, float(c.bins * len(c.families)), True) for c in configs], "config_id string, latency_ms double, measurement_valid boolean")
     return ss.objectives(w, roles, configs, folds, lat, 2)

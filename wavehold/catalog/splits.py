@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import splits as ops
+from ..session import cut
 from ..sources import views as v
 from .base import REC, query, with_
 
@@ -29,6 +30,11 @@ def roles(spark, sf):
     return ops.split_roles(v.recordings(spark, sf), FOLDS)
 
 
+def fold_plan(spark, sf):
+    """The split plan as a table of its own: recordings only, read by every later stage."""
+    return cut(roles(spark, sf).select("fold_id", "role", "recording_id", "n_windows"))
+
+
 @query("leave_one_domain_out", with_(ROLES) + """SELECT fold_id, domain, CASE WHEN role = 'held_target' THEN 'held_target' ELSE 'source' END AS side,
   count(*) AS recordings FROM roles GROUP BY ALL""")
 def _(spark, sf):
@@ -38,7 +44,7 @@ def _(spark, sf):
 
 @query("assign_source_roles", with_(ROLES) + "SELECT fold_id, role, recording_id, group_id, domain, label FROM roles")
 def _(spark, sf):
-    return roles(spark, sf)
+    return roles(spark, sf).select("fold_id", "role", "recording_id", "group_id", "domain", "label")
 
 
 @query("assign_roles_long_signals", with_(USERS) + """, k AS (SELECT *, row_number() OVER (PARTITION BY domain, label ORDER BY sha256(concat_ws('|', 24021, group_id)), group_id) AS k FROM us)

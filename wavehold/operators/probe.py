@@ -156,7 +156,8 @@ def _score_sent(features, model, keys, keep, classes):
 
 def _score_joined(features, model, keys, keep, classes):
     names = list(dict.fromkeys([*keys, *keep]))
-    d = features.join(model, keys) if keys else features.crossJoin(model)
+    one = model.select(F.struct("mean", "scale", "weights").alias("_m"))
+    d = features.join(model, keys) if keys else features.withColumn("_m", one.scalar()).select("*", "_m.*")
     d = d.withColumn("_z", F.expr("zip_with(zip_with(values, mean, (a, b) -> a - b), scale, (a, s) -> a / s)"))
     logits = F.expr(
         f"transform(sequence(0, {classes - 1}), c -> aggregate(transform(_z, (a, p) -> a * weights[p * {classes} + c]), 0.0D, (t, a) -> t + a)"

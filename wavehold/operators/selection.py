@@ -130,31 +130,51 @@ def _minimal(points: np.ndarray) -> np.ndarray:
     return np.array(kept, dtype=int)
 
 
+def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Drop what this set of rows already settles.
+
+    ``rival`` marks rows that may still beat others: the minimal ones, since whatever a row
+    beats is also beaten by a row below it everywhere. ``alive`` marks rows not beaten yet.
+    """
+    p = pdf[list(OBJECTIVES)].to_numpy(float)
+    rivals = np.flatnonzero(pdf["rival"].to_numpy(bool))
+    rivals = rivals[_minimal(p[rivals])] if len(rivals) else rivals
+    rival = np.zeros(len(p), dtype=bool)
+    rival[rivals] = True
+    alive = pdf["alive"].to_numpy(bool).copy()
+    own = np.flatnonzero(alive)
+    alive[own] = ~_beaten(p[own], p[rivals])
+    out = pdf.assign(alive=alive, rival=rival)
+    return out[alive | rival]
+
+
 def pareto_front(records: DataFrame, keys: list[str], blocks: int = BLOCKS) -> DataFrame:
     """Non-dominated feasible rows per group, without a pairwise join of the table.
 
-    Hash blocks of a group are thinned separately: a row beaten inside its block is gone, and
-    only rows minimal in their block can beat anything that the block's other rows beat. The
-    few survivors are then compared block by block, each block meeting the minimal rows of
-    all blocks.
+    Arrow batches are thinned where they are read, so the shuffle carries little more than
+    local fronts. Hash blocks of a group are thinned again, and the survivors of each block
+    meet the minimal rows of all blocks. Every stage is exact for the tolerance rule, which is
+    not transitive by itself.
     """
+    if not repeated_ids(records, keys).isEmpty():
+        raise ValueError("Pareto ids must be unique")
     d = minimised(records).select(*keys, "stable_id", *[F.col(o).cast("double").alias(o) for o in OBJECTIVES])
-    d = d.withColumn("_block", F.pmod(F.xxhash64("stable_id"), F.lit(blocks)).cast("int"))
     types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.schema.fields)
-
-    def thin(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["stable_id"].duplicated().any():
-            raise ValueError("Pareto ids must be unique")
-        p = pdf[list(OBJECTIVES)].to_numpy(float)
-        rival = np.zeros(len(p), dtype=bool)
-        rival[_minimal(p)] = True
-        alive = ~_beaten(p, p[rival])
-        out = pdf.assign(alive=alive, rival=rival)
-        return out[alive | rival]
-
-    local = d.groupBy(*keys, "_block").applyInPandas(thin, types + ", alive boolean, rival boolean")
+    flagged = types + ", alive boolean, rival boolean"
+
+    def local(frames):
+        for pdf in frames:
+            pdf = pdf.assign(alive=True, rival=True)
+            groups = [g for _, g in pdf.groupby(keys, sort=False, dropna=False)] if keys else [pdf]
+            for g in groups:
+                if len(g):
+                    yield _thin(g)
+
+    near = d.mapInPandas(local, flagged)
+    block = F.pmod(F.xxhash64("stable_id"), F.lit(blocks)).cast("int")
+    thinned = near.withColumn("_block", block).groupBy(*keys, "_block").applyInPandas(_thin, flagged + ", _block int")
     everywhere = F.when(F.col("rival"), F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array("_block"))
-    sent = local.withColumn("_to", F.explode(everywhere))
+    sent = thinned.withColumn("_to", F.explode(everywhere))
     sent = sent.withColumn("alive", F.col("alive") & (F.col("_to") == F.col("_block")))
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -163,8 +183,7 @@ def pareto_front(records: DataFrame, keys: list[str], blocks: int = BLOCKS) -> D
         beaten = _beaten(own[list(OBJECTIVES)].to_numpy(float), rivals[list(OBJECTIVES)].to_numpy(float))
         return own[~beaten][[*keys, "stable_id", *OBJECTIVES]]
 
-    out_types = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in d.drop("_block").schema.fields)
-    return sent.groupBy(*keys, "_to").applyInPandas(meet, out_types)
+    return sent.groupBy(*keys, "_to").applyInPandas(meet, types)
 
 
 def select_unique(records: DataFrame, keys: list[str], slack: float = 0.01) -> DataFrame:

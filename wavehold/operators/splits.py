@@ -39,12 +39,12 @@ def assign_group_roles(recordings: DataFrame, seed: int = SEED, sparse: bool = F
 
 
 def split_roles(recordings: DataFrame, folds: list[str], seed: int = SEED, sparse: bool = False) -> DataFrame:
-    """(fold_id, role, recording_id, group_id): the fold's domain is held out entirely."""
+    """One row per fold and recording with its role; the fold's domain is held out entirely."""
     roles = assign_group_roles(recordings, seed, sparse).select("domain", "group_id", "role")
     d = recordings.join(roles, ["domain", "group_id"])
     d = d.withColumn("fold_id", F.explode(F.array(*[F.lit(f) for f in folds])))
     role = F.when(F.col("domain") == F.col("fold_id"), HELD).otherwise(F.col("role"))
-    return d.select("fold_id", role.alias("role"), "recording_id", "group_id", "domain", "label")
+    return d.select("fold_id", role.alias("role"), *recordings.columns)
 
 
 def role_overlaps(members: DataFrame, keys: list[str], member: str = "recording_id") -> DataFrame:

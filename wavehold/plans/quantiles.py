@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
-LIMIT = 2_000_000
+LIMIT = 500_000
 BUCKETS = 1024
 
 

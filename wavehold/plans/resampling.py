@@ -28,6 +28,9 @@ def _slots(strata: DataFrame, draws: int) -> DataFrame:
     """(stratum row, draw, slot); long strata are cut into chunks before the second explode."""
     d = strata.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
     d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(CHUNK)))))
+    # strata are few, draws are many: spread (draw, chunk) rows before they are multiplied
+    parts = int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    d = d.repartition(parts, *[c for c in d.columns if c not in ("n", "_c")])
     last = F.least(F.col("n"), (F.col("_chunk") + 1) * CHUNK) - 1
     return d.withColumn("slot", F.explode(F.sequence(F.col("_chunk") * CHUNK, last))).drop("_chunk")
 
