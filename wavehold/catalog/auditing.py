@@ -160,7 +160,17 @@ def _(spark, sf):
     return real.join(q, "fold_id").join(above, "fold_id").select("fold_id", *r6("macro_f1", "shuffle_q95"), status.alias("status"), *r6("p_value"))
 
 
-@query("background_only_control")
+_BG = ROLES + """, rf AS (SELECT recording_id, min(domain) AS domain, min(cls) AS cls, avg(list_avg(list_transform(i, lambda z: z::DOUBLE))) AS a, avg(list_avg(list_transform(q, lambda z: z::DOUBLE))) AS b FROM w GROUP BY recording_id),
+ fr AS (SELECT fold_id AS f, role, recording_id, a, b, CAST(substr(rf.domain, 2) AS INTEGER) AS y FROM rf JOIN roles USING (recording_id) WHERE rf.cls = 0),
+ ft AS (SELECT f, recording_id, a, b, y FROM fr WHERE role IN ('source_fit', 'source_calibration'))"""
+
+
+@query("background_only_control", with_(_BG) + perm_sql("ft", "f", 40, 24023, "y", "pm")
+       + """, tr AS (SELECT concat(f, '/', draw) AS k, recording_id, a, b, y, true AS train FROM pm UNION ALL SELECT concat(f, '/real'), recording_id, a, b, y, true FROM ft
+  UNION ALL SELECT concat(f, '/', d), recording_id, a, b, y, false FROM fr, (SELECT unnest(list_append(list_transform(range(0, 40), lambda z: CAST(z AS VARCHAR)), 'real')) AS d) WHERE role = 'source_selection')"""
+       + ridge2_sql("tr", "k", 3, 0.05, "pr") + """, ac AS (SELECT k, avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END) AS accuracy FROM pr GROUP BY k),
+ nl AS (SELECT split_part(k, '/', 1) AS fold_id, list_sort(list(accuracy))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1] AS threshold FROM ac WHERE k NOT LIKE '%real' GROUP BY 1)
+ SELECT fold_id, round(accuracy, 6) AS accuracy, round(threshold, 6) AS threshold, CASE WHEN accuracy <= threshold THEN 'passed' ELSE 'failed' END AS status FROM nl JOIN ac ON ac.k = concat(fold_id, '/real')""")
 def _(spark, sf):
     """Domain probe on background recordings alone (class 0), with its permutation null."""
     rows = fold_recordings(spark, sf).where("cls = 0").withColumn("cls", F.substring("domain", 2, 9).cast("int"))

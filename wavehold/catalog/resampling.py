@@ -40,7 +40,7 @@ def _(spark, sf):
     return rs.draw_cells(c, ["condition"], ["fold", "truth"], ["pred"], B, SEED).select("condition", "fold", "draw", "truth", "pred", "m")
 
 
-@query("stratified_bootstrap_large")
+@query("stratified_bootstrap_large", with_(RP) + f"SELECT condition, fold, CAST(draw AS INTEGER) AS draw, count(*) AS recordings FROM ens, range({B}) d(draw) GROUP BY ALL")
 def _(spark, sf):
     """The multinomial path of strata above the replay limit, forced here by a low limit."""
     c = m.cells(ensemble(spark, sf), ["condition", "fold"])

@@ -108,6 +108,24 @@ def _(spark, sf):
     return ops.pareto_front(v.objectives(spark, sf), []).select("stable_id", F.round(-F.col("neg_f1"), 6).alias("macro_f1"))
 
 
+PARTS = """po AS (SELECT p_brand AS fold, l_partkey AS stable_id, round(avg(l_discount), 6) AS sensitivity, round(avg(l_tax) * 10, 6) AS macro_f1, round(avg(l_quantity), 6) AS latency_ms, CAST(any_value(p_size) AS DOUBLE) AS bytes_per_sample,
+ round(avg(l_extendedprice), 6) AS macs FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY p_brand, l_partkey)"""
+
+
+@query("pareto_front_per_group", with_(PARTS) + """SELECT fold, stable_id FROM po c WHERE NOT EXISTS (SELECT 1 FROM po o WHERE o.fold = c.fold AND o.stable_id <> c.stable_id
+  AND o.sensitivity <= c.sensitivity + 1e-12 AND -o.macro_f1 <= -c.macro_f1 + 1e-12 AND o.bytes_per_sample <= c.bytes_per_sample + 1e-12 AND o.macs <= c.macs + 1e-12 AND o.latency_ms <= c.latency_ms + 1e-12
+  AND (o.sensitivity < c.sensitivity - 1e-12 OR -o.macro_f1 < -c.macro_f1 - 1e-12 OR o.bytes_per_sample < c.bytes_per_sample - 1e-12 OR o.macs < c.macs - 1e-12 OR o.latency_ms < c.latency_ms - 1e-12))""")
+def _(spark, sf):
+    """Many candidates per group: every part competes inside its brand."""
+    p = v.table(spark, sf, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_size")
+    li = v.table(spark, sf, "lineitem").join(p, "l_partkey")
+    avg = lambda c, k=1: F.round(F.avg(c) * k, 6)
+    o = li.groupBy(F.col("p_brand").alias("fold"), F.col("l_partkey").alias("stable_id")).agg(
+        avg("l_discount").alias("sensitivity"), avg("l_tax", 10).alias("macro_f1"), avg("l_quantity").alias("latency_ms"),
+        F.first("p_size").cast("double").alias("bytes_per_sample"), avg("l_extendedprice").alias("macs"), F.lit(True).alias("feasible"))
+    return ops.pareto_front(o, ["fold"]).select("fold", "stable_id")
+
+
 @query("select_unique", with_(FRONT) + """SELECT arg_min(stable_id, (sensitivity, latency_ms, stable_id)) AS selected FROM front
   WHERE macro_f1 >= (SELECT max(macro_f1) FROM fz) - 0.01""")
 def _(spark, sf):
