@@ -28,6 +28,26 @@ def test_lead_crosses_empty_blocks(spark):
     assert d == {("a", 1): 5, ("a", 5): 900, ("a", 900): 905, ("a", 905): 5000, ("a", 5000): None, ("b", 2): None}
 
 
+def test_null_keys_form_a_group(spark):
+    df = spark.createDataFrame([(None, 1), (None, 900), ("a", 3)], "g string, id long")
+    out = {(x["g"], x["id"]): x["n"] for x in r.blocked_row_number(df, ["g"], ["id"], r.id_block("id", 100), "n").collect()}
+    assert out == {(None, 1): 1, (None, 900): 2, ("a", 3): 1}
+
+
+def test_rank_shuffles_the_rows_once(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(1000).select(F.col("id"), (F.col("id") % 3).alias("g"), F.lit("payload").alias("p"))
+        ranked = r.blocked_row_number(df, ["g"], ["id"], r.id_block("id", 10), "n")
+        plan = ranked._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    rows = [line for line in plan.splitlines() if "Exchange" in line and "p#" in line]
+    assert plan.count("Exchange hashpartitioning") <= 4 and len(rows) <= 1
+
+
 def test_value_block_never_decreases(spark):
     rng = np.random.default_rng(1)
     near = np.array([2.0**k for k in range(-40, 41)])

@@ -16,22 +16,32 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from ..functions import kernels as k
 
 
+SAMPLES = 1 << 18
+
+
 def batch_signal(batch: pa.RecordBatch, i: str = "i", q: str | None = "q"):
-    """Yield (row indexes, complex matrix) per window length in an Arrow batch."""
+    """Yield (row indexes, complex matrix) per window length in an Arrow batch.
+
+    Pieces hold at most ``SAMPLES`` samples, so a kernel's working set does not depend on the
+    session's Arrow batch size.
+    """
     names = batch.schema.names
     real = batch.column(names.index(i))
     lengths = np.asarray(real.value_lengths())
     has_q = q in names and batch.column(names.index(q)).null_count < len(batch)
     for length in np.unique(lengths):
-        rows = np.flatnonzero(lengths == length)
-        take = pa.array(rows)
-
-        def dense(column):
-            flat = batch.column(names.index(column)).take(take).flatten()
-            return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), int(length))
-
-        x = dense(i)
-        yield rows, x + 1j * dense(q) if has_q else x.astype(complex)
+        same = np.flatnonzero(lengths == length)
+        step = max(1, SAMPLES // int(length))
+        for first in range(0, len(same), step):
+            rows = same[first : first + step]
+            take = pa.array(rows)
+
+            def dense(column):
+                flat = batch.column(names.index(column)).take(take).flatten()
+                return flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(rows), int(length))
+
+            x = dense(i)
+            yield rows, x + 1j * dense(q) if has_q else x.astype(complex)
 
 
 def list_column(values: np.ndarray) -> pa.Array:

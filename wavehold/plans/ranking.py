@@ -38,75 +38,59 @@ def value_block(value: Column, steps: int = 4096) -> Column:
     return F.when(v > 0, code).when(v < 0, -code).otherwise(F.lit(0)).cast("long")
 
 
-def _totals(df: DataFrame, keys: list[str], sums: dict[str, Column], extra=()) -> DataFrame:
-    block = df.groupBy(*keys, "_block").agg(
-        *[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()], *extra
-    )
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+def _grouped(df: DataFrame, keys: list[str], block: Column) -> DataFrame:
+    """Adds the (keys, block) struct. Window, totals and rejoin all partition by this one
+    column, so the rows are shuffled once; a struct also compares equal when a key is null."""
+    return df.withColumn("_g", F.struct(*keys, block.alias("_block")))
+
+
+def _within(keys: list[str]):
+    return Window.partitionBy(*[F.col(f"_g.{k}") for k in keys]).orderBy(F.col("_g._block"))
+
+
+def _totals(df: DataFrame, keys: list[str], sums: dict[str, Column]) -> DataFrame:
+    """What earlier blocks of the group add to each sum: one small row per (keys, block)."""
+    block = df.groupBy("_g").agg(*[F.sum(c).alias(f"_t_{name}") for name, c in sums.items()])
+    before = _within(keys).rowsBetween(Window.unboundedPreceding, -1)
     return block.select(
-        *keys,
-        "_block",
-        *[
-            F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}")
-            for name in sums
-        ],
-    )
-
-
-def _rejoin(df: DataFrame, totals: DataFrame, keys: list[str]) -> DataFrame:
-    names = [*keys, "_block"]
-    right = totals
-    for name in names:
-        right = right.withColumnRenamed(name, f"_r_{name}")
-    condition = None
-    for name in names:
-        part = F.col(name).eqNullSafe(F.col(f"_r_{name}"))
-        condition = part if condition is None else condition & part
-    return df.join(right, condition).drop(*[f"_r_{name}" for name in names])
+        "_g", *[F.coalesce(F.sum(f"_t_{name}").over(before), F.lit(0)).alias(f"_o_{name}") for name in sums])
 
 
 def blocked_row_number(df: DataFrame, keys: list[str], order: list, block: Column, out: str) -> DataFrame:
     """1-based rank of each row in its group, in ``order``."""
-    d = df.withColumn("_block", block)
+    d = _grouped(df, keys, block)
     totals = _totals(d, keys, {"n": F.lit(1)})
-    local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    joined = _rejoin(d.withColumn("_local", local), totals, keys)
-    return joined.withColumn(out, (F.col("_local") + F.col("_o_n")).cast("long")).drop(
-        "_block", "_local", "_o_n"
-    )
+    local = F.row_number().over(Window.partitionBy("_g").orderBy(*order))
+    joined = d.withColumn("_local", local).join(totals, "_g")
+    return joined.withColumn(out, (F.col("_local") + F.col("_o_n")).cast("long")).drop("_g", "_local", "_o_n")
 
 
 def blocked_running_sum(
     df: DataFrame, keys: list[str], order: list, block: Column, sums: dict[str, Column]
 ) -> DataFrame:
     """Inclusive running sums; ``sums`` maps output name to the summed column."""
-    d = df.withColumn("_block", block)
+    d = _grouped(df, keys, block)
     totals = _totals(d, keys, sums)
-    frame = (
-        Window.partitionBy(*keys, "_block")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )
+    frame = Window.partitionBy("_g").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     for name, column in sums.items():
         d = d.withColumn(f"_l_{name}", F.sum(column).over(frame))
-    joined = _rejoin(d, totals, keys)
+    joined = d.join(totals, "_g")
     for name in sums:
         joined = joined.withColumn(name, F.col(f"_l_{name}") + F.col(f"_o_{name}"))
-    return joined.drop("_block", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    return joined.drop("_g", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
 def blocked_lead(
     df: DataFrame, keys: list[str], order: list[str], block: Column, columns: list[str]
 ) -> DataFrame:
     """Next row's ``columns`` as ``next_<column>``; null on a group's last row."""
-    d = df.withColumn("_block", block)
+    d = _grouped(df, keys, block)
     packed = F.struct(*order, *[c for c in columns if c not in order])
-    first = d.groupBy(*keys, "_block").agg(F.min(packed).alias("_head"))
-    across = Window.partitionBy(*keys).orderBy("_block")
-    heads = first.select(*keys, "_block", F.lead("_head").over(across).alias("_next_head"))
-    local = Window.partitionBy(*keys, "_block").orderBy(*order)
-    joined = _rejoin(d.withColumn("_lead", F.lead(packed).over(local)), heads, keys)
+    first = d.groupBy("_g").agg(F.min(packed).alias("_head"))
+    heads = first.select("_g", F.lead("_head").over(_within(keys)).alias("_next_head"))
+    local = Window.partitionBy("_g").orderBy(*order)
+    joined = d.withColumn("_lead", F.lead(packed).over(local)).join(heads, "_g")
     pick = F.coalesce(F.col("_lead"), F.col("_next_head"))
     for column in columns:
         joined = joined.withColumn(f"next_{column}", pick[column])
-    return joined.drop("_block", "_lead", "_next_head")
+    return joined.drop("_g", "_lead", "_next_head")
