@@ -30,7 +30,7 @@ def fixed_case(name, form):
         w = v.iq_windows(spark, sf).select("vec_id", "i", "q", F.explode(F.array(*[F.lit(s) for s in severities])).alias("severity"))
         i, q = form(F.col("severity"))
         d = w.select("vec_id", "severity", F.posexplode(F.arrays_zip(i.alias("re"), q.alias("im"))).alias("n", "y"))
-        return d.select("vec_id", "severity", "n", F.round("y.re", 6).alias("re"), F.round("y.im", 6).alias("im"))
+        return d.select("vec_id", "severity", "n", (F.round("y.re", 6) + F.lit(0.0)).alias("re"), (F.round("y.im", 6) + F.lit(0.0)).alias("im"))
 
     return run
 
@@ -42,7 +42,7 @@ for _name, _id, _form in (
     ("scale_time", "time_scaling", ops.scale_time),
     ("bandpass_ripple", "bandpass_response", ops.bandpass_ripple),
 ):
-    query(_name, with_(PT) + f"""SELECT vec_id, severity, CAST(pt.n AS INTEGER) AS n, round(re, 6) AS re, round(im, 6) AS im FROM pt JOIN gr USING (case_index) WHERE nuisance = '{_id}'""")(
+    query(_name, with_(PT) + f"""SELECT vec_id, severity, CAST(pt.n AS INTEGER) AS n, round(re, 6) + 0 AS re, round(im, 6) + 0 AS im FROM pt JOIN gr USING (case_index) WHERE nuisance = '{_id}'""")(
         fixed_case(_id, _form))
 
 

@@ -123,7 +123,7 @@ def _(spark, sf):
     o = li.groupBy(F.col("p_brand").alias("fold"), F.col("l_partkey").alias("stable_id")).agg(
         avg("l_discount").alias("sensitivity"), avg("l_tax", 10).alias("macro_f1"), avg("l_quantity").alias("latency_ms"),
         F.first("p_size").cast("double").alias("bytes_per_sample"), avg("l_extendedprice").alias("macs"), F.lit(True).alias("feasible"))
-    return ops.pareto_front(o, ["fold"]).select("fold", "stable_id")
+    return ops.pareto_front(cut(o), ["fold"]).select("fold", "stable_id")
 
 
 @query("select_unique", with_(FRONT) + """SELECT arg_min(stable_id, (sensitivity, latency_ms, stable_id)) AS selected FROM front
