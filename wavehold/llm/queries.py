@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import toxicity
+from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
 from .packing import read_documents, write_blocks
@@ -35,6 +37,25 @@ def op7_bit_packing(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZE
     return read_documents(spark, path)
 
 
+@query
+def op8_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_tables(documents, table(spark, sf_dir, "labels"))
+    return toxicity.score(documents, model).select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"),
+        F.size("offending").alias("n_offending"),
+    )
+
+
+@query
+def op9_segment_tree_bpe(spark: SparkSession, sf_dir: str, tokenizers: str = TOKENIZERS) -> DataFrame:
+    rows = encode_decode(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{tokenizers}/byte_bpe_50k.json")
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 @query
 def op10_digest_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
