@@ -11,6 +11,7 @@ from . import toxicity
 from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
+from .near_dup import near_duplicates
 from .packing import read_documents, write_blocks
 from .sharding import shard_rows
 
@@ -24,6 +25,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(table(spark, sf_dir, "documents"), 8)
