@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import toxicity
+from . import credentials, toxicity
 from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
@@ -30,6 +30,47 @@ def op1_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = credentials.report(table(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    base = F.filter("spans", lambda s: s["kind"] < credentials.STRONG)
+    return rows.select(
+        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
+        F.sha2(credentials.named(base), 256).alias("base_sha256"), credentials.named(F.col("spans")).alias("spans"),
+    )
+
+
+def _credential_sql() -> str:
+    kinds = []
+    for k, (_, role, pattern, group, least) in enumerate(credentials.KINDS):
+        rx = pattern.replace("'", "''")
+        kinds.append(f"""SELECT doc_id, {k} AS kind, '{role}' AS role, string_split_regex(text, '{rx}') AS gaps,
+  regexp_extract_all(text, '{rx}', 0) AS found, regexp_extract_all(text, '{rx}', {group}) AS counted, {least} AS least FROM d""")
+    names = ", ".join(f"'{k}'" for k, *_ in credentials.KINDS)
+    near = f"o.doc_id = w.doc_id AND o.role <> w.role AND o.start < w.stop + {credentials.SCOPE} AND o.stop > w.start - {credentials.SCOPE}"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS ({" UNION ALL ".join(kinds)}),
+i AS (SELECT *, unnest(range(1, len(found) + 1)) AS n FROM m),
+p0 AS (SELECT doc_id, kind, role, n, length(found[n]) AS size, length(counted[n]) >= least AS whole,
+  sum(length(gaps[n]) + length(found[n])) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM i),
+p AS (SELECT doc_id, kind, role, CAST(stop - size AS INTEGER) AS start, CAST(stop AS INTEGER) AS stop FROM p0 WHERE whole),
+s AS (SELECT doc_id, kind, start, stop FROM p WHERE kind < {credentials.STRONG} UNION ALL
+  SELECT w.doc_id, w.kind, w.start, w.stop FROM p w WHERE w.kind >= {credentials.STRONG} AND
+    (EXISTS (SELECT 1 FROM p o WHERE {near} AND o.kind < {credentials.STRONG}) OR
+     (SELECT count(DISTINCT o.role) FROM p o WHERE {near}) = 2)),
+a AS (SELECT doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  coalesce(string_agg(([{names}])[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind < {credentials.STRONG}), '') AS base,
+  string_agg(([{names}])[kind + 1] || ':' || start || ':' || stop, ',' ORDER BY start, kind) AS spans FROM s GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)
+"""
+
+
+SQL["op5_credential_linking"] = _credential_sql()
+
+
 @query
 def op6_sampled_splitters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = shard_rows(table(spark, sf_dir, "documents"), 8)
