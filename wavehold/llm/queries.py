@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, toxicity
+from . import credentials, mixing, toxicity
 from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
@@ -30,6 +30,52 @@ def op1_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def _level_sql(k: int, weight: str) -> str:
+    """One level of the budget tree, after the level above it (t{k - 1})."""
+    up, own = ", ".join(mixing.LEVELS[:k]), ", ".join(mixing.LEVELS[: k + 1])
+    part = f"PARTITION BY {up} " if k else ""
+    budget = f"JOIN (SELECT {up}, given AS budget FROM t{k - 1}) USING ({up})" if k else "CROSS JOIN whole"
+    return f"""
+n{k} AS (SELECT {own}, sum(capacity) AS capacity, {weight} AS weight FROM leaves GROUP BY {own}),
+a{k} AS (SELECT *, coalesce(sum(capacity) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b4,
+  sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest_w FROM n{k} {budget}
+  WINDOW w AS ({part}ORDER BY capacity::DOUBLE / weight, {mixing.LEVELS[k]})),
+f{k} AS (SELECT *, capacity::HUGEINT * rest_w <= (budget::HUGEINT - b4) * weight AS filled FROM a{k}),
+g{k} AS (SELECT *, sum(CASE WHEN filled THEN capacity ELSE 0 END) OVER ({part}) AS taken,
+  sum(CASE WHEN filled THEN 0 ELSE weight END) OVER ({part}) AS open FROM f{k}),
+t{k} AS (SELECT *, CASE WHEN filled THEN capacity ELSE least(capacity, (budget::HUGEINT - taken) * weight // open) END AS given FROM g{k})"""
+
+
+def _mixing_sql(of: str = "documents", epochs: int = 2, share: tuple[int, int] = (1, 2), seed: int = 29) -> str:
+    weight = "CASE domain " + " ".join(f"WHEN '{d}' THEN {w}" for d, w in mixing.DOMAIN_WEIGHTS.items()) + " ELSE 1 END"
+    leaf = ", ".join(mixing.LEVELS)
+    return rf"""
+WITH r AS (SELECT doc_id, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS number, coalesce(lang, 'null') AS lang,
+  coalesce(source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM {of}),
+d AS (SELECT * EXCLUDE number, CASE WHEN number = '' THEN 'other' ELSE 'domain' || (right(number, 2)::INT % 4) END AS domain FROM r),
+leaves AS (SELECT {leaf}, sum(n_tokens) AS tokens, {epochs} * sum(n_tokens) AS capacity FROM d GROUP BY ALL),
+whole AS (SELECT least(sum(tokens)::HUGEINT * {share[0]} // {share[1]}, sum(capacity)) AS budget FROM leaves),
+{_level_sql(0, weight)},
+{_level_sql(1, "1")},
+{_level_sql(2, "1")},
+plan AS (SELECT {leaf}, CASE WHEN tokens > 0 THEN given // tokens ELSE 0 END AS whole_epochs,
+  CASE WHEN tokens > 0 THEN given % tokens ELSE 0 END AS rest FROM t2 JOIN (SELECT {leaf}, tokens FROM leaves) USING ({leaf})),
+o AS (SELECT d.*, whole_epochs, rest, ('0x' || substr(md5('{seed}:' || whole_epochs || ':' || coalesce(doc_id::VARCHAR, 'null')), 1, 15))::BIGINT AS draw
+  FROM d JOIN plan USING ({leaf})),
+p AS (SELECT *, coalesce(sum(n_tokens) OVER (PARTITION BY {leaf} ORDER BY draw, doc_id NULLS FIRST, n_tokens
+  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM o)
+SELECT doc_id, {leaf}, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(whole_epochs + CASE WHEN before < rest THEN 1 ELSE 0 END AS INTEGER) AS copies FROM p
+"""
+
+
+SQL["op3_hierarchical_budgets"] = _mixing_sql()
+
+
 @query
 def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = credentials.report(table(spark, sf_dir, "documents"))
