@@ -11,6 +11,7 @@ from . import credentials, mixing, toxicity
 from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
+from .fuzzy_lines import repeated_lines
 from .near_dup import near_duplicates
 from .packing import read_documents, write_blocks
 from .sharding import shard_rows
@@ -56,7 +57,8 @@ def _mixing_sql(of: str = "documents", epochs: int = 2, share: tuple[int, int] =
     leaf = ", ".join(mixing.LEVELS)
     return rf"""
 WITH r AS (SELECT doc_id, regexp_extract(coalesce(source, ''), '([0-9]+)$', 1) AS number, coalesce(lang, 'null') AS lang,
-  coalesce(source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-]+')) AS n_tokens FROM {of}),
+  coalesce(source, 'null') AS source, len(regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+')) AS n_tokens FROM {of}),
 d AS (SELECT * EXCLUDE number, CASE WHEN number = '' THEN 'other' ELSE 'domain' || (right(number, 2)::INT % 4) END AS domain FROM r),
 leaves AS (SELECT {leaf}, sum(n_tokens) AS tokens, {epochs} * sum(n_tokens) AS capacity FROM d GROUP BY ALL),
 whole AS (SELECT least(sum(tokens)::HUGEINT * {share[0]} // {share[1]}, sum(capacity)) AS budget FROM leaves),
@@ -76,6 +78,12 @@ SELECT doc_id, {leaf}, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(whole_epochs +
 SQL["op3_hierarchical_budgets"] = _mixing_sql()
 
 
+@query
+def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeated_lines(table(spark, sf_dir, "documents"))
+    return rows.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
+
+
 @query
 def op5_credential_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = credentials.report(table(spark, sf_dir, "documents"))
