@@ -12,6 +12,7 @@ from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
 from .fuzzy_lines import repeated_lines
+from .hilbert_ann import nearest
 from .near_dup import near_duplicates
 from .packing import read_documents, write_blocks
 from .sharding import shard_rows
@@ -31,6 +32,11 @@ def op1_odd_sketch_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_hilbert_orderings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 @query
 def op3_hierarchical_budgets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
