@@ -104,13 +104,8 @@ def test_near_duplicates_match_brute_force_even_in_one_crowded_cell(spark, monke
     roles = ["a", "b", "c"]
     df = spark.createDataFrame([(f"r{k:02d}", roles[k % 3], v[k].tolist()) for k in range(60)], "recording_id string, role string, unit array<double>")
     got = {(r["left_recording"], r["right_recording"]) for r in audits.near_duplicates(df, 0.999).collect()}
-    distinct = [0, *range(5, 60)]  # equal prints collapse to their first recording
-    want = set()
-    for n, i in enumerate(distinct):
-        for j in distinct[n + 1 :]:
-            crosses = i == 0 or roles[i % 3] != roles[j % 3]
-            if v[i] @ v[j] >= 0.999 and crosses:
-                want.add((f"r{i:02d}", f"r{j:02d}"))
+    want = {(f"r{i:02d}", f"r{j:02d}") for i in range(60) for j in range(i + 1, 60) if v[i] @ v[j] >= 0.999 and roles[i % 3] != roles[j % 3]}
+    assert {("r00", "r01"), ("r00", "r02"), ("r01", "r03")} <= want and ("r00", "r03") not in want  # equal prints, by member
     assert got == want and want
 
 

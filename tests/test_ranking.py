@@ -77,3 +77,12 @@ def test_higher_is_numpys_higher(spark):
     v = [0.1, 0.05, 0.2, 0.4, 0.11, 0.3, 0.9]
     df = spark.createDataFrame([(x,) for x in v], "v double")
     assert q.exact_quantiles(df, [], "v", {"x": 0.2}, "higher").first()["x"] == np.quantile(v, 0.2, method="higher")
+
+
+@pytest.mark.parametrize("odd", [[float("inf")], [float("-inf"), float("inf")], [float("nan")], [1.7e308, -1.7e308], [5e-324]])
+def test_refinement_ends_on_odd_values(spark, odd):
+    values = [float(k % 37) for k in range(300)] + odd
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    got = q.exact_quantiles(df, [], "v", {"x": 0.5, "y": 0.9}, "higher", limit=16).first()
+    ranked = sorted(values, key=lambda z: (z != z, z))
+    assert [got["x"], got["y"]] == [ranked[-(-5 * (len(values) - 1) // 10)], ranked[-(-9 * (len(values) - 1) // 10)]]

@@ -101,3 +101,11 @@ def test_weighted_sampling_hits_each_interval(spark):
     u = spark.createDataFrame([(0.0,), (0.499999,), (0.5,), (0.74,), (0.75,), (0.999999,)], "u double")
     out = {r["u"]: r["sample_index"] for r in rel.sample_relations(d, u).collect()}
     assert out == {0.0: 0, 0.499999: 0, 0.5: 1, 0.74: 1, 0.75: 2, 0.999999: 2}
+
+
+def test_every_draw_meets_one_interval(spark):
+    n = 3000
+    d = spark.range(n).select(F.col("id").cast("int").alias("sample_index"), F.lit(0).alias("winner"), F.lit(1).alias("loser"), F.lit(1.0 / n).alias("weight"))
+    u = spark.range(20_000).select((F.col("id") / 20_000.0).alias("u")).union(d.select((F.col("sample_index") * F.lit(1.0 / n)).alias("u"))).union(spark.createDataFrame([(1 - 2.0**-53,)], "u double"))
+    out = rel.sample_relations(d, u)
+    assert out.count() == 20_000 + n + 1

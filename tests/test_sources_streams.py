@@ -32,6 +32,8 @@ def test_raw_files_round_trip_in_chunks(spark, folder):
     assert [len(r["i"]) for r in out] == [4, 4, 2]
     assert np.allclose(np.concatenate([r["q"] for r in out]), x[:, 1])
     assert files.inventory(raw).first()["bytes"] == 80
+    twice = spark.createDataFrame([("p", b"a"), ("p", b"b"), ("p", b"a"), ("q", b"a")], "path string, content binary")
+    assert files.inventory(twice).count() == 3
 
 
 def test_changed_and_missing_files(spark):
@@ -66,6 +68,8 @@ def test_content_hash_ignores_order_but_not_copies(spark):
     d = spark.createDataFrame([(k % 50, f"v{k % 50}") for k in range(60)], "a int, b string")
     h = lambda x: sinks.content_hash(x, ["a", "b"]).first()["sha256"]
     assert h(d) == h(d.orderBy(F.desc("a")).repartition(7))
+    odd = lambda a, b: h(spark.createDataFrame([(a, b)], "a string, b string"))
+    assert odd("a|b", "c") != odd("a", "b|c") and odd(None, "c") != odd("", "c")
     assert h(d) != h(d.distinct()) and h(d) != h(d.withColumn("b", F.when(F.col("a") > 0, F.col("b"))))
 
 
@@ -104,8 +108,28 @@ def test_rows_behind_the_watermark_are_dropped(spark, folder):
     parts = [[(1, "2024-01-03 00:00:00", 1, 2.0)], [(2, "2024-01-03 01:00:00", 1, 4.0)], [(3, "2024-01-01 00:00:00", 1, 6.0)]]
     src = event_files(spark, folder, parts)
     w = jobs.frame_windows(jobs.event_stream(spark, src, 1), "1 hour", "1 hour", "6 hours", F.count("*").alias("samples"))
-    out = jobs.drain(w, ["recording_id", "domain", "start", "end"], "late")
-    assert out.count() == 2
+    keys = ["recording_id", "domain", "start", "end"]
+    out = jobs.drain_counted(w, keys, "late")
+    assert out.rows.count() == 2 and out.dropped == 1
+    with pytest.raises(RuntimeError):
+        jobs.drain_whole(w, keys, "late")
+
+
+def test_a_backlog_in_one_batch_loses_nothing(spark, folder):
+    parts = [[(1, "2024-01-03 00:00:00", 1, 2.0)], [(2, "2024-01-03 01:00:00", 1, 4.0)], [(3, "2024-01-01 00:00:00", 1, 6.0)]]
+    src = event_files(spark, folder, parts)
+    w = jobs.frame_windows(jobs.event_stream(spark, src), "1 hour", "1 hour", "6 hours", F.count("*").alias("samples"))
+    assert jobs.drain_whole(w, ["recording_id", "domain", "start", "end"], "backlog").count() == 3
+
+
+def test_ledger_sums_over_batches(spark, folder):
+    src = event_files(spark, folder, [[(1, "2024-01-01 00:00:00", 1, 1.0), (2, "2024-01-01 00:00:01", 2, 1.0)], [(3, "2024-01-01 00:00:02", 1, 1.0)], [(4, "2024-01-01 00:00:03", 1, 1.0)]])
+    ids = spark.createDataFrame([("1", 3), ("2", 1)], "recording_id string, sample_count long")
+    out = jobs.ledgered_stream(jobs.event_stream(spark, src, 1), ids, f"{folder}/whole")
+    assert sorted((r["recording_id"], r["samples"]) for r in out.collect()) == [("1", 3), ("2", 1)]
+    more = spark.createDataFrame([("1", 4), ("2", 1)], "recording_id string, sample_count long")
+    with pytest.raises(RuntimeError):  # one sample of recording 1 never came
+        jobs.ledgered_stream(jobs.event_stream(spark, src, 1), more, f"{folder}/short")
 
 
 def test_ledger_reads_each_recording_once(spark, folder):

@@ -59,3 +59,9 @@ def test_overlaps_and_unknown_ids(spark):
     roles = spark.createDataFrame([("r1",), ("zz",)], "recording_id string")
     _, unknown = s.materialize_roles(roles, m, "recording_id")
     assert [r["recording_id"] for r in unknown.collect()] == ["zz"]
+
+
+def test_a_stratum_without_support_stops_the_split(spark, corpus):
+    short = corpus.where("NOT (domain = 'd1' AND label = 'x' AND group_id LIKE '%-3')")
+    with pytest.raises(ValueError):
+        s.split_roles(short, ["d0", "d1", "d2"])

@@ -162,7 +162,7 @@ def _(spark, sf):
 
 _BG = ROLES + """, rf AS (SELECT recording_id, min(domain) AS domain, min(cls) AS cls, avg(list_avg(list_transform(i, lambda z: z::DOUBLE))) AS a, avg(list_avg(list_transform(q, lambda z: z::DOUBLE))) AS b FROM w GROUP BY recording_id),
  fr AS (SELECT fold_id AS f, role, recording_id, a, b, CAST(substr(rf.domain, 2) AS INTEGER) AS y FROM rf JOIN roles USING (recording_id) WHERE rf.cls = 0),
- ft AS (SELECT f, recording_id, a, b, y FROM fr WHERE role IN ('source_fit', 'source_calibration'))"""
+ ft AS (SELECT f, recording_id, a, b, y FROM fr WHERE role = 'source_fit')"""
 
 
 @query("background_only_control", with_(_BG) + perm_sql("ft", "f", 40, 24023, "y", "pm")
@@ -174,11 +174,11 @@ _BG = ROLES + """, rf AS (SELECT recording_id, min(domain) AS domain, min(cls) A
 def _(spark, sf):
     """Domain probe on background recordings alone (class 0), with its permutation null."""
     rows = fold_recordings(spark, sf).where("cls = 0").withColumn("cls", F.substring("domain", 2, 9).cast("int"))
-    fit_rows = rows.where("role in ('source_fit', 'source_calibration')")
+    fit_rows = rows.where("role = 'source_fit'")
     eval_rows = rows.where("role = 'source_selection'")
 
     def accuracy(train, test, keys):
-        model = probe.fit_ridge(train.withColumn("role", F.lit("source_fit")), keys, 3, 0.05)
+        model = probe.fit_ridge(train, keys, 3, 0.05)
         s = probe.score_ridge(test, model, keys, ["cls"], 3)
         return s.groupBy(*keys).agg(F.avg((m.argmax("probs") == F.col("cls")).cast("double")).alias("accuracy"))
 

@@ -59,11 +59,10 @@ def _(spark, sf):
     return d.select(F.col("path").cast("long").alias("vec_id"), "chunk_no", total("i").alias("sum_i"), total("q").alias("sum_q"))
 
 
-@query("file_inventory_sha256", "SELECT url AS path, CAST(octet_length(encode(min(html))) AS BIGINT) AS bytes, sha256(min(html)) AS sha256 FROM pages GROUP BY url HAVING count(DISTINCT html) = 1")
+@query("file_inventory_sha256", "SELECT DISTINCT url AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages")
 def _(spark, sf):
     p = v.table(spark, sf, "pages").select(F.col("url").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    single = p.groupBy("path").agg(F.count_distinct("content").alias("n")).where("n = 1")
-    return ops.inventory(p.join(single, "path", "left_semi"))
+    return ops.inventory(p)
 
 
 @query("file_inventory_parts", """WITH d AS (SELECT conv_id, turn, sha256(text) AS h, octet_length(encode(text)) AS b FROM conversations)
@@ -167,7 +166,7 @@ def _(spark, sf):
 
 def tree_sql(rows, columns):
     """The hash tree as SQL text."""
-    parts = ", ".join(f"coalesce(CAST({c} AS VARCHAR), chr(0))" for c in columns)
+    parts = ", ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in columns)
     return f""", t0 AS (SELECT h, count(*) AS n FROM (SELECT sha256(concat_ws('|', {parts})) AS h FROM {rows}) GROUP BY h),
  t1 AS (SELECT sha256(concat_ws('|', h, n)) AS t, substr(h, 1, 6) AS k, n FROM t0), t2 AS (SELECT sha256(string_agg(t, '' ORDER BY t)) AS t, substr(k, 1, 3) AS k, sum(n) AS n FROM t1 GROUP BY t1.k),
  t3 AS (SELECT sha256(string_agg(t, '' ORDER BY t)) AS t, sum(n) AS n FROM t2 GROUP BY k) SELECT CAST(sum(n) AS BIGINT) AS rows, sha256(sha256(string_agg(t, '' ORDER BY t))) AS sha256 FROM t3"""

@@ -124,9 +124,10 @@ def _(spark, sf):
     return ops.remap_after_deletion(d, F.col("deleted")).groupBy("deleted", "winner", "loser").agg(F.count("*").alias("n"))
 
 
-@query("sample_relations", with_(WGT) + f""", cum AS (SELECT *, sum(weight) OVER (ORDER BY sample_index, winner, loser ROWS UNBOUNDED PRECEDING) AS hi FROM wr),
+@query("sample_relations", with_(WGT) + f""", cum0 AS (SELECT *, sum(weight) OVER (ORDER BY sample_index, winner, loser ROWS UNBOUNDED PRECEDING) AS hi FROM wr),
+ cum AS (SELECT sample_index, winner, loser, coalesce(lag(hi) OVER o, 0) AS lo, CASE WHEN lead(hi) OVER o IS NULL THEN 1 ELSE hi END AS hi FROM cum0 WINDOW o AS (ORDER BY sample_index, winner, loser)),
  dr AS (SELECT vec_id AS draw, {u("'draw'", 'vec_id')} AS u FROM embeddings)
- SELECT draw, sample_index, winner, loser FROM dr JOIN cum ON u >= hi - weight AND u < hi""")
+ SELECT draw, sample_index, winner, loser FROM dr JOIN cum ON u >= lo AND u < hi""")
 def _(spark, sf):
     draws = v.windows(spark, sf).select(F.col("vec_id").alias("draw"), uniform("draw", F.col("vec_id")).alias("u"))
     return ops.sample_relations(ops.relation_weights(relations(spark, sf)), draws).select("draw", "sample_index", "winner", "loser")

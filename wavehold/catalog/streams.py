@@ -20,7 +20,7 @@ def hours(c):
 
 @query("ledgered_stream", "SELECT CAST(user_id AS VARCHAR) AS recording_id, count(*) AS samples, 'complete' AS status FROM events GROUP BY user_id")
 def _(spark, sf):
-    wanted = v.samples(spark, sf, position=False).select("recording_id")
+    wanted = v.samples(spark, sf, position=False).groupBy("recording_id").agg(F.count("*").alias("sample_count"))
     return jobs.ledgered_stream(events(spark, sf), wanted, sinks.scratch(spark, "ledgered"))
 
 
@@ -28,20 +28,20 @@ def _(spark, sf):
   SELECT recording_id, domain, start, start + 6 AS "end", count(*) AS samples, round(avg(v), 6) AS mean_v FROM x GROUP BY ALL""")
 def _(spark, sf):
     w = jobs.frame_windows(events(spark, sf), "6 hours", "3 hours", "1 day", F.count("*").alias("samples"), F.avg("v").alias("mean_v"))
-    d = jobs.drain(w, ["recording_id", "domain", "start", "end"], "frames")
+    d = jobs.drain_whole(w, ["recording_id", "domain", "start", "end"], "frames")
     return d.select("recording_id", "domain", hours("start"), hours("end"), "samples", *r6("mean_v"))
 
 
 @query("stream_first_window", with_(S) + "SELECT recording_id, event_id, v FROM s WHERE n = 0")
 def _(spark, sf):
-    return jobs.drain(jobs.first_sample(events(spark, sf)), ["recording_id"], "first").select("recording_id", "event_id", "v")
+    return jobs.drain_whole(jobs.first_sample(events(spark, sf)), ["recording_id"], "first").select("recording_id", "event_id", "v")
 
 
 @query("stream_energy", with_(S) + """, rf AS (SELECT domain, avg(v * v) AS reference FROM s GROUP BY domain), x AS (SELECT recording_id, s.domain, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 12 AS start, avg(v * v) AS power FROM s GROUP BY ALL)
   SELECT recording_id, x.domain, start, round(ln(1 + power / reference), 6) AS energy FROM x JOIN rf USING (domain)""")
 def _(spark, sf):
     ref = v.samples(spark, sf, position=False).groupBy("domain").agg(F.avg(F.col("v") * F.col("v")).alias("reference"))
-    d = jobs.drain(jobs.energy_windows(events(spark, sf), ref, "12 hours", "1 day"), ["recording_id", "domain", "start", "end"], "energy")
+    d = jobs.drain_whole(jobs.energy_windows(events(spark, sf), ref, "12 hours", "1 day"), ["recording_id", "domain", "start", "end"], "energy")
     return d.select("recording_id", "domain", hours("start"), *r6("energy"))
 
 
@@ -51,11 +51,11 @@ def _(spark, sf):
   HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) - INTERVAL 1 DAY FROM s)""")
 def _(spark, sf):
     """Closed blocks only: those whose end the watermark has passed."""
-    d = jobs.drain(jobs.sessions(events(spark, sf), "6 hours", "1 day"), ["recording_id", "start", "end"], "sessions", "append")
+    d = jobs.drain_whole(jobs.sessions(events(spark, sf), "6 hours", "1 day"), ["recording_id", "start", "end"], "sessions", "append")
     return d.select("recording_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "samples")
 
 
 @query("stream_detection", with_(S) + "SELECT recording_id, round(avg(v / 500.0), 6) AS score, count(*) AS samples, avg(v / 500.0) >= 0.05 AS detected FROM s GROUP BY recording_id")
 def _(spark, sf):
-    d = jobs.drain(jobs.running_detection(events(spark, sf), F.col("v") / 500.0, 0.05), ["recording_id"], "detect")
+    d = jobs.drain_whole(jobs.running_detection(events(spark, sf), F.col("v") / 500.0, 0.05), ["recording_id"], "detect")
     return d.select("recording_id", *r6("score"), "samples", "detected")

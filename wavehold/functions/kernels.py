@@ -104,14 +104,19 @@ def raw_iq(x, bins):
     return np.stack([resize(part[:, None, :], bins, bins) for part in (x.real, x.imag)], axis=1)
 
 
+# An atom's standard deviation in scales, and its reach in standard deviations.
+GABOR_WIDTH = 1.5
+GABOR_REACH = 4.5
+
+
 def cwt_time(x, bins, scales=16):
     """Gabor correlation at geometric scales, aligned with the window, log1p."""
     n = x.shape[1]
     rows = []
     for scale in np.geomspace(2.0, min(256.0, max(2.0, n / 2.0)), scales):
-        radius = max(4, int(np.ceil(6.75 * scale)))
+        radius = max(4, int(np.ceil(GABOR_REACH * GABOR_WIDTH * scale)))
         t = np.arange(-radius, radius + 1)
-        atom = np.exp(2j * np.pi * t / scale - 0.5 * (t / (1.5 * scale)) ** 2)
+        atom = np.exp(2j * np.pi * t / scale - 0.5 * (t / (GABOR_WIDTH * scale)) ** 2)
         atom /= max(np.linalg.norm(atom), 1e-12)
         size = n + 2 * radius
         product = np.fft.fft(x, size, axis=1) * np.fft.fft(atom.conj()[::-1], size)

@@ -49,20 +49,20 @@ SALT = 32
 
 
 def near_duplicates(prints: DataFrame, threshold: float = 0.999) -> DataFrame:
-    """Cross-role pairs of distinct fingerprints with cosine >= threshold, exactly.
+    """Cross-role pairs of recordings with fingerprints of cosine >= threshold, exactly.
 
     Cosine t on unit vectors means distance <= d = sqrt(2 - 2t). Projections on orthonormal
     directions never lengthen a difference, so both members of a pair lie in the same or a
-    neighbouring cell of side d on every projected axis. Equal fingerprints are collapsed
-    first (their pairs are plain counts), candidates are ids only, and a crowded cell is split
-    over salted sub-cells: one side takes one salt, the other visits them all.
+    neighbouring cell of side d on every projected axis. Equal fingerprints are collapsed while
+    candidates are sought and give their members back at the end, where roles are compared member
+    by member. Candidates are ids only, and a crowded cell is split over salted sub-cells: one side
+    takes one salt, the other visits them all.
     """
     d = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12)) * (1 + 1e-9)
     axis = lambda j: F.expr(
         f"aggregate(transform(unit, (z, p) -> z * cos(pi() * (p + 0.5D) * {j} / size(unit)) * sqrt(2.0D / size(unit))), 0.0D, (t, z) -> t + z)")
     same = prints.groupBy(F.sha2(F.to_json(F.struct("unit")), 256).alias("fp")).agg(
-        F.first("unit").alias("unit"), F.min("recording_id").alias("recording_id"),
-        F.collect_set("role").alias("roles"), F.count("*").alias("members"))
+        F.first("unit").alias("unit"), F.min("recording_id").alias("recording_id"), F.collect_set("role").alias("roles"))
     same = cut(same.withColumn("p", F.array(*[axis(j + 1) for j in range(PROJECTIONS)])))
     light = same.select("fp", "recording_id", "roles", "p")
     cell = F.transform(F.slice("p", 1, CELL_AXES), lambda z: F.floor(z / d))
@@ -85,8 +85,14 @@ def near_duplicates(prints: DataFrame, threshold: float = 0.999) -> DataFrame:
         .join(vectors.select(F.col("fp").alias("lf"), F.col("unit").alias("lu")), "lf")
         .join(vectors.select(F.col("fp").alias("rf"), F.col("unit").alias("ru")), "rf"))
     cosine = F.expr("aggregate(zip_with(lu, ru, (a, b) -> a * b), 0.0D, (t, z) -> t + z)")
-    return found.select(F.col("lr").alias("left_recording"), F.col("rr").alias("right_recording"), cosine.alias("cosine")).where(
-        F.col("cosine") >= threshold)
+    unequal = found.select("lf", "rf", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
+    equal = same.where("size(roles) > 1").select(F.col("fp").alias("lf"), F.col("fp").alias("rf"), F.lit(1.0).alias("cosine"))
+    members = prints.select(F.sha2(F.to_json(F.struct("unit")), 256).alias("fp"), "recording_id", "role")
+    left_members = members.select(F.col("fp").alias("lf"), F.col("recording_id").alias("l"), F.col("role").alias("_lrole"))
+    right_members = members.select(F.col("fp").alias("rf"), F.col("recording_id").alias("r"), F.col("role").alias("_rrole"))
+    pairs = unequal.unionByName(equal).join(left_members, "lf").join(right_members, "rf").where(
+        (F.col("_lrole") != F.col("_rrole")) & ((F.col("lf") != F.col("rf")) | (F.col("l") < F.col("r"))))
+    return pairs.select(F.least("l", "r").alias("left_recording"), F.greatest("l", "r").alias("right_recording"), "cosine")
 
 
 def _offsets(axes: int) -> list[tuple[int, ...]]:

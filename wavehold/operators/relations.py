@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.rng import hash_order
 from ..plans.quantiles import exact_quantiles
-from ..plans.ranking import blocked_row_number, blocked_running_sum, hash_block, id_block
+from ..plans.ranking import blocked_lag, blocked_row_number, blocked_running_sum, hash_block, id_block
+from ..session import cut
 
 CELL = ["nuisance", "severity"]
 TOL = 1e-6
@@ -137,12 +138,17 @@ def remap_after_deletion(relations: DataFrame, deleted: Column) -> DataFrame:
 def sample_relations(weighted: DataFrame, draws: DataFrame, buckets: int = 4096) -> DataFrame:
     """Weighted draws with replacement: each uniform ``u`` meets the relation whose interval holds it.
 
-    Intervals come from a blocked running sum; the range join is an equi-join on buckets of
-    [0, 1), and an interval is repeated only for the buckets it covers.
+    Intervals end at a blocked running sum and begin where the one before ends, the last one ends
+    at 1, so that every draw has exactly one. The range join is an equi-join on buckets of [0, 1),
+    and an interval is repeated only for the buckets it covers.
     """
+    order = ["sample_index", "winner", "loser"]
     d = blocked_running_sum(
-        weighted, [], ["sample_index", "winner", "loser"], id_block("sample_index"), {"_hi": F.col("weight")})
-    d = d.withColumn("_lo", F.col("_hi") - F.col("weight"))
+        weighted, [], order, id_block("sample_index"), {"_hi": F.col("weight")})
+    d = cut(d)
+    top = d.agg(F.max("_hi")).first()[0]
+    d = blocked_lag(d, [], order, id_block("sample_index"), ["_hi"]).withColumn("_lo", F.coalesce("last__hi", F.lit(0.0))).drop("last__hi")
+    d = d.withColumn("_hi", F.when(F.col("_hi") == top, 1.0).otherwise(F.col("_hi")))
     edge = lambda x: F.least(F.floor(x * buckets), F.lit(buckets - 1)).cast("int")
     spans = d.withColumn("_b", F.explode(F.sequence(edge(F.greatest(F.col("_lo"), F.lit(0.0))), edge(F.col("_hi")))))
     hit = (F.col("u") >= F.col("_lo")) & (F.col("u") < F.col("_hi"))

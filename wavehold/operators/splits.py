@@ -39,7 +39,14 @@ def assign_group_roles(recordings: DataFrame, seed: int = SEED, sparse: bool = F
 
 
 def split_roles(recordings: DataFrame, folds: list[str], seed: int = SEED, sparse: bool = False) -> DataFrame:
-    """One row per fold and recording with its role; the fold's domain is held out entirely."""
+    """One row per fold and recording with its role; the fold's domain is held out entirely.
+
+    Every domain x label stratum must have a group for each role; with ``sparse`` two are enough.
+    """
+    enough = (F.col("n_groups") >= len(ROLES)) | ((F.col("n_groups") == 2) & F.lit(sparse))
+    short = stratum_support(recordings).where(~enough).limit(5).collect()
+    if short:
+        raise ValueError(f"strata with too few groups: {[(r['domain'], r['label'], r['n_groups']) for r in short]}")
     roles = assign_group_roles(recordings, seed, sparse).select("domain", "group_id", "role")
     d = recordings.join(roles, ["domain", "group_id"])
     d = d.withColumn("fold_id", F.explode(F.array(*[F.lit(f) for f in folds])))

@@ -8,12 +8,15 @@ repeat. The answer is the same order statistic; no value is dropped or approxima
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..session import cut
 
 LIMIT = 500_000
 BUCKETS = 1024
+LARGEST = sys.float_info.max
 
 
 def higher(value: Column, q: float, n: Column | None = None) -> Column:
@@ -93,8 +96,14 @@ def refine_quantiles(
     target = cut(target)
     while not target.where((F.col("_cnt") > limit) & (F.col("_lo") < F.col("_hi"))).isEmpty():
         inside = data.join(target, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        span = F.greatest(F.col("_hi") - F.col("_lo"), F.lit(1e-300))
-        bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / span * BUCKETS), F.lit(BUCKETS - 1))
+        # infinities and NaN (the largest, as Spark orders it) have buckets of their own
+        lo, hi = F.greatest(F.col("_lo"), F.lit(-LARGEST)), F.least(F.col("_hi"), F.lit(LARGEST))
+        plain = (F.col("_v") - lo) / (hi - lo)
+        share = F.when(hi - lo <= LARGEST, plain).otherwise((F.col("_v") / 2 - lo / 2) / (hi / 2 - lo / 2))
+        bucket = (
+            F.when(F.isnan("_v"), BUCKETS + 1).when(F.col("_v") > LARGEST, BUCKETS).when(F.col("_v") < -LARGEST, -1)
+            .otherwise(F.greatest(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)))
+        )
         counted = (
             inside.withColumn("_b", bucket)
             .groupBy(*group, "_rank", "_base", "_b")

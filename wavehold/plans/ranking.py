@@ -80,6 +80,21 @@ def blocked_running_sum(
     return joined.drop("_g", *[f"_l_{n}" for n in sums], *[f"_o_{n}" for n in sums])
 
 
+def blocked_lag(
+    df: DataFrame, keys: list[str], order: list[str], block: Column, columns: list[str]
+) -> DataFrame:
+    """Previous row's ``columns`` as ``last_<column>``; null on a group's first row."""
+    d = _grouped(df, keys, block)
+    packed = F.struct(*order, *[c for c in columns if c not in order])
+    tails = d.groupBy("_g").agg(F.max(packed).alias("_tail"))
+    tails = tails.select("_g", F.lag("_tail").over(_within(keys)).alias("_last_tail"))
+    joined = d.withColumn("_lag", F.lag(packed).over(Window.partitionBy("_g").orderBy(*order))).join(tails, "_g")
+    pick = F.coalesce(F.col("_lag"), F.col("_last_tail"))
+    for column in columns:
+        joined = joined.withColumn(f"last_{column}", pick[column])
+    return joined.drop("_g", "_lag", "_last_tail")
+
+
 def blocked_lead(
     df: DataFrame, keys: list[str], order: list[str], block: Column, columns: list[str]
 ) -> DataFrame:

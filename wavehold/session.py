@@ -29,11 +29,13 @@ def local_session(app: str = "wavehold", cores: str | None = None) -> SparkSessi
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared folder; make a private one only where none is named."""
+    """Use the cluster's shared folder; only a local master may go without one."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc.getCheckpointDir():
         return
+    if not named and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
 
 

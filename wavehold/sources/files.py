@@ -78,11 +78,13 @@ def ingest_interleaved(files: DataFrame, chunk: int = 4096) -> DataFrame:
 
 
 def inventory(files: DataFrame) -> DataFrame:
-    """One content hash per path. Content over the reader's size limit arrives as parts
-    (``part_no``); it is hashed per part, then over the ordered part hashes."""
+    """One row per path and content: a path with two contents has two rows. Content over the
+    reader's size limit arrives as parts (``part_no``); it is hashed per part, then over the ordered
+    part hashes, and a part seen with two contents counts with the smaller hash."""
     if "part_no" not in files.columns:
-        return files.dropDuplicates(["path"]).select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256"))
-    parts = files.dropDuplicates(["path", "part_no"]).select("path", "part_no", F.length("content").alias("b"), F.sha2("content", 256).alias("h"))
+        return files.select("path", F.length("content").cast("long").alias("bytes"), F.sha2("content", 256).alias("sha256")).distinct()
+    parts = files.select("path", "part_no", F.struct(F.sha2("content", 256).alias("h"), F.length("content").alias("b")).alias("_c"))
+    parts = parts.groupBy("path", "part_no").agg(F.min("_c").alias("_c")).select("path", "part_no", "_c.b", "_c.h")
     g = parts.groupBy("path").agg(F.sum("b").alias("bytes"), F.array_sort(F.collect_list(F.struct("part_no", "h"))).alias("_p"))
     return g.select("path", "bytes", F.sha2(F.concat_ws("", F.col("_p.h")), 256).alias("sha256"))
 

@@ -42,8 +42,9 @@ def export_summary(available: DataFrame, exported: DataFrame, key: str) -> DataF
 
 
 def row_hash(columns: list[str]) -> Column:
-    """Hash of a row's fields in the given order; null and empty differ."""
-    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in columns]
+    """Hash of a row's fields in the given order, each with its length; null and empty differ."""
+    text = lambda c: F.col(c).cast("string")
+    parts = [F.coalesce(F.concat(F.length(text(c)).cast("string"), F.lit(":"), text(c)), F.lit("-")) for c in columns]
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 

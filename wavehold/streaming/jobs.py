@@ -7,7 +7,7 @@ the newest row per key.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -19,20 +19,47 @@ EVENTS = T.StructType([
 ])
 
 
-def event_stream(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    raw = spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """Events as a file stream.
+
+    A backlog is one micro-batch: files come in order of modification, not of event time, so
+    that a backlog in many batches would move the watermark past rows of later files.
+    """
+    reader = spark.readStream.schema(EVENTS)
+    raw = (reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader).parquet(path)
     return raw.select(
         F.col("user_id").cast("string").alias("recording_id"), (F.col("user_id") % 2).alias("label"),
         F.concat(F.lit("d"), (F.floor(F.col("user_id") / 2) % 3).cast("string")).alias("domain"),
         "ts", "event_id", F.col("value").alias("v"))
 
 
+class Drained(NamedTuple):
+    rows: DataFrame
+    dropped: int
+
+
 def drain(query: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
-    """Run a stateful query over everything available and return its newest rows.
+    """Newest rows of a query over everything available; rows behind the watermark are lost, see drain_counted."""
+    return drain_counted(query, keys, name, mode).rows
+
+
+def drain_whole(query: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
+    """As drain, but an error when the watermark dropped a row."""
+    out = drain_counted(query, keys, name, mode)
+    if out.dropped:
+        raise RuntimeError(f"{name}: {out.dropped} rows came behind the watermark")
+    return out.rows
+
+
+def drain_counted(query: DataFrame, keys: list[str], name: str, mode: str = "update") -> Drained:
+    """Run a stateful query over everything available; its newest rows, and how many aggregated
+    rows its operators dropped as late.
 
     ``append`` returns only groups the watermark has closed; the rest stays in state.
     """
     spark = query.sparkSession
+    # every batch's progress is needed for the count
+    spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", "1000000")
     base = scratch(spark, name)
 
     def keep(batch: DataFrame, batch_id: int) -> None:
@@ -40,7 +67,8 @@ def drain(query: DataFrame, keys: list[str], name: str, mode: str = "update") ->
 
     q = query.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
-    return newest(spark.read.parquet(f"{base}/out"), keys)
+    dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
+    return Drained(newest(spark.read.parquet(f"{base}/out"), keys), dropped)
 
 
 def newest(versions: DataFrame, keys: list[str]) -> DataFrame:
@@ -78,12 +106,17 @@ def running_detection(stream: DataFrame, score: Column, threshold: float) -> Dat
 
 
 class Ledger:
-    """Append-only record of which recordings of a fixed set have been read.
+    """Append-only record of how much of a fixed set of recordings has been read.
 
-    ``complete`` rows are written under the batch id that made them. A recording already
-    complete is skipped on resume; the set itself may not change; a commit needs all of it.
+    Each micro-batch writes its samples per recording under its own batch id (a retry overwrites
+    only that folder), and a recording's samples are the sum over batches. A recording is complete
+    when the sum reaches the ``sample_count`` frozen with the set, or, in a set without counts, once
+    the set has been committed. Complete recordings are skipped on resume; the set may not change;
+    a commit needs all of it.
     """
 
+    COUNTS = "recording_id string, samples bigint, batch_id int"
+
     def __init__(self, spark: SparkSession, base: str):
         self.spark, self.base = spark, base
 
@@ -91,33 +124,49 @@ class Ledger:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.base}/{part}")
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
 
+    def frozen(self) -> DataFrame:
+        return self.spark.read.schema("recording_id string, sample_count bigint").parquet(f"{self.base}/set")
+
     def begin(self, recordings: DataFrame) -> None:
-        ids = recordings.select("recording_id").distinct()
+        count = F.max("sample_count").cast("long") if "sample_count" in recordings.columns else F.max(F.lit(None).cast("long"))
+        ids = recordings.groupBy(F.col("recording_id").cast("string").alias("recording_id")).agg(count.alias("sample_count"))
         if not self._exists("set"):
             ids.write.parquet(f"{self.base}/set")
             return
-        frozen = self.spark.read.parquet(f"{self.base}/set")
+        frozen = self.frozen()
         if not (ids.exceptAll(frozen).isEmpty() and frozen.exceptAll(ids).isEmpty()):
             raise PermissionError("the recording set may not change while resuming")
 
-    def done(self) -> DataFrame:
+    def counts(self) -> DataFrame:
         if not self._exists("done"):
-            return self.spark.createDataFrame([], "recording_id string, samples bigint, batch_id int")
-        return self.spark.read.schema("recording_id string, samples bigint, batch_id int").parquet(f"{self.base}/done")
+            return self.spark.createDataFrame([], self.COUNTS)
+        return self.spark.read.schema(self.COUNTS).parquet(f"{self.base}/done")
+
+    def done(self) -> DataFrame:
+        """Samples read so far of each recording."""
+        return self.counts().groupBy("recording_id").agg(F.sum("samples").alias("samples"))
+
+    def _complete(self, before: DataFrame) -> DataFrame:
+        if self._exists("complete"):
+            return self.spark.read.schema("recording_id string").parquet(f"{self.base}/complete")
+        sums = before.groupBy("recording_id").agg(F.sum("samples").alias("samples"))
+        return sums.join(self.frozen(), "recording_id").where("samples >= sample_count").select("recording_id")
 
     def record(self, batch: DataFrame, batch_id: int) -> None:
-        """Idempotent: earlier batches win, and a retried batch overwrites only itself."""
-        frozen = self.spark.read.parquet(f"{self.base}/set")
-        earlier = self.done().where(F.col("batch_id") != batch_id)
-        fresh = batch.groupBy("recording_id").agg(F.count("*").alias("samples")).join(frozen, "recording_id", "left_semi")
-        fresh = fresh.join(earlier, "recording_id", "left_anti")
+        """Idempotent: a retried batch overwrites only itself."""
+        earlier = self.counts().where(F.col("batch_id") != batch_id)
+        fresh = batch.groupBy("recording_id").agg(F.count("*").alias("samples")).join(self.frozen(), "recording_id", "left_semi")
+        fresh = fresh.join(self._complete(earlier), "recording_id", "left_anti")
         fresh.write.mode("overwrite").parquet(f"{self.base}/done/batch_id={batch_id}")
 
     def commit(self) -> DataFrame:
-        frozen = self.spark.read.parquet(f"{self.base}/set")
-        if not frozen.join(self.done(), "recording_id", "left_anti").isEmpty():
+        read = self.frozen().join(self.done(), "recording_id", "left")
+        short = F.col("samples").isNull() | (F.col("samples") != F.coalesce("sample_count", "samples"))
+        if not read.where(short).isEmpty():
             raise RuntimeError("an incomplete recording set cannot be committed")
-        return self.done().select("recording_id", "samples", F.lit("complete").alias("status"))
+        if not self._exists("complete"):
+            read.select("recording_id").write.parquet(f"{self.base}/complete")
+        return read.select("recording_id", "samples", F.lit("complete").alias("status"))
 
 
 def ledgered_stream(stream: DataFrame, recordings: DataFrame, base: str) -> DataFrame:
