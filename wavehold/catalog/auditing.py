@@ -86,7 +86,7 @@ def recording_halves(spark, sf):
 
 
 def block():
-    return F.substring("recording_id", 1, 3)
+    return None  # measured on the table
 
 
 @query("domain_probe", with_(RF) + ", p0 AS (SELECT cls AS k, recording_id, a, b, CAST(substr(domain, 2) AS INTEGER) AS y FROM rf)" + _SPLIT.format(o="p1", s="p0") + ridge2_sql("p1", "k", 3, 0.05, "pr")

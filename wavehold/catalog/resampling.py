@@ -101,7 +101,7 @@ BDET2 = BDET + ", bx AS (SELECT condition, " + ", ".join(f"quantile_cont({c}, 0.
 def detection_draws(spark, sf):
     scored = cut(m.binary_scores(ensemble(spark, sf)).select("condition", "fold", "recording_id", "truth", "y", "score"))
     one = scored.where("condition = 'full'")  # strata are the same recordings in every condition
-    picks = rs.draw_recordings(one, ["fold", "truth"], B, SEED, F.substring("recording_id", 1, 3))
+    picks = rs.draw_recordings(one, ["fold", "truth"], B, SEED)
     d = cut(scored.join(picks, ["fold", "truth", "recording_id"]))
     keys = ["condition", "fold", "draw"]
     fired, y, n = (F.col("score") >= THRESHOLD).cast("int"), F.col("y"), F.col("m")
@@ -147,7 +147,7 @@ ROB = RP + """, rv AS (SELECT condition, fold, recording_id, truth, list(pred OR
 
 def robustness_draws(spark, sf):
     r = cut(recs(spark, sf).select("condition", "seed", "fold", "recording_id", "truth", "pred"))
-    picks = rs.draw_recordings(r, ["fold", "truth"], B, SEED, F.substring("recording_id", 1, 3))
+    picks = rs.draw_recordings(r, ["fold", "truth"], B, SEED)
     c = m.cells(r.join(picks, ["fold", "truth", "recording_id"]), ["condition", "fold", "draw", "seed"], "m")
     f1 = m.macro_f1(c, ["condition", "fold", "draw", "seed"])
     return f1.groupBy("condition", "draw", F.col("seed").alias("severity")).agg(F.avg("macro_f1").alias("value"))
@@ -171,7 +171,7 @@ def _(spark, sf):
 
 
 def by_id():
-    return F.substring("recording_id", 1, 3)
+    return None  # measured on the table
 _INS = DISP + """, mx AS (SELECT domain, recording_id, max(med) FILTER (WHERE family = 'I') AS l, max(med) FILTER (WHERE family = 'Q') AS r FROM fm GROUP BY ALL), df AS (SELECT domain, recording_id, r - l AS diff FROM mx)"""
 
 

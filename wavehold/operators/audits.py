@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import kernels as k
 from ..functions.rng import hash_order
 from ..plans.quantiles import exact_quantiles
-from ..plans.ranking import blocked_lead, blocked_row_number, hash_block
+from ..plans.ranking import blocked_lead, blocked_row_number, hash_block, text_block
 from ..session import cut
 from . import probe
 from .fit import mean_vectors
@@ -126,13 +126,13 @@ def group_leakage(members: DataFrame) -> DataFrame:
     return role_overlaps(members, ["fold_id"])
 
 
-def probe_accuracy(recordings: DataFrame, keys: list[str], block: Column, l2: float = 0.05) -> DataFrame:
+def probe_accuracy(recordings: DataFrame, keys: list[str], block: Column | None = None, l2: float = 0.05) -> DataFrame:
     """Domain probe: ridge on every other recording of each domain, accuracy on the rest.
 
     ``cls`` is the domain index. Null where a key has fewer than two domains or a domain has
     fewer than two recordings: unavailable is never a pass.
     """
-    ranked = blocked_row_number(recordings, [*keys, "cls"], ["recording_id"], block, "_rank")
+    ranked = blocked_row_number(recordings, [*keys, "cls"], ["recording_id"], text_block(recordings, "recording_id") if block is None else block, "_rank")
     d = ranked.withColumn("role", F.when(F.col("_rank") % 2 == 1, "source_fit").otherwise("test"))
     support = recordings.groupBy(*keys, "cls").agg(F.count("*").alias("n")).groupBy(*keys).agg(
         ((F.count("*") >= 2) & (F.min("n") >= 2)).alias("usable"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.ranking import blocked_running_sum
+from ..plans.ranking import blocked_running_sum, text_block
 
 
 def window_count(n: Column, length: int, hop: int) -> Column:
@@ -73,14 +73,14 @@ def first_window(windows: DataFrame, keys: list[str], columns: list[str]) -> Dat
     return windows.groupBy(*keys).agg(F.min_by(packed, F.col("start")).alias("_w")).select(*keys, "_w.*")
 
 
-def global_order(framed: DataFrame, hop: int, prefix: int = 3) -> DataFrame:
+def global_order(framed: DataFrame, hop: int) -> DataFrame:
     """0-based position of every window in (recording_id, start) order over the whole table.
 
     Only per-recording counts are ordered; windows add their own rank from ``start``.
     """
     counts = framed.groupBy("recording_id").agg(F.count("*").alias("_m"))
     upto = blocked_running_sum(
-        counts, [], ["recording_id"], F.substring("recording_id", 1, prefix), {"_upto": F.col("_m")}
+        counts, [], ["recording_id"], text_block(counts, "recording_id"), {"_upto": F.col("_m")}
     ).select("recording_id", (F.col("_upto") - F.col("_m")).alias("_before"))
     rank = F.col("_before") + F.floor(F.col("start") / F.lit(hop)).cast("long")
     return framed.join(upto, "recording_id").withColumn("position", rank).drop("_before")

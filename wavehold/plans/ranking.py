@@ -23,6 +23,27 @@ def time_block(column: str) -> Column:
     return (F.unix_date(F.to_date(column)).cast("long") * 24 + F.hour(column)).cast("long")
 
 
+def text_block(df: DataFrame, column: str, width: int = BLOCK_IDS, sample: int = 64) -> Column:
+    """Block for any text order: boundaries measured on the column, about ``width`` rows apart.
+
+    About ``sample`` distinct values per block come to the driver; ids that share a long prefix are
+    parted as well as any others. Boundaries change the layout only, never a rank or a sum.
+    """
+    blocks = -(-df.count() // width)
+    if blocks <= 1:
+        return F.lit(0)
+    rows = df.select(F.col(column).cast("string").alias("v")).where("v is not null")
+    share = int(min(1.0, sample / width) * (1 << 30))
+    drawn = sorted(r["v"] for r in rows.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).distinct().collect())
+    # Python orders code points and Spark orders UTF-8 bytes: the same order
+    edges = sorted({drawn[len(drawn) * k // blocks] for k in range(1, blocks)}) if drawn else []
+    if not edges:
+        return F.lit(0)
+    edge, steps = F.lit(edges), F.lit([1 << k for k in range(len(edges).bit_length() - 1, -1, -1)])
+    value = F.col(column).cast("string")
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(value >= F.get(edge, at + step - 1), at + step).otherwise(at))
+
+
 def hash_block(column: str, digits: int = 3) -> Column:
     """Block for hexadecimal hashes used as an order."""
     return F.substring(F.col(column), 1, digits)

@@ -18,10 +18,9 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.rng import uniform
 from ..operators import metrics as m
 from .quantiles import exact_quantiles
-from .ranking import blocked_row_number
+from .ranking import blocked_row_number, text_block
 
 CHUNK = 1 << 16
-REPLAY_LIMIT = 1_000_000  # largest stratum whose slots are enumerated
 
 
 def _slots(strata: DataFrame, draws: int) -> DataFrame:
@@ -42,14 +41,14 @@ def _position(seed: int, stratum: list[str]) -> Column:
 
 def draw_cells(
     cells: DataFrame, keys: list[str], stratum: list[str], cell: list[str], draws: int, seed: int,
-    replay_limit: int = REPLAY_LIMIT,
+    replay_limit: int | None = None,
 ) -> DataFrame:
     """Counts ``m`` per (keys, draw, stratum, cell) of a stratified resample with replacement.
 
     ``cells`` holds counts ``n`` per (keys, stratum, cell). Draws depend on ``stratum`` only,
-    so different ``keys`` (conditions) with equal strata are resampled alike. A stratum above
-    ``replay_limit`` recordings is drawn as one multinomial per draw: the same distribution,
-    at a cost that no longer grows with its size.
+    so different ``keys`` (conditions) with equal strata are resampled alike. Every stratum is drawn
+    slot by slot, whatever its size. Only a caller that names a ``replay_limit`` has strata above it
+    drawn as one multinomial per draw: the same distribution, other draws.
     """
     group = list(dict.fromkeys([*keys, *stratum]))
     packed = cells.groupBy(*group).agg(
@@ -57,10 +56,12 @@ def draw_cells(
     names = ", ".join(f"x.{c} as {c}" for c in cell)
     packed = packed.withColumn("_c", F.expr(
         f"transform(_c, (x, k) -> struct({names}, aggregate(slice(_c, 1, k + 1), 0L, (t, y) -> t + y.cnt) as upto))"))
-    small = _slots(packed.where(F.col("n") <= replay_limit), draws).withColumn("_at", _position(seed, stratum))
+    small = _slots(packed if replay_limit is None else packed.where(F.col("n") <= replay_limit), draws).withColumn("_at", _position(seed, stratum))
     hit = F.expr("filter(_c, x -> _at < x.upto)[0]")
     drawn = small.withColumn("_h", hit).groupBy(*group, "draw", *[F.col(f"_h.{c}").alias(c) for c in cell]).agg(
         F.count("*").alias("m"))
+    if replay_limit is None:
+        return drawn
     large = packed.where(F.col("n") > replay_limit)
     return drawn.unionByName(_multinomial(large, cells, group, stratum, cell, draws, seed))
 
@@ -88,13 +89,13 @@ def _multinomial(packed, cells, group, stratum, cell, draws, seed):
     return d.mapInPandas(run, schema)
 
 
-def draw_recordings(recordings: DataFrame, stratum: list[str], draws: int, seed: int, block: Column) -> DataFrame:
+def draw_recordings(recordings: DataFrame, stratum: list[str], draws: int, seed: int, block: Column | None = None) -> DataFrame:
     """How often each recording is drawn: (stratum, recording_id, draw, m), zeros left out.
 
     For statistics that are not functions of a few cells. Positions follow recording id.
     """
     own = recordings.select(*stratum, "recording_id").distinct()
-    placed = blocked_row_number(own, stratum, ["recording_id"], block, "_at").withColumn("_at", F.col("_at") - 1)
+    placed = blocked_row_number(own, stratum, ["recording_id"], text_block(own, "recording_id") if block is None else block, "_at").withColumn("_at", F.col("_at") - 1)
     sizes = own.groupBy(*stratum).agg(F.count("*").alias("n"))
     picks = _slots(sizes, draws).withColumn("_at", _position(seed, stratum)).groupBy(*stratum, "_at", "draw").agg(
         F.count("*").alias("m"))
