@@ -63,16 +63,18 @@ def ingest_interleaved(files: DataFrame, chunk: int = 4096) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for k in range(batch.num_rows):
+                content = batch.column(1)[k].as_buffer()
                 if len(content) % 8:
-                    raise ValueError(f"{path} does not hold whole I/Q pairs")
+                    raise ValueError(f"{batch.column(0)[k]} does not hold whole I/Q pairs")
                 pairs = np.frombuffer(content, dtype="<f4").reshape(-1, 2)
-                for k in range(0, len(pairs), chunk):
-                    part = pairs[k : k + chunk]
+                for first in range(0, len(pairs), 256 * chunk):
+                    part = pairs[first : first + 256 * chunk]
+                    edges = pa.array(np.append(np.arange(0, len(part), chunk), len(part)).astype(np.int32))
+                    rows = len(edges) - 1
+                    lists = [pa.ListArray.from_arrays(edges, pa.array(np.ascontiguousarray(part[:, side]))) for side in (0, 1)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([path]), pa.array([k // chunk]), pa.array([part[:, 0].tolist()], type=pa.list_(pa.float32())),
-                         pa.array([part[:, 1].tolist()], type=pa.list_(pa.float32()))],
-                        names=["path", "chunk_no", "i", "q"])
+                        [batch.column(0).take(pa.array(np.full(rows, k))), pa.array(first // chunk + np.arange(rows)), *lists], names=["path", "chunk_no", "i", "q"])
 
     return files.select("path", "content").mapInArrow(run, schema)
 
