@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.quantiles import exact_quantiles
+from ..session import cut
 
 # ---- instability; the order median -> max -> median -> mean -> max is part of the result ----
 
@@ -98,6 +99,7 @@ def representation_similarity(pairs: DataFrame, keys: list[str]) -> DataFrame:
 OBJECTIVES = ("sensitivity", "neg_f1", "bytes_per_sample", "macs", "latency_ms")
 TOLERANCE = 1e-12
 BLOCKS = 16
+BLOCK_ROWS = 20_000
 
 
 def minimised(records: DataFrame) -> DataFrame:
@@ -120,14 +122,22 @@ def _beaten(candidates: np.ndarray, rivals: np.ndarray) -> np.ndarray:
     return out
 
 
-def _minimal(points: np.ndarray) -> np.ndarray:
-    """Indexes of points no other point is below or equal to everywhere (one of equals stays)."""
+def _minimal(points: np.ndarray, step: int = 256) -> np.ndarray:
+    """Indexes of points no other point is below or equal to everywhere (one of equals stays).
+
+    In lexicographic order only earlier points can be below; a step of them meets what is kept so
+    far and the earlier points of its own step.
+    """
     order = np.lexsort(points.T[::-1])
-    kept: list[int] = []
-    for k in order:
-        if not kept or not (points[kept] <= points[k]).all(axis=1).any():
-            kept.append(k)
-    return np.array(kept, dtype=int)
+    kept = order[:0]
+    for start in range(0, len(order), step):
+        some = order[start : start + step]
+        own = (points[some][:, None] <= points[some][None]).all(axis=2)
+        covered = np.triu(own, 1).any(axis=0)
+        for lo in range(0, len(kept), 4096):
+            covered |= (points[kept[lo : lo + 4096]][:, None] <= points[some][None]).all(axis=2).any(axis=0)
+        kept = np.concatenate([kept, some[~covered]])
+    return kept.astype(int)
 
 
 def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -148,12 +158,12 @@ def _thin(pdf: pd.DataFrame) -> pd.DataFrame:
     return out[alive | rival]
 
 
-def pareto_front(records: DataFrame, keys: list[str], blocks: int = BLOCKS) -> DataFrame:
+def pareto_front(records: DataFrame, keys: list[str], blocks: int | None = None) -> DataFrame:
     """Non-dominated feasible rows per group, without a pairwise join of the table.
 
     Arrow batches are thinned where they are read, so the shuffle carries little more than
-    local fronts. Hash blocks of a group are thinned again, and the survivors of each block
-    meet the minimal rows of all blocks. Every stage is exact for the tolerance rule, which is
+    local fronts. Hash blocks of a group, as many as its survivors need, are thinned again, and the
+    survivors of each block meet the minimal rows of all blocks. Every stage is exact for the tolerance rule, which is
     not transitive by itself.
     """
     if not repeated_ids(records, keys).isEmpty():
@@ -170,7 +180,8 @@ def pareto_front(records: DataFrame, keys: list[str], blocks: int = BLOCKS) -> D
                 if len(g):
                     yield _thin(g)
 
-    near = d.mapInPandas(local, flagged)
+    near = cut(d.mapInPandas(local, flagged))
+    blocks = blocks or max(BLOCKS, near.count() // BLOCK_ROWS)
     block = F.pmod(F.xxhash64("stable_id"), F.lit(blocks)).cast("int")
     thinned = near.withColumn("_block", block).groupBy(*keys, "_block").applyInPandas(_thin, flagged + ", _block int")
     everywhere = F.when(F.col("rival"), F.sequence(F.lit(0), F.lit(blocks - 1))).otherwise(F.array("_block"))
