@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import string
 import sys
 import types
 import zlib
@@ -59,37 +60,87 @@ def _kept(name: str) -> dict:
     return home.__dict__.setdefault(name, {})
 
 
-def _library_encoder(path: str, limit: int):
-    """bytes of a text -> little-endian uint16 ids, by the tokenizers library over distinct words.
+class _WordEncoder:
+    """bytes of texts -> little-endian uint32 ids, by the tokenizers library over distinct words.
 
     White space ends words in this tokenizer and never reaches an id, so a text's ids are those of
-    its parts between ASCII white space. Parts are encoded in batches and remembered; the memory is
-    emptied when it holds `limit` of them.
+    its parts between ASCII white space; and a part's last marks are a word of their own after
+    letters. Letters only: many such words go to the library as one text, and each ends with an id
+    that marks a word's end. Other parts are encoded one by one. What was encoded is remembered in
+    two generations of `limit` parts: the old one goes when the young one is full.
     """
-    state = _kept(f"words {path}")
-    if not state:
+
+    def __init__(self, path: str, limit: int):
         from tokenizers import Tokenizer
 
-        state.update(tok=Tokenizer.from_file(path), words={})
-    tok, words = state["tok"], state["words"]
+        self.tok, self.limit = Tokenizer.from_file(path), limit
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _single(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _letters(self, words: list[str], joined: int = 256) -> list[bytes]:
+        out: list[bytes] = []
+        groups = [words[k : k + joined] for k in range(0, len(words), joined)]
+        for some, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            if len(stop) == len(some) and stop[-1] == len(ids):
+                flat = ids.tobytes()
+                out += [flat[4 * a : 4 * b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+            else:
+                out += self._single(some)
+        return out
+
+    def learn(self, parts: list[bytes]) -> None:
+        known, old = self.young, self.old
+        letters, rest, ended = [], [], []
+        for w in parts:
+            if w in old:
+                known[w] = old[w]
+                continue
+            text = w.decode()
+            stem = text.rstrip(string.punctuation)
+            if not stem.isalpha():
+                rest.append((w, text))
+            elif len(stem) == len(text):
+                letters.append((w, text))
+            else:
+                ended.append((w, stem.encode(), text[len(stem):].encode()))
+        have = known.keys() | {w for w, _ in letters} | {w for w, _ in rest}
+        letters += [(s, s.decode()) for s in {s for _, s, _ in ended} - have]
+        rest += [(t, t.decode()) for t in {t for _, _, t in ended} - have]
+        for some, encode in ((letters, self._letters), (rest, self._single)):
+            for k in range(0, len(some), 8_192):
+                known.update(zip([w for w, _ in some[k : k + 8_192]], encode([t for _, t in some[k : k + 8_192]]), strict=True))
+        known.update((w, known[s] + known[t]) for w, s, t in ended)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        # the library looks for special tokens before it lowers letters, and so must this
+        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        seen: set[bytes] = set()
+        for ws in split:
+            seen.update(ws)
+        self.learn(list(seen.difference(self.young)))
+        return [b"".join(map(self.young.__getitem__, ws)) for ws in split]
 
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        if len(words) > limit:
-            words.clear()
-        new = list({w for ws in split for w in ws if w not in words})
-        for k in range(0, len(new), 4096):
-            some = new[k : k + 4096]
-            for w, e in zip(some, tok.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                words[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(words.__getitem__, ws)) for ws in split]
 
-    return encode
+def _library_encoder(path: str, limit: int):
+    state = _kept(f"words {path}")
+    if not state:
+        state["encoder"] = _WordEncoder(path, limit)
+    return state["encoder"].encode
 
 
 def write_blocks(
     df: DataFrame, path: str, tokenizer: str, vocabulary: int, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text",
-    block_ids: int = 1 << 18, parts: int | None = None, word_limit: int = 400_000,
+    block_ids: int = 1 << 18, parts: int | None = None, word_limit: int = 250_000,
 ) -> None:
     """Encode whole texts and write their ids as bit-packed blocks under `path` (Parquet as the container).
 
