@@ -7,14 +7,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, stored, text_or_empty
-from .linking import linked_groups
+from .linking import Judge, linked_groups
 
 WORDS = 5
 SKETCH_BITS = 512
+RARE = 8  # documents of a crowd that have a shingle, up to which it is a rare one
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -107,31 +108,77 @@ def _signed(df: DataFrame, bands: int, rows: int) -> DataFrame:
     return df.mapInArrow(run, "doc_id bigint, n_shingles bigint, same binary, bands array<bigint>, sketch array<bigint>")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full shingle sets have 100 * common >= percent * united."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    some = stored(texts.join(wanted, "id", "left_semi"), "candidate-texts")
-    rows = pairs.join(some.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
-        some.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+class _ShingleJudge(Judge):
+    """Odd sketches as the quick test, full shingle sets as the last word."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            ta, tb = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
-            keep = []
-            for k in range(len(a)):
-                if last[0] != a[k]:
-                    last = (a[k], shingle_sets([ta[k].as_py()])[0])
-                one, two = last[1], shingle_sets([tb[k].as_py()])[0]
-                if 100 * min(len(one), len(two)) < percent * max(len(one), len(two)):
-                    continue
-                common = len(np.intersect1d(one, two, assume_unique=True))
-                if 100 * common >= percent * (len(one) + len(two) - common):
-                    keep.append(k)
-            yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
-
-    return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+    def __init__(self, texts: DataFrame, percent: int, samples: int):
+        self.all_texts, self.percent, self.limit = texts, percent, sketch_limit(percent / 100, samples)
+        self.bounded = False
+
+    def gather(self, ids: DataFrame) -> None:
+        self.texts = stored(self.all_texts.join(ids, "id", "left_semi"), "candidate-texts")
+
+    def near(self, a: str, b: str) -> Column:
+        bits = [F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(SKETCH_BITS // 64)]
+        n, m = F.col(f"n_shingles_{a}"), F.col(f"n_shingles_{b}")
+        most = F.least(n, m)
+        if self.bounded:
+            # shingles that no other document in question has are in no common set; in a crowd, the rare
+            # ones are in it only where both name them
+            most = F.least(n - F.col(f"alone_{a}"), m - F.col(f"alone_{b}"))
+            common = F.size(F.array_intersect(f"rare_{a}", f"rare_{b}"))
+            both = F.col(f"rare_{a}").isNotNull() & F.col(f"rare_{b}").isNotNull()
+            most = F.when(both, F.least(most, common + F.least(n - F.col(f"loose_{a}"), m - F.col(f"loose_{b}")))).otherwise(most)
+        return (sum(bits[1:], bits[0]) <= self.limit) & (100 * most >= self.percent * (n + m - most))
+
+    def refined(self, items: DataFrame) -> DataFrame:
+        self.bounded = True
+        some = self.texts.join(items.select("id", "crowded"), "id").select("id", "crowded", "text")
+        sets = some.mapInArrow(_shingles, "id bigint, crowded boolean, shingle bigint")
+        found = sets.groupBy("shingle").agg(F.count("*").alias("n"), F.count_if("crowded").alias("in_crowd"), F.min("id").alias("id"))
+        alone = found.where("n = 1").groupBy("id").agg(F.count("*").alias("alone"))
+        seldom = found.where(F.col("in_crowd").between(1, RARE)).select("shingle", "in_crowd")
+        loose = sets.where("crowded").join(seldom, "shingle").groupBy("id").agg(
+            F.count("*").alias("loose"), F.collect_list(F.when(F.col("in_crowd") > 1, F.col("shingle"))).alias("rare"))
+        # a document with few shingles of its own is in the middle of its crowd
+        out = items.join(alone, "id", "left").join(loose, "id", "left").withColumn("alone", F.coalesce("alone", F.lit(0)))
+        none = F.array().cast("array<bigint>")
+        return out.withColumns({
+            "order": F.col("alone"), "loose": F.when(F.col("crowded"), F.coalesce("loose", F.lit(0))), "rare": F.when(F.col("crowded"), F.coalesce("rare", none)),
+        })
+
+    def verify(self, pairs: DataFrame) -> DataFrame:
+        """Pairs with 100 * common >= percent * united."""
+        percent = self.percent
+        rows = pairs.join(self.texts.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b").join(
+            self.texts.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            last: tuple[int | None, np.ndarray] = (None, np.zeros(0, np.uint64))
+            for batch in batches:
+                a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+                ta, tb = batch.column(2).cast(pa.binary()), batch.column(3).cast(pa.binary())
+                keep = []
+                for k in range(len(a)):
+                    if last[0] != a[k]:
+                        last = (a[k], shingle_sets([ta[k].as_py()])[0])
+                    one, two = last[1], shingle_sets([tb[k].as_py()])[0]
+                    common = len(np.intersect1d(one, two, assume_unique=True))
+                    if 100 * common >= percent * (len(one) + len(two) - common):
+                        keep.append(k)
+                yield pa.RecordBatch.from_arrays([pa.array([a[k] for k in keep], pa.int64()), pa.array([b[k] for k in keep], pa.int64())], ["a", "b"])
+
+        return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2).cast(pa.binary()).to_pylist()
+        for k in range(0, len(texts), 64):
+            sets = shingle_sets(texts[k : k + 64])
+            row = pa.array(np.repeat(np.arange(k, k + len(sets)), [len(s) for s in sets]))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(sets).view(np.int64))], ["id", "crowded", "shingle"])
 
 
 def near_duplicates(df: DataFrame, percent: int = 85, bands: int = 21, rows: int = 6, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -139,8 +186,9 @@ def near_duplicates(df: DataFrame, percent: int = 85, bands: int = 21, rows: int
 
     Documents whose sets of five-word shingles have a Jaccard similarity of `percent` / 100 or more
     are linked. Equal sets are one class from the start, so crowds of copies weigh as much as one
-    document. Classes that share a MinHash band meet, odd sketches drop those far below the
-    threshold, and the full sets decide. With 21 bands of 6 a pair just at 0.85 is missed with a
+    document. Classes that share a MinHash band meet as linked_groups has it, odd sketches drop those
+    far below the threshold, and the full sets decide. In crowds of near copies the shingles that a
+    document shares with no other candidate bound its similarity, which spares the pairs of a crowd. With 21 bands of 6 a pair just at 0.85 is missed with a
     chance of 5e-5, with 32 bands of 5 one at 0.80 with 3e-6. Null, empty and blank texts have the
     empty set and are linked with nothing, not even each other. A null id takes no part: its
     component is null and it is kept. Rows with the same id are one document, of the text with the
@@ -149,16 +197,10 @@ def near_duplicates(df: DataFrame, percent: int = 85, bands: int = 21, rows: int
     texts = df.select(F.col(id_col).cast("long").alias("id"), text_or_empty(F.col(text_col)).alias("text"))
     signed = stored(_signed(texts, bands, rows), "minhash")
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    classes = full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
+    classes = full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
     postings = classes.select("id", F.explode("bands").alias("key"))
-    limit = sketch_limit(percent / 100, bands * rows)
-
-    def near(a: str, b: str):
-        bits = [F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(SKETCH_BITS // 64)]
-        return sum(bits[1:], bits[0]) <= limit
-
-    groups = linked_groups(postings, classes.select("id", "sketch"), near, lambda pairs: _verified(pairs, texts, percent))
+    groups = linked_groups(postings, classes.select("id", "n_shingles", "sketch"), _ShingleJudge(texts, percent, bands * rows))
     of_class = cut(classes.select("same", "id").join(groups, "id", "left").select("same", F.coalesce("component", "id").alias("component")))
     rows_of = signed.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
