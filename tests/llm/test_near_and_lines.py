@@ -7,7 +7,7 @@ import regex
 from pyspark.sql import functions as F
 
 from wavehold.llm import fuzzy_lines
-from wavehold.llm.linking import components, linked_groups
+from wavehold.llm.linking import Judge, components, linked_groups
 from wavehold.llm.near_dup import SKETCH_BITS, drop_near_duplicates, near_duplicates, shingle_sets, signatures, sketch_limit
 
 
@@ -40,6 +40,23 @@ def test_groups_equal_brute_force(spark, copies, near_groups, percent, bands, ro
     assert all(r.n_shingles == len(sets[r.doc_id]) and r.kept == (r.doc_id == r.component_id) for r in got)
 
 
+def test_crowd_of_near_copies(spark, near_groups):
+    # edits come from a small stock, so that members share some of them: rare, seldom and common shingles
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(140)]
+    stock = [(rng.randrange(140), f"s{k}") for k in range(60)]
+    rows = {}
+    for i in range(1, 321):
+        words = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 2, 3, 4])):
+            at, word = rng.choice(stock) if rng.random() < 0.6 else (rng.randrange(140), f"own{i}x{rng.randrange(10**6)}")
+            words[at] = word
+        rows[i] = " ".join(words)
+    want, _ = near_groups(rows, 85)
+    got = near_duplicates(frame(spark, list(rows.items())))
+    assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) > 20
+
+
 def test_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in near_duplicates(odd).collect() if r.doc_id is not None}
     assert got[2].component_id == 2 and got[3].component_id == 3 and got[4].component_id == 4 and got[3].n_shingles == 0
@@ -81,7 +98,15 @@ def test_links_away_from_the_center_are_found(spark):
     # 2-3 and 4-5 are links, none of them with 1, which is the least id of their only bucket
     postings = spark.createDataFrame([(7, i) for i in range(1, 6)], "key bigint, id bigint")
     items = postings.select("id", (F.col("id") / 2).cast("int").alias("half"))
-    got = linked_groups(postings, items, lambda a, b: F.col(f"half_{a}") == F.col(f"half_{b}"), lambda pairs: pairs).collect()
+
+    class Halves(Judge):
+        def near(self, a, b):
+            return F.col(f"half_{a}") == F.col(f"half_{b}")
+
+        def verify(self, pairs):
+            return pairs
+
+    got = linked_groups(postings, items, Halves()).collect()
     assert {r.id: r.component for r in got} == {2: 2, 3: 2, 4: 4, 5: 4}
 
 
