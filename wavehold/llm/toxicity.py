@@ -165,7 +165,8 @@ def score(documents: DataFrame, model: Model, text_col: str = "text", threshold:
                 return 0.0, []
             whole, found = 0.0, []
             for s in SENTENCE.finditer(text):
-                z = sum(heavy.get(t, 0.0) for t in s.group().split())
+                # a sentence's last word has lost the mark that its token in the text ends with
+                z = sum(heavy[t] if t in heavy else 0.0 if t in plain else sum(weights.get(c, 0.0) for c in cues_of(t)) for t in s.group().split())
                 if z > 0:
                     u = float(np.logaddexp(0, m.bias + z)) - base
                     whole += u
