@@ -57,6 +57,22 @@ def test_crowd_of_near_copies(spark, near_groups):
     assert {r.doc_id: r.component_id for r in got.collect()} == want and len(set(want.values())) > 20
 
 
+def test_crowd_with_repeated_rows(spark):
+    # two of a kind share two rare edits; one band of one row leaves them to meet in the crowd's buckets only
+    rng = random.Random(22)
+    base, rows = [f"w{k}" for k in range(160)], {}
+    for i in range(1, 161):
+        words = list(base)
+        for at in (i // 2 % 70 + 5, i // 2 % 60 + 90):
+            words[at] = f"c{i // 2}x{at}"
+        words[rng.randrange(160)] = f"own{i}"
+        rows[i] = " ".join(words)
+    groups = lambda rows: {r.doc_id: r.component_id for r in near_duplicates(frame(spark, rows), bands=1, rows=1).collect()}
+    want = groups(list(rows.items()))
+    twice = [(i, t.upper() if i % 2 else t) for i, t in rows.items() if i % 3 == 0] + [(i, t) for i, t in rows.items() if i % 9 == 0]
+    assert groups([*rows.items(), *twice]) == want and 20 < sum(i != c for i, c in want.items()) < 100
+
+
 def test_odd_rows(spark, odd, none):
     got = {r.doc_id: r for r in near_duplicates(odd).collect() if r.doc_id is not None}
     assert got[2].component_id == 2 and got[3].component_id == 3 and got[4].component_id == 4 and got[3].n_shingles == 0

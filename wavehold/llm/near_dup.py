@@ -111,12 +111,19 @@ def _signed(df: DataFrame, bands: int, rows: int) -> DataFrame:
 class _ShingleJudge(Judge):
     """Odd sketches as the quick test, full shingle sets as the last word."""
 
-    def __init__(self, texts: DataFrame, percent: int, samples: int):
-        self.all_texts, self.percent, self.limit = texts, percent, sketch_limit(percent / 100, samples)
+    def __init__(self, texts: DataFrame, repeated: DataFrame, percent: int, samples: int):
+        """`repeated` is (id, same) of the ids that have several rows, with the digest of the set that stands for the id."""
+        self.all_texts, self.repeated, self.percent, self.limit = texts, repeated, percent, sketch_limit(percent / 100, samples)
         self.bounded = False
 
     def gather(self, ids: DataFrame) -> None:
-        self.texts = stored(self.all_texts.join(ids, "id", "left_semi"), "candidate-texts")
+        # one text an id: each copy of a row would count its shingles once more, and the bounds of `near` would be too low
+        found = self.all_texts.join(ids, "id", "left_semi")
+        repeated = cut(self.repeated.join(ids, "id", "left_semi"))
+        if repeated.limit(1).count():
+            of_class = found.join(repeated, "id").select("id", "text", "same").mapInArrow(_of_class, "id bigint, text string")
+            found = found.join(repeated, "id", "left_anti").union(of_class.groupBy("id").agg(F.min("text").alias("text")))
+        self.texts = stored(found, "candidate-texts")
 
     def near(self, a: str, b: str) -> Column:
         bits = [F.bit_count(F.col(f"sketch_{a}")[k].bitwiseXOR(F.col(f"sketch_{b}")[k])) for k in range(SKETCH_BITS // 64)]
@@ -171,6 +178,16 @@ class _ShingleJudge(Judge):
         return rows.select("a", "b", "text_a", "text_b").mapInArrow(run, "a bigint, b bigint")
 
 
+def _of_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (id, text) whose shingle set has the digest `same`."""
+    from xxhash import xxh3_128_digest
+
+    for batch in batches:
+        texts, same = batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()
+        keep = [xxh3_128_digest(s.tobytes()) == d for k in range(0, len(texts), 64) for s, d in zip(shingle_sets(texts[k : k + 64]), same[k : k + 64])]
+        yield batch.select(["id", "text"]).filter(pa.array(keep, pa.bool_()))
+
+
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column(2).cast(pa.binary()).to_pylist()
@@ -199,8 +216,14 @@ def near_duplicates(df: DataFrame, percent: int = 85, bands: int = 21, rows: int
     full = signed.where("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = full.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
     classes = stored(classes, "classes")
-    postings = classes.select("id", F.explode("bands").alias("key"))
-    groups = linked_groups(postings, classes.select("id", "n_shingles", "sketch"), _ShingleJudge(texts, percent, bands * rows))
+    # an id is one document: of several classes that it is the least id of, the least one is compared
+    of_id = classes.groupBy("id").agg(F.min("same").alias("same"), F.count("*").alias("n"))
+    other = cut(classes.join(of_id.where("n > 1").select("id", F.col("same").alias("first")), "id").where("same != first").select("same"))
+    single = classes.join(other, "same", "left_anti")
+    several = full.groupBy(F.col("doc_id").alias("id")).agg(F.count("*").alias("n")).where("n > 1").select("id")
+    repeated = of_id.select("id", "same").join(several, "id")
+    postings = single.select("id", F.explode("bands").alias("key"))
+    groups = linked_groups(postings, single.select("id", "n_shingles", "sketch"), _ShingleJudge(texts, repeated, percent, bands * rows))
     of_class = cut(classes.select("same", "id").join(groups, "id", "left").select("same", F.coalesce("component", "id").alias("component")))
     rows_of = signed.select("doc_id", "n_shingles", "same").join(of_class, "same", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
