@@ -44,6 +44,22 @@ def test_recall_on_structureless_vectors(spark):
     assert hit / (5 * len(want)) >= 0.9 and scanned_share() < 0.94
 
 
+@pytest.mark.parametrize("noise", [0, 1e-3])
+def test_recall_with_a_crowd_of_a_third(spark, noise):
+    rng = np.random.default_rng(8)
+    x, ids = rng.normal(size=(6000, 64)), np.arange(6000)
+    x[::3] = x[0] + noise * rng.normal(size=(2000, 64))
+    x = x.astype(np.float32).astype(float)
+    got = defaultdict(list)
+    for r in nearest(vectors(spark, ids, x), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = exact(ids, x, ids[::50])
+    share = lambda qs: sum(len(set(got[q]) & {i for i, _ in want[q]}) for q in qs) / (5 * len(qs))
+    assert share([q for q in want if q % 3 == 0]) >= 0.95 and share(list(want)) >= 0.95
+    if not noise:  # ties go to smaller ids
+        assert all(got[q] == [i for i in range(0, 18, 3) if i != q][:5] for q in want if q % 3 == 0)
+
+
 def test_small_tables_are_exact_and_odd_rows_left_out(spark):
     rng = np.random.default_rng(6)
     x, ids = rng.normal(size=(90, 8)).astype(np.float32).astype(float), np.arange(90)
