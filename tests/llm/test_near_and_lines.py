@@ -6,7 +6,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
-from wavehold.llm import fuzzy_lines
+from wavehold.llm import fuzzy_lines, queries
 from wavehold.llm.linking import Judge, components, linked_groups
 from wavehold.llm.near_dup import SKETCH_BITS, drop_near_duplicates, near_duplicates, shingle_sets, signatures, sketch_limit
 
@@ -189,6 +189,31 @@ def test_lines_equal_brute_force(spark, lined, union):
     assert clean == {i: "\n".join(x for k, x in enumerate(t.split("\n")) if k not in want.get(i, [])) for i, t in lined}
 
 
+def test_recall_at_the_edit_bound(spark, tmp_path):
+    # pairs with as many scattered edits as 0.9 allows, and pairs with one word edited, by length, through the query
+    rng, letters = random.Random(13), "abcdefghijklmnopqrstuvwxyz"
+    rows, kinds = [], {}
+    for size in (12, 25, 45, 90, 150, 300):
+        for n in range(60):
+            line = ""
+            while len(line) < size:
+                line += "".join(rng.choice(letters) for _ in range(rng.randint(2, 8))) + " "
+            line = line.strip()
+            chars = list(line)
+            for at in rng.sample(range(len(chars)), int(0.1 * len(chars) + 1e-9) if n % 2 else 1):
+                chars[at] = rng.choice(letters) + (chars[at] if rng.random() < 0.2 and n % 2 == 0 else "")
+            other = re.sub(" +", " ", "".join(chars)).strip()
+            if edit_distance(line, other) <= int(0.1 * max(len(line), len(other)) + 1e-9) and line != other:
+                kinds[len(rows) + 2] = (size, n % 2)
+                rows += [(len(rows) + 1, line), (len(rows) + 2, other)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id for r in queries.op4_fuzzy_lines(spark, str(tmp_path)).where("n_dropped = 1").collect()}
+    assert got <= set(kinds)
+    for kind in set(kinds.values()):
+        of = [i for i, k in kinds.items() if k == kind]
+        assert len(of) >= 20 and sum(i in got for i in of) / len(of) >= 0.95, (kind, len(of), sum(i in got for i in of))
+
+
 def test_odd_lines(spark, odd, none):
     got = {r.doc_id: r for r in fuzzy_lines.repeated_lines(odd).collect() if r.doc_id is not None}
     assert got[11].dropped == [4] and got[3].n_lines == 1 and got[12].dropped == [0] and got[6].dropped == [0] and got[1].dropped == []

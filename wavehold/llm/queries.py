@@ -86,7 +86,7 @@ SQL["op3_hierarchical_budgets"] = _mixing_sql()
 
 @query
 def op4_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = repeated_lines(table(spark, sf_dir, "documents"))
+    rows = repeated_lines(table(spark, sf_dir, "documents"), distance=None)
     return rows.withColumn("dropped", F.array_join(F.col("dropped").cast("array<string>"), ","))
 
 
