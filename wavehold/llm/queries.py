@@ -15,6 +15,7 @@ from .fuzzy_lines import repeated_lines
 from .hilbert_ann import nearest
 from .near_dup import near_duplicates
 from .packing import read_documents, write_blocks
+from .runs import repeated_runs
 from .sharding import shard_rows
 
 TOKENIZERS = "/opt/tokenizers"
@@ -179,6 +180,13 @@ r AS (SELECT *, first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY poin
 SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, text_sha256 FROM r
 """
 
+
+@query
+def op11_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_runs(table(spark, sf_dir, "documents"), plant=True).select(
+        "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
+
+
 # CRC-32 by its polynomial, bit by bit, over the bytes of the text
 SQL["op6_sampled_splitters"] = """
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
