@@ -13,6 +13,7 @@ from .common import fresh_path, table
 from .digest_index import DigestIndex
 from .fuzzy_lines import repeated_lines
 from .hilbert_ann import nearest
+from .manifest import merkle_manifest, without_newlines
 from .near_dup import near_duplicates
 from .packing import read_documents, write_blocks
 from .runs import repeated_runs
@@ -23,6 +24,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
+# CRC-32 by its polynomial, bit by bit, over the bytes of a text
+CRC_TABLE = """c AS (SELECT n, list_reduce(list_prepend(n::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(n)),
+tab AS (SELECT list(v ORDER BY n) AS crc FROM c)"""
+
+
+def crc_sql(text: str) -> str:
+    return f"""xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode({text})), '..'),
+  lambda h: ('0x' || h)::UBIGINT)), lambda a, b: xor(a >> 8, tab.crc[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT)"""
+
+
 def query(fn):
     QUERIES[fn.__name__] = fn
     return fn
@@ -187,16 +199,51 @@ def op11_grammar_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_runs", "start", "length", "period", "exponent_milli", "runs_sha256", "collapsed_sha256", "n_words")
 
 
-# CRC-32 by its polynomial, bit by bit, over the bytes of the text
-SQL["op6_sampled_splitters"] = """
+@query
+def op12_midstate_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"), without_newlines())
+
+
+def _manifest_sql() -> str:
+    def leaf(text: str) -> str:
+        cols = [f"{c}::VARCHAR" for c in ("doc_id", "source", "lang", "n_chars")] + [text]
+        return "sha256(" + " || ".join(f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')" for c in cols) + ")"
+
+    def tree(name: str, first: str) -> str:
+        """Nodes of all levels, and of every node the siblings on its two sides."""
+        near = "string_agg(digest, '' ORDER BY idx) OVER (PARTITION BY tree, lvl, idx // 3 ORDER BY idx ROWS BETWEEN {} EXCLUDE CURRENT ROW)"
+        return f"""
+{name} AS (SELECT tree, 0 AS lvl, idx, digest, count(*) OVER (PARTITION BY tree) AS size FROM {first} UNION ALL
+  SELECT tree, max(lvl) + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (max(size) + 2) // 3 FROM {name} WHERE size > 1 GROUP BY tree, idx // 3),
+{name}_near AS (SELECT tree, lvl, idx, size, coalesce({near.format("UNBOUNDED PRECEDING AND CURRENT ROW")}, '') AS l,
+  coalesce({near.format("CURRENT ROW AND UNBOUNDED FOLLOWING")}, '') AS r FROM {name} WHERE size > 1),
+{name}_top AS (SELECT tree, lvl AS height, digest FROM {name} WHERE size = 1)"""
+
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+f AS (SELECT *, {crc_sql("doc_id::VARCHAR")} % 2 = 0 AS even FROM documents, tab),
+d AS (SELECT doc_id, source AS tree, {leaf("text")} AS leaf, {leaf("CASE WHEN even THEN replace(text, chr(10), '') ELSE text END")} AS changed FROM f),
+n AS (SELECT *, leaf AS digest, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf, changed) - 1 AS idx FROM d),
+{tree("t", "n")},
+s AS (SELECT 0 AS tree, t_top.tree AS source, digest, row_number() OVER (ORDER BY encode(t_top.tree) NULLS FIRST) - 1 AS idx FROM t_top),
+{tree("u", "s")},
+p AS (SELECT n.doc_id, n.leaf, n.changed, n.tree, n.idx, s.digest AS subroot, s.idx AS at, u_top.digest AS root, t_top.height AS h, u_top.height AS hh
+  FROM n JOIN s ON n.tree IS NOT DISTINCT FROM s.source JOIN t_top ON n.tree IS NOT DISTINCT FROM t_top.tree, u_top),
+w AS (SELECT *, 0 AS k, changed AS folded, '' AS near FROM p UNION ALL
+  SELECT w.* REPLACE (k + 1 AS k, sha256(coalesce(a.l, b.l) || folded || coalesce(a.r, b.r)) AS folded, near || coalesce(a.l, b.l) || coalesce(a.r, b.r) AS near)
+  FROM w LEFT JOIN t_near a ON k < h AND a.tree IS NOT DISTINCT FROM w.tree AND a.lvl = k AND a.idx = w.idx // (3 ** k)::BIGINT
+  LEFT JOIN u_near b ON k >= h AND b.lvl = k - h AND b.idx = w.at // (3 ** greatest(k - h, 0))::BIGINT WHERE k < h + hh)
+SELECT doc_id, leaf, subroot, root, sha256(near) AS proof_sha256, folded AS folded_root, folded = root AS verified FROM w WHERE k = h + hh
+"""
+
+
+SQL["op12_midstate_tree"] = _manifest_sql()
+SQL["op6_sampled_splitters"] = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
-c AS (SELECT n, list_reduce(list_prepend(n::UBIGINT, [0::UBIGINT, 0, 0, 0, 0, 0, 0, 0]),
-  lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384::UBIGINT) ELSE a >> 1 END) AS v FROM range(256) r(n)),
-tab AS (SELECT list(v ORDER BY n) AS crc FROM c),
+{CRC_TABLE},
 k AS (SELECT doc_id, octet_length(encode(text)) + 1 AS size, text,
   ('0x' || substr(md5(text), 1, 15))::BIGINT AS key FROM t),
-x AS (SELECT k.*, xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(regexp_extract_all(hex(encode(text)), '..'),
-  lambda h: ('0x' || h)::UBIGINT)), lambda a, b: xor(a >> 8, tab.crc[(xor(a, b) & 255)::INT + 1])), 4294967295::UBIGINT) AS text_crc32 FROM k, tab),
+x AS (SELECT k.*, {crc_sql("text")} AS text_crc32 FROM k, tab),
 o AS (SELECT *, row_number() OVER w - 1 AS rank, coalesce(sum(size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
   sum(size) OVER () AS total FROM x WINDOW w AS (ORDER BY key, doc_id NULLS FIRST)),
 s AS (SELECT *, CAST(before * 8 // total AS INTEGER) AS shard FROM o)
