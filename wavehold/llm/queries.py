@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import credentials, mixing, toxicity
+from . import bloom_lm, credentials, mixing, toxicity
 from .bpe import encode_decode
 from .common import fresh_path, table
 from .digest_index import DigestIndex
@@ -238,6 +238,14 @@ SELECT doc_id, leaf, subroot, root, sha256(near) AS proof_sha256, folded AS fold
 
 
 SQL["op12_midstate_tree"] = _manifest_sql()
+
+
+@query
+def op13_log_frequency_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bloom_lm.score(documents, bloom_lm.train(documents.where(~bloom_lm.held_out())))
+
+
 SQL["op6_sampled_splitters"] = f"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 {CRC_TABLE},
