@@ -50,7 +50,7 @@ def brute(rows):
 
 def model_rows(df, train_on=None, **how):
     train_on = df if train_on is None else train_on
-    model = bloom_lm.train(train_on.where(~bloom_lm.held_out()), segment_bytes=how.pop("segment_bytes", 16 << 20), buffered=how.pop("buffered", 2_000_000))
+    model = bloom_lm.train(train_on.where(~bloom_lm.held_out()), segment_bytes=how.pop("segment_bytes", 4 << 20), buffered=how.pop("buffered", 2_000_000))
     return sorted(map(tuple, bloom_lm.score(df, model, **how).collect()), key=str)
 
 
@@ -68,8 +68,8 @@ def test_levels_are_never_too_low_and_seldom_too_high():
     bits, size = filter_of(keys[:30_000], counts[:30_000])
     got = Segments(bits, np.zeros(1, np.uint64), np.array([size], np.uint64)).levels(keys)
     true = np.searchsorted(LEVELS, counts[:30_000], side="right")
-    assert (got[:30_000] >= true).all() and (got[:30_000] > true).mean() < 0.025
-    assert (got[30_000:] > 0).mean() < 0.025  # 2 ** -6 by design
+    assert (got[:30_000] >= true).all() and (got[:30_000] > true).mean() < 0.04
+    assert (got[30_000:] > 0).mean() < 0.04  # 2 ** -5 by design
     assert abs(np.unpackbits(bits).mean() - 0.5) < 0.02
     level = np.searchsorted(LEVELS, [1, 2, 3, 10**6], side="right")
     assert level.tolist()[:3] == [1, 2, 3] and 0.7 < VALUES[level[3]] / 10**6 < 1.4

@@ -7,13 +7,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import stored, text_or_empty
 
 BASE = 1.5  # of the quantised counts
-PROBES = 6  # hash functions for each level: 1 in 64 absent n-grams seems to be there once
+PROBES = 5  # hash functions for each level: 1 in 32 absent n-grams seems to be there once
 MIXED = 100.0  # pseudo-counts of the shorter history's probability
 BEGIN, END = b"\n<s>", b"\n</s>"  # no word holds a line feed
 U = np.uint64
@@ -125,17 +126,16 @@ class Tokens:
         return self.per_text(np.where(self.real, np.log10(p), 0.0))
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], words: int = 300_000) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Batches cut to about so many bytes / 6; a text is never cut."""
+def _pieces(batches: Iterator[pa.RecordBatch], size: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Batches cut to texts of about `size` bytes together; a text is never cut."""
     for batch in batches:
-        texts = batch.column(batch.schema.get_field_index("text")).cast(pa.binary()).to_pylist()
+        column = batch.column(batch.schema.get_field_index("text")).cast(pa.binary())
+        ends = np.cumsum(pc.binary_length(column).to_numpy())
         k = 0
-        while k < len(texts):
-            stop, held = k, 0
-            while stop < len(texts) and (stop == k or held + len(texts[stop]) <= 6 * words):
-                held += len(texts[stop])
-                stop += 1
-            yield batch.slice(k, stop - k), texts[k:stop]
+        while k < len(ends):
+            before = ends[k - 1] if k else 0
+            stop = max(k + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(k, stop - k), column.slice(k, stop - k).to_pylist()
             k = stop
 
 
@@ -169,7 +169,7 @@ class BloomModel:
         return self.table.select("words", "word_counts").mapInArrow(unfold, "key bigint, count bigint")
 
 
-def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 16 << 20, buffered: int = 2_000_000) -> BloomModel:
+def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str = "text", segment_bytes: int = 4 << 20, buffered: int = 2_000_000) -> BloomModel:
     """Count all n-grams up to `order` of the rows' whole texts and hold their quantised counts in Bloom filters.
 
     Tasks sum what they read by n-gram and send (segment, key, count); a segment's task adds up, sets the
@@ -246,12 +246,16 @@ def train(df: DataFrame, order: int = 2, id_col: str = "doc_id", text_col: str =
 
 
 def _flat(model: BloomModel) -> dict:
-    """All segments as plain arrays; absent ones hold no n-gram."""
-    rows = {r["segment"]: r for r in model.table.select("segment", "bits", "size").collect()}
-    empty = (bytes(8), 64)
-    parts = [(bytes(rows[k]["bits"]), rows[k]["size"]) if k in rows else empty for k in range(model.segments)]
-    sizes = np.array([s for _, s in parts], np.uint64)
-    return {"bits": np.frombuffer(b"".join(b for b, _ in parts), np.uint8), "sizes": sizes, "offsets": np.cumsum(sizes) - sizes}
+    """All segments as plain arrays, brought one partition at a time; absent ones hold no n-gram."""
+    sizes = np.full(model.segments, 64, np.uint64)
+    for r in model.table.select("segment", "size").collect():
+        sizes[r["segment"]] = r["size"]
+    offsets = np.cumsum(sizes) - sizes
+    bits = np.zeros(int(sizes.sum()) // 8, np.uint8)
+    for r in model.table.select("segment", "bits").toLocalIterator():
+        at = int(offsets[r["segment"]]) // 8
+        bits[at : at + len(r["bits"])] = np.frombuffer(r["bits"], np.uint8)
+    return {"bits": bits, "sizes": sizes, "offsets": offsets}
 
 
 def _head(words: DataFrame, most: int) -> tuple[int, np.ndarray, np.ndarray]:
@@ -277,7 +281,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 SCORED = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base double, score double, rare array<bigint>, times array<bigint>"
 
 
-def score(df: DataFrame, model: BloomModel, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 192 << 20, head: int = 1_000_000) -> DataFrame:
+def score(df: DataFrame, model: BloomModel, id_col: str = "doc_id", text_col: str = "text", broadcast_bytes: int = 128 << 20, head: int = 1_000_000) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row per row of `df`.
 
     score is the model's log10 probability of the text and its end, from the filter alone. base_score adds
