@@ -114,11 +114,3 @@ def test_probe_needs_two_recordings_per_domain(spark):
     df = spark.createDataFrame(rows, "g string, recording_id string, cls int, values array<double>")
     out = {r["g"]: r["accuracy"] for r in audits.probe_accuracy(df, ["g"], F.lit(0)).collect()}
     assert out["k"] == 1.0 and out["u"] is None
-
-
-def test_permuted_copies_keep_class_counts(spark):
-    df = spark.createDataFrame([(f"r{n}", n % 3) for n in range(17)], "recording_id string, cls int")
-    p = audits.permuted_classes(df, [], 5, 1)
-    counts = p.groupBy("draw", "cls").agg(F.count("*").alias("n")).select("cls", "n").distinct().collect()
-    assert {(r["cls"], r["n"]) for r in counts} == {(0, 6), (1, 6), (2, 5)}
-    assert p.select("draw", "recording_id").distinct().count() == 85

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..operators import audits as ops, fit, metrics as m, probe, selection, windows as wo
+from ..plans import draws as dr, permutation as pm
 from ..plans.ranking import id_block
 from ..session import cut
 from ..sources import views as v
@@ -96,26 +97,28 @@ def _(spark, sf):
 
 
 def perm_sql(src, key, draws, seed, label, out):
-    """Relabelled copies: rank by keyed hash against cumulative class counts."""
+    """Relabelled copies: positions are permuted and meet the cumulative class counts."""
     return f""", {out}_c AS (SELECT {key}, {label}, sum(count(*)) OVER (PARTITION BY {key} ORDER BY {label}) AS upto FROM {src} GROUP BY {key}, {label}),
- {out}_r AS (SELECT s.*, draw, row_number() OVER (PARTITION BY s.{key}, draw ORDER BY sha256(concat_ws('|', {seed}, s.{key}, draw, recording_id)), recording_id) AS rk FROM {src} s, range({draws}) d(draw)),
- {out} AS (SELECT r.* EXCLUDE ({label}), (SELECT min(c.{label}) FROM {out}_c c WHERE c.{key} = r.{key} AND r.rk <= c.upto) AS {label} FROM {out}_r r)"""
+ {out}_s AS (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY recording_id) - 1 AS pos, count(*) OVER (PARTITION BY {key}) AS n FROM {src})""" + dr.sql_permuted(f"{out}_s", [key], str(seed), draws, f"{out}_m") + f""",
+ {out} AS (SELECT s.* EXCLUDE ({label}, pos, n), m.draw, (SELECT min(c.{label}) FROM {out}_c c WHERE c.{key} = m.{key} AND m.moved < c.upto) AS {label} FROM {out}_s s JOIN {out}_m m USING ({key}, pos))"""
 
 
-@query("domain_probe_null", with_(RF) + ", p0 AS (SELECT cls AS lab, recording_id, a, b, CAST(substr(domain, 2) AS INTEGER) AS y FROM rf)" + perm_sql("p0", "lab", 40, 24024, "y", "pm")
-       + ", q0 AS (SELECT lab * 1000 + draw AS k, recording_id, a, b, y FROM pm)" + _SPLIT.format(o="q1", s="q0") + ridge2_sql("q1", "k", 3, 0.05, "pr")
-       + """, ac AS (SELECT k // 1000 AS label, k % 1000 AS draw, avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END) AS accuracy FROM pr GROUP BY k)
+NULLS, SHUFFLES = 999, 10_000  # the fixed numbers of permutations
+
+
+@query("domain_probe_null", with_(RF) + ", p0 AS (SELECT cls AS lab, recording_id, a, b, CAST(substr(domain, 2) AS INTEGER) AS y FROM rf)" + perm_sql("p0", "lab", NULLS, 24024, "y", "pm")
+       + ", q0 AS (SELECT lab * 100000 + draw AS k, recording_id, a, b, y FROM pm)" + _SPLIT.format(o="q1", s="q0") + ridge2_sql("q1", "k", 3, 0.05, "pr")
+       + """, ac AS (SELECT k // 100000 AS label, k % 100000 AS draw, avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END) AS accuracy FROM pr GROUP BY k)
  SELECT label, count(*) AS permutations, round(list_sort(list(accuracy))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1], 6) AS threshold FROM ac GROUP BY label""")
 def _(spark, sf):
-    p = ops.permuted_classes(recording_halves(spark, sf), ["label"], 40, 24024)
-    a = cut(ops.probe_accuracy(p, ["label", "draw"], block()))
+    a = cut(pm.probe_null(recording_halves(spark, sf), ["label"], 3, NULLS, 24024))
     q = ops.null_quantile(a, ["label"], "accuracy")
     n = a.groupBy("label").agg(F.count("*").alias("permutations"))
     return q.join(n, "label").select("label", "permutations", *r6("threshold"))
 
 
 _FS = ROLES + """, rf AS (SELECT recording_id, min(domain) AS domain, min(cls) AS cls, avg(list_avg(list_transform(i, lambda z: z::DOUBLE))) AS a, avg(list_avg(list_transform(q, lambda z: z::DOUBLE))) AS b FROM w GROUP BY recording_id),
- fr AS (SELECT CAST(substr(fold_id, 2) AS INTEGER) AS f, role, rf.* FROM rf JOIN roles USING (recording_id) WHERE role IN ('source_fit', 'source_selection')),
+ fr AS (SELECT fold_id AS f, role, rf.* FROM rf JOIN roles USING (recording_id) WHERE role IN ('source_fit', 'source_selection')),
  ft AS (SELECT f, recording_id, a, b, cls AS y FROM fr WHERE role = 'source_fit')"""
 
 
@@ -130,34 +133,34 @@ def fold_recordings(spark, sf):
     return cut(recording_halves(spark, sf).drop("cls").withColumnRenamed("label", "cls").join(roles, "recording_id"))
 
 
-def shuffled_f1(fit_rows, eval_rows, keys):
-    """Macro F1 on the evaluation recordings per key of the fitted copies."""
-    model = probe.fit_ridge(fit_rows.withColumn("role", F.lit("source_fit")), keys, 2)
-    scored = probe.score_ridge(eval_rows, model, keys, ["recording_id", "cls"], 2)
-    p = scored.select(*keys, F.col("cls").alias("truth"), m.argmax("probs").alias("pred"))
-    return m.macro_f1(m.cells(p, keys), keys).select(*keys, "macro_f1")
+def shuffled_cells(fit_rows, eval_rows, classes, l2):
+    fits = pm.permuted_fits(fit_rows, ["fold_id"], classes, SHUFFLES, 24023, l2)
+    return cut(pm.permuted_cells(fits, eval_rows, ["fold_id"], classes))
+
 
+def tail(null, real, keys, value):
+    """p of the true fit among the permuted ones, (1 + #>=) / (B + 1)."""
+    above = F.count_if(F.col("_null") >= F.col(value) - 1e-9)
+    return null.withColumnRenamed(value, "_null").join(real, keys).groupBy(*keys).agg(((1 + above) / (F.count("*") + 1)).alias("p_value"))
 
-@query("label_shuffle_control", with_(_FS) + perm_sql("ft", "f", 40, 24023, "y", "pm")
-       + """, tr AS (SELECT f * 1000 + draw AS k, recording_id, a, b, y, true AS train FROM pm UNION ALL SELECT f * 1000 + 999, recording_id, a, b, y, true FROM ft
-  UNION ALL SELECT f * 1000 + d, recording_id, a, b, cls, false FROM fr, (SELECT unnest(list_append(range(0, 40), 999)) AS d) WHERE role = 'source_selection')""" + ridge2_sql("tr", "k", 2, 0.01, "pr") + macro_sql("pr", "k", "mf")
-       + """, nl AS (SELECT k // 1000 AS f, list_sort(list(f1))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1] AS q95, list(f1) AS fs FROM mf WHERE k % 1000 < 999 GROUP BY 1),
- rl AS (SELECT k // 1000 AS f, f1 FROM mf WHERE k % 1000 = 999)
- SELECT concat('d', f) AS fold_id, round(f1, 6) AS macro_f1, round(q95, 6) AS shuffle_q95, CASE WHEN q95 < f1 THEN 'passed' ELSE 'failed' END AS status,
- round((1 + len(list_filter(fs, lambda z: z >= f1 - 1e-9))) / 41.0, 6) AS p_value FROM nl JOIN rl USING (f)""")
+
+@query("label_shuffle_control", with_(_FS) + perm_sql("ft", "f", SHUFFLES, 24023, "y", "pm")
+       + f""", tr AS (SELECT concat(f, '/', draw) AS k, recording_id, a, b, y, true AS train FROM pm UNION ALL SELECT concat(f, '/real'), recording_id, a, b, y, true FROM ft
+  UNION ALL SELECT concat(f, '/', d), recording_id, a, b, cls, false FROM fr, (SELECT unnest(list_append(list_transform(range(0, {SHUFFLES}), lambda z: CAST(z AS VARCHAR)), 'real')) AS d) WHERE role = 'source_selection')""" + ridge2_sql("tr", "k", 2, 0.01, "pr") + macro_sql("pr", "k", "mf")
+       + f""", nl AS (SELECT split_part(k, '/', 1) AS f, list_sort(list(f1))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1] AS q95, list(f1) AS fs FROM mf WHERE k NOT LIKE '%real' GROUP BY 1),
+ rl AS (SELECT split_part(k, '/', 1) AS f, f1 FROM mf WHERE k LIKE '%real')
+ SELECT f AS fold_id, len(fs) AS permutations, round(f1, 6) AS macro_f1, round(q95, 6) AS shuffle_q95, CASE WHEN q95 < f1 THEN 'passed' ELSE 'failed' END AS status,
+ round((1 + len(list_filter(fs, lambda z: z >= f1 - 1e-9))) / ({SHUFFLES} + 1.0), 6) AS p_value FROM nl JOIN rl USING (f)""")
 def _(spark, sf):
     rows = fold_recordings(spark, sf)
-    fit_rows, eval_rows = rows.where("role = 'source_fit'"), rows.where("role = 'source_selection'")
-    fit_rows = fit_rows.withColumn("f", F.substring("fold_id", 2, 9).cast("int"))
-    copies = ops.permuted_classes(fit_rows, ["f"], 40, 24023)
-    draws = F.explode(F.sequence(F.lit(0), F.lit(39)))
-    null = cut(shuffled_f1(copies, eval_rows.withColumn("draw", draws), ["fold_id", "draw"]))
-    real = shuffled_f1(fit_rows, eval_rows, ["fold_id"])
+    f1 = m.macro_f1(shuffled_cells(rows.where("role = 'source_fit'"), rows.where("role = 'source_selection'"), 2, 0.01), ["fold_id", "draw"])
+    f1 = cut(f1.select("fold_id", "draw", "macro_f1"))
+    null, real = f1.where("draw >= 0"), f1.where("draw < 0").drop("draw")
     q = ops.null_quantile(null, ["fold_id"], "macro_f1").withColumnRenamed("threshold", "shuffle_q95")
-    above = null.withColumnRenamed("macro_f1", "f1").join(real, "fold_id").groupBy("fold_id").agg(
-        ((1 + F.count_if(F.col("f1") >= F.col("macro_f1") - 1e-9)) / (F.count("*") + 1)).alias("p_value"))
+    n = null.groupBy("fold_id").agg(F.count("*").alias("permutations"))
     status = F.when(F.col("shuffle_q95") < F.col("macro_f1"), "passed").otherwise("failed")
-    return real.join(q, "fold_id").join(above, "fold_id").select("fold_id", *r6("macro_f1", "shuffle_q95"), status.alias("status"), *r6("p_value"))
+    out = real.join(q, "fold_id").join(tail(null, real, ["fold_id"], "macro_f1"), "fold_id").join(n, "fold_id")
+    return out.select("fold_id", "permutations", *r6("macro_f1", "shuffle_q95"), status.alias("status"), *r6("p_value"))
 
 
 _BG = ROLES + """, rf AS (SELECT recording_id, min(domain) AS domain, min(cls) AS cls, avg(list_avg(list_transform(i, lambda z: z::DOUBLE))) AS a, avg(list_avg(list_transform(q, lambda z: z::DOUBLE))) AS b FROM w GROUP BY recording_id),
@@ -165,26 +168,19 @@ _BG = ROLES + """, rf AS (SELECT recording_id, min(domain) AS domain, min(cls) A
  ft AS (SELECT f, recording_id, a, b, y FROM fr WHERE role = 'source_fit')"""
 
 
-@query("background_only_control", with_(_BG) + perm_sql("ft", "f", 40, 24023, "y", "pm")
-       + """, tr AS (SELECT concat(f, '/', draw) AS k, recording_id, a, b, y, true AS train FROM pm UNION ALL SELECT concat(f, '/real'), recording_id, a, b, y, true FROM ft
-  UNION ALL SELECT concat(f, '/', d), recording_id, a, b, y, false FROM fr, (SELECT unnest(list_append(list_transform(range(0, 40), lambda z: CAST(z AS VARCHAR)), 'real')) AS d) WHERE role = 'source_selection')"""
+@query("background_only_control", with_(_BG) + perm_sql("ft", "f", SHUFFLES, 24023, "y", "pm")
+       + f""", tr AS (SELECT concat(f, '/', draw) AS k, recording_id, a, b, y, true AS train FROM pm UNION ALL SELECT concat(f, '/real'), recording_id, a, b, y, true FROM ft
+  UNION ALL SELECT concat(f, '/', d), recording_id, a, b, y, false FROM fr, (SELECT unnest(list_append(list_transform(range(0, {SHUFFLES}), lambda z: CAST(z AS VARCHAR)), 'real')) AS d) WHERE role = 'source_selection')"""
        + ridge2_sql("tr", "k", 3, 0.05, "pr") + """, ac AS (SELECT k, avg(CASE WHEN pred = y THEN 1.0 ELSE 0 END) AS accuracy FROM pr GROUP BY k),
  nl AS (SELECT split_part(k, '/', 1) AS fold_id, list_sort(list(accuracy))[CAST(ceil(0.95::DOUBLE * (count(*) - 1)) AS INTEGER) + 1] AS threshold FROM ac WHERE k NOT LIKE '%real' GROUP BY 1)
  SELECT fold_id, round(accuracy, 6) AS accuracy, round(threshold, 6) AS threshold, CASE WHEN accuracy <= threshold THEN 'passed' ELSE 'failed' END AS status FROM nl JOIN ac ON ac.k = concat(fold_id, '/real')""")
 def _(spark, sf):
     """Domain probe on background recordings alone (class 0), with its permutation null."""
     rows = fold_recordings(spark, sf).where("cls = 0").withColumn("cls", F.substring("domain", 2, 9).cast("int"))
-    fit_rows = rows.where("role = 'source_fit'")
-    eval_rows = rows.where("role = 'source_selection'")
-
-    def accuracy(train, test, keys):
-        model = probe.fit_ridge(train, keys, 3, 0.05)
-        s = probe.score_ridge(test, model, keys, ["cls"], 3)
-        return s.groupBy(*keys).agg(F.avg((m.argmax("probs") == F.col("cls")).cast("double")).alias("accuracy"))
-
-    copies = ops.permuted_classes(fit_rows, ["fold_id"], 40, 24023)
-    null = cut(accuracy(copies, eval_rows.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(39)))), ["fold_id", "draw"]))
-    real = accuracy(fit_rows, eval_rows, ["fold_id"])
+    c = shuffled_cells(rows.where("role = 'source_fit'"), rows.where("role = 'source_selection'"), 3, 0.05)
+    hit = F.sum(F.when(F.col("truth") == F.col("pred"), F.col("n")).otherwise(0)) / F.sum("n")
+    a = cut(c.groupBy("fold_id", "draw").agg(hit.alias("accuracy")))
+    null, real = a.where("draw >= 0"), a.where("draw < 0").drop("draw")
     q = ops.null_quantile(null, ["fold_id"], "accuracy")
     status = F.when(F.col("accuracy").isNull(), "not_applicable").when(F.col("accuracy") <= F.col("threshold"), "passed").otherwise("failed")
     return real.join(q, "fold_id", "left").select("fold_id", *r6("accuracy", "threshold"), status.alias("status"))

@@ -7,9 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import kernels as k
-from ..functions.rng import hash_order
 from ..plans.quantiles import exact_quantiles
-from ..plans.ranking import blocked_lead, blocked_row_number, hash_block, text_block
+from ..plans.ranking import blocked_lead, blocked_row_number, text_block
 from ..session import cut
 from . import probe
 from .fit import mean_vectors
@@ -145,24 +144,6 @@ def probe_accuracy(recordings: DataFrame, keys: list[str], block: Column | None
     return support.join(accuracy, keys, "left") if keys else accuracy
 
 
-def permuted_classes(recordings: DataFrame, keys: list[str], permutations: int, seed: int) -> DataFrame:
-    """``permutations`` relabelled copies of each group, class counts kept.
-
-    Each copy orders its recordings by a keyed hash; the rank decides the class through the
-    cumulative class counts, so no list of recordings is ever gathered.
-    """
-    counts = recordings.groupBy(*keys, "cls").agg(F.count("*").alias("n"))
-    bounds = counts.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("cls", "n"))).alias("_c"))
-    bounds = bounds.withColumn("_b", F.expr(
-        "transform(_c, (x, k) -> struct(x.cls as cls, aggregate(slice(_c, 1, k + 1), 0L, (t, y) -> t + y.n) as upto))"))
-    d = recordings.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    d = d.withColumn("_h", hash_order(F.lit(seed), *[F.col(c) for c in keys], F.col("draw"), F.col("recording_id")))
-    d = blocked_row_number(d, [*keys, "draw"], ["_h", "recording_id"], hash_block("_h"), "_rank")
-    d = d.join(bounds.select(*keys, "_b"), keys) if keys else d.withColumn("_b", bounds.select("_b").scalar())
-    moved = F.expr("filter(_b, x -> _rank <= x.upto)[0].cls")
-    return d.withColumn("cls", moved.cast("int")).drop("_h", "_rank", "_b")
-
-
 def null_quantile(values: DataFrame, keys: list[str], value: str, q: float = 0.95) -> DataFrame:
     return exact_quantiles(values, keys, value, {"threshold": q}, kind="higher")
 
