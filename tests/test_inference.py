@@ -13,28 +13,30 @@ def test_draws_do_not_depend_on_partitioning(spark):
     assert sorted(map(tuple, a)) == sorted(map(tuple, b))
 
 
-def test_both_resampling_paths_keep_stratum_sizes_and_means(spark):
+def test_draws_keep_stratum_sizes_and_means(spark, monkeypatch):
     c = spark.createDataFrame([("s", 0, 1, 60), ("s", 0, 0, 40), ("s", 1, 1, 30)], "fold string, truth int, pred int, n long")
-    for limit in (0, 10**6):
-        d = rs.draw_cells(c, [], ["fold", "truth"], ["pred"], 400, 3, replay_limit=limit)
+    for block in (4096, 16):  # one block, and several with the splits above them
+        monkeypatch.setattr(rs.dr, "BLOCK", block)
+        d = rs.draw_cells(c, [], ["fold", "truth"], ["pred"], 400, 3)
         per = d.groupBy("draw", "truth").agg(F.sum("m").alias("m"))
         assert {(r["truth"], r["m"]) for r in per.select("truth", "m").distinct().collect()} == {(0, 100), (1, 30)}
         mean = d.where("truth = 0 and pred = 1").agg(F.sum("m")).first()[0] / 400
         assert mean == pytest.approx(60, abs=1.2)
 
 
-def test_recording_draws_cover_the_stratum(spark):
-    r = spark.createDataFrame([("a", f"r{k:03d}") for k in range(50)], "fold string, recording_id string")
-    d = rs.draw_recordings(r, ["fold"], 40, 7, F.substring("recording_id", 1, 3))
-    assert {x["m"] for x in d.groupBy("draw").agg(F.sum("m").alias("m")).collect()} == {50}
-    assert d.select("recording_id").distinct().count() == 50
-
-
-def test_chunked_slots_equal_plain_slots(spark, monkeypatch):
-    s = spark.createDataFrame([("a", 1000)], "fold string, n long")
-    whole = {(r["draw"], r["slot"]) for r in rs._slots(s, 2).collect()}
-    monkeypatch.setattr(rs, "CHUNK", 64)
-    assert {(r["draw"], r["slot"]) for r in rs._slots(s, 2).collect()} == whole and len(whole) == 2000
+def test_recording_draws_and_their_sums_agree(spark, monkeypatch):
+    r = spark.createDataFrame([("a", f"r{k:03d}", [float(k), 1.0]) for k in range(50)] + [("b", "x", [2.0, 1.0])], "fold string, recording_id string, v array<double>")
+    for block in (4096, 8):
+        monkeypatch.setattr(rs.dr, "BLOCK", block)
+        d = rs.draw_recordings(r, ["fold"], 40, 7, ["v"], F.substring("recording_id", 1, 3)).collect()
+        assert len({x["recording_id"] for x in d if x["fold"] == "a"}) == 50
+        want = {}
+        for x in d:
+            a, n = want.get((x["fold"], x["draw"]), (0, 0))
+            want[x["fold"], x["draw"]] = (a + x["m"] * x["v"][0], n + x["m"])
+        got = {(x["fold"], x["draw"]): tuple(x["sums"]) for x in rs.draw_sums(r, ["fold"], "v", 40, 7, F.substring("recording_id", 1, 3)).collect()}
+        assert got == want and {n for (f, _), (_, n) in got.items() if f == "a"} == {50}
+        assert sorted(map(str, d)) == sorted(map(str, rs.draw_recordings(r.repartition(3), ["fold"], 40, 7, ["v"], F.substring("recording_id", 1, 3)).collect()))
 
 
 def test_one_block_has_no_interval(spark):

@@ -1,17 +1,17 @@
-"""Resampling inference queries (few draws; the operators take any number)."""
+"""Resampling inference queries, at the fixed number of draws."""
 
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
 from ..operators import metrics as m
-from ..plans import bank as bk, resampling as rs
+from ..plans import bank as bk, draws as dr, resampling as rs
 from ..session import cut
 from ..sources import views as v
 from .base import RP, SC, W, query, u, with_
 from .metrics import ensemble, recs
 from .selecting import DISP, medians
 
-B, SEED = 60, 24022
+B, SEED = 10_000, 24022
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 
 
@@ -23,11 +23,11 @@ def macro2(src, keys, out, weight="1"):
 
 
 def draws_sql(src, part, stratum, order, out, draws=B, seed=SEED):
-    """Resample src rows: positions within (part, stratum) in ``order``."""
+    """Resample src rows: positions within (part, stratum) in ``order``; for strata of one block."""
     g = ", ".join([*part, *stratum])
     same = " AND ".join(f"a.{c} = b.{c}" for c in [*part, *stratum])
     return f""", {out}_p AS (SELECT *, row_number() OVER (PARTITION BY {g} ORDER BY {order}) - 1 AS pos, count(*) OVER (PARTITION BY {g}) AS sz FROM {src}),
- {out}_s AS (SELECT {g}, draw, CAST(floor({u(str(seed), *stratum, 'draw', 'slot')} * sz) AS BIGINT) AS loc FROM (SELECT DISTINCT {g}, sz FROM {out}_p), range({draws}) d(draw), LATERAL (SELECT unnest(range(sz)) AS slot)),
+ {out}_z AS (SELECT DISTINCT {g}, sz FROM {out}_p)""" + dr.sql_slots(f"{out}_z", stratum, str(seed), draws, f"{out}_s", tuple(part)) + f""",
  {out} AS (SELECT b.draw, a.* EXCLUDE (pos, sz) FROM {out}_p a JOIN {out}_s b ON {same} AND a.pos = b.loc)"""
 
 
@@ -42,9 +42,9 @@ def _(spark, sf):
 
 @query("stratified_bootstrap_large", with_(RP) + f"SELECT condition, fold, CAST(draw AS INTEGER) AS draw, count(*) AS recordings FROM ens, range({B}) d(draw) GROUP BY ALL")
 def _(spark, sf):
-    """The multinomial path of strata above the replay limit, forced here by a low limit."""
+    """Every draw has as many recordings as its fold."""
     c = m.cells(ensemble(spark, sf), ["condition", "fold"])
-    d = rs.draw_cells(c, ["condition"], ["fold", "truth"], ["pred"], B, SEED, replay_limit=0)
+    d = rs.draw_cells(c, ["condition"], ["fold", "truth"], ["pred"], B, SEED)
     return d.groupBy("condition", "fold", "draw").agg(F.sum("m").alias("recordings"))
 
 
@@ -99,10 +99,11 @@ BDET2 = BDET + ", bx AS (SELECT condition, " + ", ".join(f"quantile_cont({c}, 0.
 
 
 def detection_draws(spark, sf):
-    scored = cut(m.binary_scores(ensemble(spark, sf)).select("condition", "fold", "recording_id", "truth", "y", "score"))
-    one = scored.where("condition = 'full'")  # strata are the same recordings in every condition
-    picks = rs.draw_recordings(one, ["fold", "truth"], B, SEED)
-    d = cut(scored.join(picks, ["fold", "truth", "recording_id"]))
+    scored = m.binary_scores(ensemble(spark, sf)).select("condition", "fold", "recording_id", "truth", "y", "score")
+    # strata are the same recordings in every condition: one row carries all conditions' scores
+    rows = scored.groupBy("fold", "truth", "recording_id").agg(F.collect_list(F.struct("condition", "y", "score")).alias("scores"))
+    d = rs.draw_recordings(rows, ["fold", "truth"], B, SEED, ["scores"])
+    d = cut(d.select("fold", "truth", "recording_id", "draw", "m", F.inline("scores")))
     keys = ["condition", "fold", "draw"]
     fired, y, n = (F.col("score") >= THRESHOLD).cast("int"), F.col("y"), F.col("m")
     rates = d.groupBy(*keys).agg(
@@ -139,18 +140,21 @@ def _(spark, sf):
 
 
 # Severity of a curve point is the seed here: each seed is one setting of the same recordings.
-ROB = RP + """, rv AS (SELECT condition, fold, recording_id, truth, list(pred ORDER BY seed) AS ps FROM rp GROUP BY ALL)""" + draws_sql("rv", ["condition"], ["fold", "truth"], "recording_id", "dr") \
+ROB = RP + """, rv AS (SELECT condition, fold, recording_id, truth, list(pred ORDER BY seed) AS ps FROM rp GROUP BY ALL)""" + draws_sql("rv", ["condition"], ["fold", "truth"], "ps", "dr") \
     + ", dv AS (SELECT condition, fold, draw, truth, s AS severity, ps[s + 1] AS pred FROM dr, range(3) z(s))" + macro2("dv", ["condition", "fold", "draw", "severity"], "fd") + """,
  cv AS (SELECT condition, draw, severity, avg(f1) AS f1 FROM fd GROUP BY ALL), ar AS (SELECT condition, draw, (sum(CASE severity WHEN 1 THEN 2 ELSE 1 END * f1)) / 4 AS area FROM cv GROUP BY ALL),
  ra AS (SELECT condition, quantile_cont(area, 0.025) AS low, quantile_cont(area, 0.975) AS high, avg(area) AS mean_area FROM ar GROUP BY condition)"""
 
 
 def robustness_draws(spark, sf):
-    r = cut(recs(spark, sf).select("condition", "seed", "fold", "recording_id", "truth", "pred"))
-    picks = rs.draw_recordings(r, ["fold", "truth"], B, SEED)
-    c = m.cells(r.join(picks, ["fold", "truth", "recording_id"]), ["condition", "fold", "draw", "seed"], "m")
-    f1 = m.macro_f1(c, ["condition", "fold", "draw", "seed"])
-    return f1.groupBy("condition", "draw", F.col("seed").alias("severity")).agg(F.avg("macro_f1").alias("value"))
+    """Recordings are cells of their predictions at all severities, so only counts of cells are drawn."""
+    at = lambda k: F.max(F.when(F.col("seed") == k, F.col("pred"))).alias(f"p{k}")
+    r = recs(spark, sf).groupBy("condition", "fold", "recording_id", "truth").agg(*[at(k) for k in range(3)])
+    cells = r.groupBy("condition", "fold", "truth", "p0", "p1", "p2").agg(F.count("*").alias("n"))
+    d = rs.draw_cells(cells, ["condition"], ["fold", "truth"], ["p0", "p1", "p2"], B, SEED)
+    d = d.select("condition", "fold", "draw", "truth", "m", F.posexplode(F.array("p0", "p1", "p2")).alias("severity", "pred"))
+    f1 = m.macro_f1(m.cells(d, ["condition", "fold", "draw", "severity"], "m"), ["condition", "fold", "draw", "severity"])
+    return f1.groupBy("condition", "draw", "severity").agg(F.avg("macro_f1").alias("value"))
 
 
 @query("bootstrap_robustness", with_(ROB) + "SELECT condition, round(mean_area, 6) AS mean_area, round(low, 6) AS low, round(high, 6) AS high FROM ra")
@@ -170,8 +174,6 @@ def _(spark, sf):
     return rs.bootstrap_contrast(cut(p), ["fold", "domain", "truth"], B, SEED).select(*r6("estimate", "raw_p"))
 
 
-def by_id():
-    return None  # measured on the table
 _INS = DISP + """, mx AS (SELECT domain, recording_id, max(med) FILTER (WHERE family = 'I') AS l, max(med) FILTER (WHERE family = 'Q') AS r FROM fm GROUP BY ALL), df AS (SELECT domain, recording_id, r - l AS diff FROM mx)"""
 
 
@@ -187,7 +189,7 @@ def instability_gaps(spark, sf):
   SELECT round(max(e), 6) AS estimate, round((1 + count(*) FILTER (WHERE v - e >= e + 0.01 - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dv, ob""")
 def _(spark, sf):
     g = instability_gaps(spark, sf)
-    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED, by_id()).groupBy("draw").agg(F.avg("v").alias("v"))
+    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED).groupBy("draw").agg(F.avg("v").alias("v"))
     e = g.groupBy("domain").agg(F.avg("diff").alias("v")).agg(F.avg("v").alias("e"))
     d = d.withColumn("e", e.scalar())
     p = rs.centered_p(d, [], "v", "e", null=-0.01)
@@ -198,27 +200,27 @@ def _(spark, sf):
   SELECT domain, round((1 + count(*) FILTER (WHERE v - e >= e - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dd2 JOIN ob USING (domain) GROUP BY domain""")
 def _(spark, sf):
     g = instability_gaps(spark, sf)
-    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED, by_id())
+    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED)
     return rs.centered_p(d.join(g.groupBy("domain").agg(F.avg("diff").alias("e")), "domain"), ["domain"], "v", "e").select("domain", *r6("raw_p"))
 
 
 _PB = """WITH pv AS (SELECT o_orderpriority AS k, o_custkey AS recording_id, avg(o_totalprice) / 1000 - 150 AS diff FROM orders GROUP BY ALL)"""
 
 
-@query("paired_bootstrap", _PB + draws_sql("pv", [], ["k"], "recording_id", "dr", 20) + """, dv AS (SELECT k, draw, avg(diff) AS v FROM dr GROUP BY ALL), ob AS (SELECT k, avg(diff) AS e FROM pv GROUP BY k)
+@query("paired_bootstrap", _PB + draws_sql("pv", [], ["k"], "recording_id", "dr") + """, dv AS (SELECT k, draw, avg(diff) AS v FROM dr GROUP BY ALL), ob AS (SELECT k, avg(diff) AS e FROM pv GROUP BY k)
   SELECT k, round(max(e), 4) AS estimate, round(quantile_cont(v, 0.025), 4) AS low, round(quantile_cont(v, 0.975), 4) AS high, round((1 + count(*) FILTER (WHERE v - e >= e + 5 - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dv JOIN ob USING (k) GROUP BY k""")
 def _(spark, sf):
     p = v.table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("k"), F.col("o_custkey").alias("recording_id")).agg((F.avg("o_totalprice") / 1000 - 150).alias("diff"))
-    d = rs.paired_bootstrap(p, ["k"], "diff", 20, SEED, F.floor(F.col("recording_id") / 65536), "noninferiority", 5.0)
+    d = rs.paired_bootstrap(p, ["k"], "diff", B, SEED, F.floor(F.col("recording_id") / 65536), "noninferiority", 5.0)
     return d.select("k", *[F.round(c, 4).alias(c) for c in ("estimate", "low", "high")], *r6("raw_p"))
 
 
-@query("block_bootstrap_ci", "WITH bl AS (SELECT event_type AS k, user_id AS recording_id, sum(value) AS s, count(value) AS c FROM events GROUP BY ALL)" + draws_sql("bl", [], ["k"], "recording_id", "dr", 40)
+@query("block_bootstrap_ci", "WITH bl AS (SELECT event_type AS k, user_id AS recording_id, sum(value) AS s, count(value) AS c FROM events GROUP BY ALL)" + draws_sql("bl", [], ["k"], "recording_id", "dr")
        + """, dv AS (SELECT k, draw, sum(s) / sum(c) AS v FROM dr GROUP BY ALL) SELECT k, count(DISTINCT recording_id) AS blocks, round(max(low), 6) AS low, round(max(high), 6) AS high
   FROM bl JOIN (SELECT k, quantile_cont(v, 0.025) AS low, quantile_cont(v, 0.975) AS high FROM dv GROUP BY k) USING (k) GROUP BY k""")
 def _(spark, sf):
     e = v.table(spark, sf, "events").select(F.col("event_type").alias("k"), "user_id", "value")
-    return rs.block_bootstrap_ci(e, ["k"], "user_id", "value", 40, SEED, F.floor(F.col("recording_id") / 65536)).select("k", "blocks", *r6("low", "high"))
+    return rs.block_bootstrap_ci(e, ["k"], "user_id", "value", B, SEED, F.floor(F.col("recording_id") / 65536)).select("k", "blocks", *r6("low", "high"))
 
 
 @query("holm", f"""WITH p AS (SELECT DISTINCT p_brand AS experiment, h, CASE WHEN h = 3 AND p_brand LIKE '%5' THEN NULL ELSE round({u("'h'", 'p_brand', 'h')} / 10, 4) END AS p FROM part, range(4) z(h)),
@@ -294,34 +296,34 @@ def _(spark, sf):
     return bk.partial_rank_statistic(bk.bank_matrix(rows, []).join(bank_costs(rows), "config"), ["fold"]).select("fold", "joint", *r6("statistic"))
 
 
-_PICK = ", rl AS (SELECT DISTINCT fold, side, domain, truth, recording_id FROM bank)" + draws_sql("rl", [], ["fold", "side", "domain", "truth"], "recording_id", "dr", 20) \
+_PICK = ", rl AS (SELECT DISTINCT fold, side, domain, truth, recording_id FROM bank)" + draws_sql("rl", [], ["fold", "side", "domain", "truth"], "recording_id", "dr") \
     + ", bd AS (SELECT dr.draw, bank.* FROM bank JOIN dr USING (fold, side, domain, truth, recording_id))"
 
 
 @query("hierarchical_bootstrap", with_(PRS + _PICK + matrix_sql("bd", ["draw"], "my") + ", md AS (SELECT * FROM my JOIN costs USING (config))" + statistic_sql("md", ["draw", "fold"], "sd"))
        + """, es AS (SELECT CASE WHEN count(statistic) = count(*) THEN avg(statistic) END AS e FROM st), pd AS (SELECT draw, CASE WHEN count(statistic) = count(*) THEN avg(statistic) END AS v FROM sd GROUP BY draw),
-  sm AS (SELECT max(e) AS e, count(v) / 20.0 AS vf, (1 + count(*) FILTER (WHERE v - e >= e - 1e-12)) / (count(v) + 1) AS p, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM pd, es)
+  sm AS (SELECT max(e) AS e, count(v) / 10000.0 AS vf, (1 + count(*) FILTER (WHERE v - e >= e - 1e-12)) / (count(v) + 1) AS p, quantile_cont(v, 0.025) AS lo, quantile_cont(v, 0.975) AS hi FROM pd, es)
   SELECT CASE WHEN vf >= 0.95 AND e IS NOT NULL THEN 'ok' ELSE 'untestable' END AS status, round(e, 6) AS estimate, vf AS valid_fraction, CASE WHEN vf >= 0.95 AND e IS NOT NULL THEN round(p, 6) END AS raw_p,
   CASE WHEN vf >= 0.95 AND e IS NOT NULL THEN round(lo, 6) END AS low, CASE WHEN vf >= 0.95 AND e IS NOT NULL THEN round(hi, 6) END AS high FROM sm""")
 def _(spark, sf):
     rows = bank_rows(spark, sf)
-    h = bk.hierarchical_bootstrap(rows, bank_costs(rows), 20, SEED, by_id())
+    h = bk.hierarchical_bootstrap(rows, bank_costs(rows), B, SEED)
     return h.select("status", *r6("estimate"), "valid_fraction", *r6("raw_p", "low", "high"))
 
 
 @query("nested_bootstrap")
 def _(spark, sf):
-    return bk.nested_bootstrap(bank_rows(spark, sf), 20, SEED, ["d0", "d1", "d2"], by_id())
+    return bk.nested_bootstrap(bank_rows(spark, sf), B, SEED, ["d0", "d1", "d2"])
 
 
 @query("freedman_lane", with_(BANK + matrix_sql("bank", [], "mx") + """, r0 AS (SELECT *, source_f1 - held_f1 AS dg FROM mx), r1 AS (SELECT fold, config, """ + ", ".join(f"rank() OVER (PARTITION BY fold ORDER BY {c}) + (count(*) OVER (PARTITION BY fold, {c}) - 1) / 2.0 - 6.5 AS {o}" for c, o in (("source_f1", "c"), ("instability", "z"), ("dg", "y"))) + """ FROM r0),
  r2 AS (SELECT fold, config, c, z - sum(c * z) OVER q / sum(c * c) OVER q * c AS z, y - sum(c * y) OVER q / sum(c * c) OVER q * c AS y FROM r1 WINDOW q AS (PARTITION BY fold)),
- pm AS (SELECT draw, config, row_number() OVER (PARTITION BY draw ORDER BY config) AS pos, row_number() OVER (PARTITION BY draw ORDER BY sha256(concat_ws('|', 24021, draw, config))) AS src FROM range(12) a(config), range(199) b(draw)),
+ pm AS (SELECT draw, config, row_number() OVER (PARTITION BY draw ORDER BY config) AS pos, row_number() OVER (PARTITION BY draw ORDER BY sha256(concat_ws('|', 24021, draw, config))) AS src FROM range(12) a(config), range(10000) b(draw)),
  mv AS (SELECT a.draw, a.config, b.config AS source FROM pm a JOIN pm b ON a.draw = b.draw AND a.pos = b.src UNION ALL SELECT -1, config, config FROM range(12) a(config)),
  sm AS (SELECT draw, t.fold, sum(s.y * t.z) AS yz, sum(t.z * t.z) AS zz, sum(s.y * s.y) - sum(s.y) * sum(s.y) / 12 - pow(sum(t.c * s.y), 2) / sum(t.c * t.c) AS yy FROM mv JOIN r2 t ON t.config = mv.config JOIN r2 s ON s.fold = t.fold AND s.config = mv.source GROUP BY ALL),
  v AS (SELECT draw, avg(yz / sqrt(yy * zz)) AS v FROM sm GROUP BY draw), e AS (SELECT v AS e FROM v WHERE draw = -1)
  SELECT round(max(e), 6) AS estimate, count(*) AS permutations, 'ok' AS status, round((1 + count(*) FILTER (WHERE v >= e - 1e-12)) / (count(*) + 1), 6) AS tail_fraction FROM v, e WHERE draw >= 0"""))
 def _(spark, sf):
     """Diagnostic only."""
-    f = bk.freedman_lane(bk.bank_matrix(bank_rows(spark, sf), []), 199, 24021)
+    f = bk.freedman_lane(bk.bank_matrix(bank_rows(spark, sf), []), B, 24021)
     return f.select(*r6("estimate"), "permutations", "status", *r6("tail_fraction"))

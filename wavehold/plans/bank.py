@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.rng import hash_order
+from ..functions.rng import hash_order, uniform
 from ..operators import metrics as m
 from ..session import cut
 from . import resampling as rs
@@ -72,14 +72,42 @@ def bank_matrix(rows: DataFrame, extra: list[str], weight: str | None = None) ->
     return wide.join(unstable, keys)
 
 
-def hierarchical_bootstrap(rows: DataFrame, costs: DataFrame, draws: int, seed: int, block) -> DataFrame:
+def _drawn_banks(rows: DataFrame, keys: list[str], draws: int, seed: int, classes: int = 2) -> DataFrame:
+    """(fold, draw, config, source_f1, held_f1, instability) of resampled recordings.
+
+    A recording's whole config vector is one row: a 1 for its prediction under each config, and its
+    instability. Sums of such rows per stratum and draw hold all that the bank needs.
+    """
+    vector = F.flatten(F.transform("_x", lambda x: F.array(*[F.when(x["pred"] == c, 1.0).otherwise(0.0) for c in range(classes)], x["instability"])))
+    packed = rows.groupBy(*keys, "recording_id").agg(F.array_sort(F.collect_list(F.struct("config", "pred", "instability"))).alias("_x"))
+    packed = cut(packed.select(*keys, "recording_id", vector.alias("_v"), F.transform("_x", lambda x: x["config"]).alias("_configs")))
+    odd = packed.agg(F.count_distinct("_configs")).first()[0]
+    if odd > 1:
+        raise ValueError("recordings differ in their configurations")
+    sums = rs.draw_sums(packed, keys, "_v", draws, seed)
+    width = classes + 1
+    names = packed.select("_configs").limit(1)
+    per = sums.withColumn("_configs", names.scalar()).select(*keys, "draw", "sums", F.posexplode("_configs").alias("_k", "config"))
+    at = lambda c: F.get("sums", F.col("_k") * width + c)
+    per = per.select("fold", "side", "truth", "draw", "config", F.array(*[at(c) for c in range(classes)]).alias("_n"), at(classes).alias("_u"))
+    cells = per.select("fold", "side", "truth", "draw", "config", F.posexplode("_n").alias("pred", "n")).where("n > 0")
+    cells = cells.groupBy("fold", "side", "truth", "draw", "config", "pred").agg(F.sum("n").cast("long").alias("n"))
+    f1 = m.macro_f1(cells, ["draw", "fold", "config", "side"])
+    wide = f1.groupBy("draw", "fold", "config").agg(
+        F.max(F.when(F.col("side") == "source", F.col("macro_f1"))).alias("source_f1"),
+        F.max(F.when(F.col("side") == "held", F.col("macro_f1"))).alias("held_f1"))
+    whole = F.expr("aggregate(_n, 0.0D, (t, z) -> t + z)")
+    unstable = per.where("side = 'source'").groupBy("draw", "fold", "config").agg((F.sum("_u") / F.sum(whole)).alias("instability"))
+    return wide.join(unstable, ["draw", "fold", "config"])
+
+
+def hierarchical_bootstrap(rows: DataFrame, costs: DataFrame, draws: int, seed: int) -> DataFrame:
     """Mean statistic over domains with interval and centred p; fewer than 95 % valid draws is untestable."""
     keys = ["fold", "side", "domain", "truth"]
     observed = partial_rank_statistic(bank_matrix(rows, []).join(costs, "config"), ["fold"])
     estimate = observed.agg(F.when(F.count("statistic") == F.count("*"), F.avg("statistic")).alias("e"))
-    picks = rs.draw_recordings(rows, keys, draws, seed, block)
-    drawn = rows.join(picks, [*keys, "recording_id"])
-    s = partial_rank_statistic(bank_matrix(drawn, ["draw"], "m").join(costs, "config"), ["draw", "fold"])
+    drawn = _drawn_banks(rows, keys, draws, seed)
+    s = partial_rank_statistic(drawn.join(costs, "config"), ["draw", "fold"])
     per = s.groupBy("draw").agg(F.when(F.count("statistic") == F.count("*"), F.avg("statistic")).alias("v"))
     per = per.withColumn("e", estimate.scalar())
     valid = per.where("v is not null")
@@ -95,20 +123,16 @@ def hierarchical_bootstrap(rows: DataFrame, costs: DataFrame, draws: int, seed:
         keep(F.col("raw_p")).alias("raw_p"), keep(ci.select("low").scalar()).alias("low"), keep(ci.select("high").scalar()).alias("high"))
 
 
-def nested_bootstrap(rows: DataFrame, draws: int, seed: int, folds: list[str], block) -> DataFrame:
+def nested_bootstrap(rows: DataFrame, draws: int, seed: int, folds: list[str]) -> DataFrame:
     """Domains drawn first, recordings inside each drawn domain second; configs stay paired."""
-    from ..functions.rng import uniform
-
     spark: SparkSession = rows.sparkSession
     outer = spark.range(draws).select(F.col("id").cast("int").alias("outer_draw")).withColumn(
         "outer_slot", F.explode(F.sequence(F.lit(0), F.lit(len(folds) - 1))))
     which = F.floor(uniform(F.lit(seed), F.lit("outer"), F.col("outer_draw"), F.col("outer_slot")) * len(folds)).cast("int")
     outer = outer.withColumn("fold", F.element_at(F.array(*[F.lit(f) for f in folds]), which + 1))
-    keys = ["fold", "side", "domain", "truth"]
-    picks = rs.draw_recordings(rows, keys, draws * len(folds), seed, block)
-    slot = F.col("outer_draw") * len(folds) + F.col("outer_slot")
-    drawn = rows.join(picks, [*keys, "recording_id"]).join(outer.withColumn("draw", slot), ["fold", "draw"])
-    bank = bank_matrix(drawn, ["outer_draw", "outer_slot"], "m")
+    outer = outer.withColumn("draw", F.col("outer_draw") * len(folds) + F.col("outer_slot"))
+    # a resample for every (draw, slot); the slot's domain picks which of its banks counts
+    bank = _drawn_banks(rows, ["fold", "side", "domain", "truth"], draws * len(folds), seed).join(outer, ["fold", "draw"])
     s = partial_rank_statistic(bank, ["outer_draw", "outer_slot", "fold"], ["source_f1"])
     per = s.groupBy("outer_draw").agg(F.when(F.count("statistic") == F.count("*"), F.avg("statistic")).alias("v"))
     blocked = per.agg(F.count_if(F.col("v").isNull()).alias("b"))

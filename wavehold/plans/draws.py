@@ -98,10 +98,12 @@ def sql_base(seed: str, group: list[str], draw: str, *last: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join([seed, *group, draw, *last])})), 1, 8))::UBIGINT"
 
 
-def sql_slots(source: str, group: list[str], seed: str, draws: int, out: str) -> str:
-    """`out`(group, draw, at): position of each slot; `source` has (group, sz) with sz up to BLOCK."""
-    g = ", ".join(group)
-    head = f"{g}, " if g else ""
+def sql_slots(source: str, group: list[str], seed: str, draws: int, out: str, part: tuple = ()) -> str:
+    """`out`(part, group, draw, loc): position of each slot; `source` has (part, group, sz) with sz up to BLOCK.
+
+    Only `group` keys the draws, so parts with equal groups are resampled alike.
+    """
+    head = "".join(f"{c}, " for c in (*part, *group))
     m = 4294967295
     return f""", {out}_a AS (SELECT {head}sz, draw, {sql_base(seed, group, 'draw', '0')} AS base FROM {source}, range({draws}) d(draw)),
  {out}_b AS (SELECT {head}sz, draw, (base + slot * {STEP}) & {m} AS x FROM {out}_a, LATERAL (SELECT unnest(range(sz))::UBIGINT AS slot)),

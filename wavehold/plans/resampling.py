@@ -1,105 +1,150 @@
 """Block resampling of recordings, spread over draws.
 
-Slot ``s`` of draw ``b`` in a stratum picks position floor(u * n) with
-u = uniform(seed, stratum, b, s): any executor can produce any slot, in any order. Class
-metrics need only how often each cell (truth, predictions) was drawn, so recordings are first
-reduced to cells and positions are ordered by cell; the shuffle then carries cells, not
-recordings.
+A stratum's rows have positions; every draw has as many slots as the stratum has rows. How many
+slots fall in a block of positions comes from a tree of binomial splits, and each slot's place in
+its block from a counter (plans/draws.py). So a task works out all draws of the blocks it holds, and
+sums per (stratum, draw) are all that moves: no draw meets the recordings in a join.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from ..functions.rng import uniform
 from ..operators import metrics as m
+from . import draws as dr
 from .quantiles import exact_quantiles
 from .ranking import blocked_row_number, text_block
 
-CHUNK = 1 << 16
-
-
-def _slots(strata: DataFrame, draws: int) -> DataFrame:
-    """(stratum row, draw, slot); long strata are cut into chunks before the second explode."""
-    d = strata.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
-    d = d.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(CHUNK)))))
-    # strata are few, draws are many: spread (draw, chunk) rows before they are multiplied
-    parts = int(strata.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    d = d.repartition(parts, *[c for c in d.columns if c not in ("n", "_c")])
-    last = F.least(F.col("n"), (F.col("_chunk") + 1) * CHUNK) - 1
-    return d.withColumn("slot", F.explode(F.sequence(F.col("_chunk") * CHUNK, last))).drop("_chunk")
+HELD = 16 << 20  # numbers of unsent sums in one task
 
 
-def _position(seed: int, stratum: list[str]) -> Column:
-    u = uniform(F.lit(seed), *[F.col(c) for c in stratum], F.col("draw"), F.col("slot"))
-    return F.floor(u * F.col("n")).cast("long")
+def _schema(df: DataFrame, names: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
+    out = T.StructType([df.schema[c] for c in names])
+    for name, kind in more:
+        out = out.add(name, kind)
+    return out
 
 
-def draw_cells(
-    cells: DataFrame, keys: list[str], stratum: list[str], cell: list[str], draws: int, seed: int,
-    replay_limit: int | None = None,
-) -> DataFrame:
+def draw_cells(cells: DataFrame, keys: list[str], stratum: list[str], cell: list[str], draws: int, seed: int) -> DataFrame:
     """Counts ``m`` per (keys, draw, stratum, cell) of a stratified resample with replacement.
 
-    ``cells`` holds counts ``n`` per (keys, stratum, cell). Draws depend on ``stratum`` only,
-    so different ``keys`` (conditions) with equal strata are resampled alike. Every stratum is drawn
-    slot by slot, whatever its size. Only a caller that names a ``replay_limit`` has strata above it
-    drawn as one multinomial per draw: the same distribution, other draws.
+    ``cells`` holds counts ``n`` per (keys, stratum, cell): a stratum's recordings, ordered by cell. Draws
+    depend on ``stratum`` only, so different ``keys`` (conditions) with equal strata are resampled alike.
     """
     group = list(dict.fromkeys([*keys, *stratum]))
     packed = cells.groupBy(*group).agg(
-        F.array_sort(F.collect_list(F.struct(*cell, F.col("n").alias("cnt")))).alias("_c"), F.sum("n").alias("n"))
-    names = ", ".join(f"x.{c} as {c}" for c in cell)
-    packed = packed.withColumn("_c", F.expr(
-        f"transform(_c, (x, k) -> struct({names}, aggregate(slice(_c, 1, k + 1), 0L, (t, y) -> t + y.cnt) as upto))"))
-    small = _slots(packed if replay_limit is None else packed.where(F.col("n") <= replay_limit), draws).withColumn("_at", _position(seed, stratum))
-    hit = F.expr("filter(_c, x -> _at < x.upto)[0]")
-    drawn = small.withColumn("_h", hit).groupBy(*group, "draw", *[F.col(f"_h.{c}").alias(c) for c in cell]).agg(
-        F.count("*").alias("m"))
-    if replay_limit is None:
-        return drawn
-    large = packed.where(F.col("n") > replay_limit)
-    return drawn.unionByName(_multinomial(large, cells, group, stratum, cell, draws, seed))
-
-
-def _multinomial(packed, cells, group, stratum, cell, draws, seed):
-    types = {f.name: f.dataType.simpleString() for f in cells.schema.fields}
-    schema = ", ".join([*(f"{c} {types[c]}" for c in group), "draw int", *(f"{c} {types[c]}" for c in cell), "m bigint"])
-    d = packed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+        F.array_sort(F.collect_list(F.struct(*cell, F.col("n").alias("cnt")))).alias("_c"), F.sum("n").alias("_n"))
+    packed = packed.withColumn("_upto", F.expr("transform(_c, (x, k) -> aggregate(slice(_c, 1, k + 1), 0L, (t, y) -> t + y.cnt))"))
+    blocks = packed.select(*group, "_n", "_upto", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / dr.BLOCK))).alias("_block"))
+    parts = int(cells.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    schema = _schema(blocks, group, ("draw", T.IntegerType()), ("_k", T.IntegerType()), ("m", T.LongType()))
 
     def run(frames):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for key, total in held.items():
+                draw, k = np.nonzero(total)
+                out = pd.DataFrame({"draw": draw.astype(np.int32), "_k": k.astype(np.int32), "m": total[draw, k].astype(np.int64)})
+                yield out.assign(**dict(zip(group, key)))[[*group, "draw", "_k", "m"]]
+            held.clear()
+
         for pdf in frames:
-            out = []
-            for row in pdf.itertuples(index=False):
-                r = dict(zip(pdf.columns, row))
-                upto = np.array([x["upto"] for x in r["_c"]])
-                shares = np.diff(np.concatenate([[0], upto])) / r["n"]
-                key = "|".join(str(r[c]) for c in [*stratum, "draw"])
-                digest = hashlib.md5(f"{seed}|{key}".encode()).digest()
-                counts = np.random.default_rng(int.from_bytes(digest[:8], "big")).multinomial(r["n"], shares)
-                for x, c in zip(r["_c"], counts):
-                    if c:
-                        out.append([*(r[g] for g in group), r["draw"], *(x[name] for name in cell), int(c)])
-            yield pd.DataFrame(out, columns=[*group, "draw", *cell, "m"])
-
-    return d.mapInPandas(run, schema)
-
-
-def draw_recordings(recordings: DataFrame, stratum: list[str], draws: int, seed: int, block: Column | None = None) -> DataFrame:
-    """How often each recording is drawn: (stratum, recording_id, draw, m), zeros left out.
-
-    For statistics that are not functions of a few cells. Positions follow recording id.
+            for row in pdf.to_dict("records"):
+                key, upto, n, block = tuple(row[c] for c in group), np.asarray(row["_upto"]), int(row["_n"]), int(row["_block"])
+                size = min(dr.BLOCK, n - block * dr.BLOCK)
+                of = np.searchsorted(upto, block * dr.BLOCK + np.arange(size), side="right")
+                seen, at = np.unique(of, return_inverse=True)
+                part = dr.resampled(seed, tuple(row[c] for c in stratum), n, block, draws, np.eye(len(seen))[at])
+                if key not in held:
+                    held[key] = np.zeros((draws, len(upto)))
+                held[key][:, seen] += part
+                if sum(t.size for t in held.values()) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    drawn = blocks.repartition(parts, *group, "_block").mapInPandas(run, schema)
+    drawn = drawn.groupBy(*group, "draw", "_k").agg(F.sum("m").alias("m"))
+    names = packed.select(*group, F.posexplode("_c").alias("_k", "_cell")).select(*group, "_k", *[F.col(f"_cell.{c}").alias(c) for c in cell if c not in group])
+    return drawn.join(names, [*group, "_k"]).drop("_k")
+
+
+def _blocks(rows: DataFrame, stratum: list[str], block: Column | None) -> DataFrame:
+    """Rows with their stratum's size _n and their _block, positions by recording id, in order within tasks."""
+    block = text_block(rows, "recording_id") if block is None else block
+    placed = blocked_row_number(rows, stratum, ["recording_id"], block, "_at")
+    sizes = rows.groupBy(*stratum).agg(F.count("*").alias("_n"))
+    placed = placed.withColumn("_block", F.floor((F.col("_at") - 1) / dr.BLOCK)).join(sizes, stratum)
+    return placed.repartition(*stratum, "_block").sortWithinPartitions(*stratum, "_block", "_at")
+
+
+def _whole_blocks(frames, names: list[str]):
+    """(key, frame) of each block, put together where a batch ends inside it."""
+    at, held = None, []
+    for frame in frames:
+        for key, pdf in frame.groupby(names, sort=False, dropna=False):
+            if key != at and held:
+                yield at, pd.concat(held)
+                held = []
+            at = key
+            held.append(pdf)
+    if held:
+        yield at, pd.concat(held)
+
+
+def draw_sums(rows: DataFrame, stratum: list[str], values: str, draws: int, seed: int, block: Column | None = None) -> DataFrame:
+    """(stratum, draw, sums): sums of the vector column ``values`` over each draw of the stratum's rows.
+
+    One row per recording. Strata are drawn within themselves.
+    """
+    placed = _blocks(rows.select(*stratum, "recording_id", F.col(values).cast("array<double>").alias("_v")), stratum, block)
+    schema = _schema(placed, stratum, ("draw", T.IntegerType()), ("sums", T.ArrayType(T.DoubleType())))
+
+    def run(frames):
+        held: dict[tuple, np.ndarray] = {}
+
+        def flush():
+            for key, total in held.items():
+                out = pd.DataFrame({"draw": np.arange(draws, dtype=np.int32), "sums": list(total)})
+                yield out.assign(**dict(zip(stratum, key)))[[*stratum, "draw", "sums"]]
+            held.clear()
+
+        for key, pdf in _whole_blocks(frames, [*stratum, "_block"]):
+            x = np.stack(pdf["_v"].to_numpy())
+            part = dr.resampled(seed, key[:-1], int(pdf["_n"].iloc[0]), int(key[-1]), draws, x)
+            held[key[:-1]] = held[key[:-1]] + part if key[:-1] in held else part
+            if sum(t.size for t in held.values()) > HELD:
+                yield from flush()
+        yield from flush()
+
+    partial = placed.mapInPandas(run, schema).withColumn("_s", array_to_vector("sums"))
+    return partial.groupBy(*stratum, "draw").agg(vector_to_array(Summarizer.sum(F.col("_s"))).alias("sums"))
+
+
+def draw_recordings(rows: DataFrame, stratum: list[str], draws: int, seed: int, carry: list[str] = (), block: Column | None = None) -> DataFrame:
+    """(stratum, recording_id, carry, draw, m): how often each row is drawn, zeros left out, made beside the rows.
+
+    For statistics that need each drawn row, not sums: the output has draws times rows.
     """
-    own = recordings.select(*stratum, "recording_id").distinct()
-    placed = blocked_row_number(own, stratum, ["recording_id"], text_block(own, "recording_id") if block is None else block, "_at").withColumn("_at", F.col("_at") - 1)
-    sizes = own.groupBy(*stratum).agg(F.count("*").alias("n"))
-    picks = _slots(sizes, draws).withColumn("_at", _position(seed, stratum)).groupBy(*stratum, "_at", "draw").agg(
-        F.count("*").alias("m"))
-    return placed.join(picks, [*stratum, "_at"]).drop("_at")
+    placed = _blocks(rows.select(*stratum, "recording_id", *carry), stratum, block)
+    names = [*stratum, "recording_id", *carry]
+    schema = _schema(placed, names, ("draw", T.IntegerType()), ("m", T.LongType()))
+
+    def run(frames):
+        for key, pdf in _whole_blocks(frames, [*stratum, "_block"]):
+            counts = dr.block_counts(seed, key[:-1], int(pdf["_n"].iloc[0]), int(key[-1]), draws)
+            step = max(1, (1 << 20) // len(pdf))
+            for k in range(0, draws, step):
+                some = range(k, min(draws, k + step))
+                draw, at = dr.slots(dr.keyed(seed, key[:-1], some, int(key[-1])), counts[k : some.stop], len(pdf))
+                cell, many = np.unique(draw * len(pdf) + at, return_counts=True)
+                yield pdf[names].iloc[cell % len(pdf)].assign(draw=(k + cell // len(pdf)).astype(np.int32), m=many)
+
+    return placed.mapInPandas(run, schema)
 
 
 def interval(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -163,15 +208,14 @@ def bootstrap_contrast(paired: DataFrame, stratum: list[str], draws: int, seed:
         one(wide, "worst_low"), one(wide, "worst_high"), one(p, "raw_p"))
 
 
-def mean_difference_draws(values: DataFrame, stratum: list[str], value: str, draws: int, seed: int, block: Column) -> DataFrame:
+def mean_difference_draws(values: DataFrame, stratum: list[str], value: str, draws: int, seed: int, block: Column | None = None) -> DataFrame:
     """Resampled mean of ``value`` per stratum and draw."""
-    picks = draw_recordings(values, stratum, draws, seed, block)
-    d = picks.join(values.select(*stratum, "recording_id", value), [*stratum, "recording_id"])
-    return d.groupBy(*stratum, "draw").agg((F.sum(F.col("m") * F.col(value)) / F.sum("m")).alias("v"))
+    d = draw_sums(values.withColumn("_x", F.array(value, F.lit(1.0))), stratum, "_x", draws, seed, block)
+    return d.select(*stratum, "draw", (F.col("sums")[0] / F.col("sums")[1]).alias("v"))
 
 
 def paired_bootstrap(
-    values: DataFrame, keys: list[str], value: str, draws: int, seed: int, block: Column,
+    values: DataFrame, keys: list[str], value: str, draws: int, seed: int, block: Column | None = None,
     alternative: str = "superiority", margin: float = 0.0,
 ) -> DataFrame:
     """One-sided test of a mean recording effect against a margin."""
@@ -183,16 +227,14 @@ def paired_bootstrap(
     return observed.join(interval(d, keys, "v"), keys).join(centered_p(d, keys, "v", "estimate", null), keys)
 
 
-def block_bootstrap_ci(rows: DataFrame, keys: list[str], block_id: str, value: str, draws: int, seed: int, order: Column) -> DataFrame:
+def block_bootstrap_ci(rows: DataFrame, keys: list[str], block_id: str, value: str, draws: int, seed: int, order: Column | None = None) -> DataFrame:
     """Interval of a mean under resampling of whole blocks; null below two blocks.
 
     A mean needs only each block's sum and count, so rows are reduced before any draw.
     """
     blocks = rows.groupBy(*keys, F.col(block_id).alias("recording_id")).agg(
-        F.sum(value).alias("s"), F.count(value).alias("c"))
-    picks = draw_recordings(blocks, keys, draws, seed, order)
-    d = picks.join(blocks, [*keys, "recording_id"]).groupBy(*keys, "draw").agg(
-        (F.sum(F.col("m") * F.col("s")) / F.sum(F.col("m") * F.col("c"))).alias("v"))
+        F.array(F.sum(value).cast("double"), F.count(value).cast("double")).alias("x"))
+    d = draw_sums(blocks, keys, "x", draws, seed, order).select(*keys, "draw", (F.col("sums")[0] / F.col("sums")[1]).alias("v"))
     n = blocks.groupBy(*keys).agg(F.count("*").alias("blocks"))
     ci = interval(d, keys, "v")
     out = n.join(ci, keys, "left")
