@@ -1,12 +1,14 @@
 """Source and sink queries; file content is derived from the tables by Spark itself."""
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 
 from pyspark.sql import functions as F
 
 from ..operators import windows as wo
-from ..sources import files as ops, sinks, views as v
+from ..plans.ranking import blocked_row_number, id_block
+from ..session import cut
+from ..sources import captures, files as ops, sinks, views as v
 from .base import S, W, query, with_
 from .framing import FR, framed
 from .relating import REL, relations
@@ -37,26 +39,53 @@ def _(spark, sf):
 
 @query("read_signal_slice", with_(S) + "SELECT recording_id, n, v FROM s WHERE n >= 20 AND n < 50")
 def _(spark, sf):
-    """Chunks stored sorted by (recording, chunk); the range filter reaches the scan."""
+    """Chunks stored by range of chunk number, so the filter skips whole files and row groups."""
     path = sinks.scratch(spark, "chunks")
     chunks = wo.signal_chunks(v.samples(spark, sf), ["recording_id"], chunk=16)
-    chunks.sortWithinPartitions("recording_id", "chunk_no").write.parquet(path)
+    chunks.repartitionByRange("chunk_no", "recording_id").sortWithinPartitions("chunk_no", "recording_id").write.parquet(path)
     return ops.read_signal_slice(spark.read.parquet(path), 20, 50, 16)
 
 
-@query("ingest_interleaved_iq", with_(W) + """SELECT vec_id, CAST(k AS BIGINT) AS chunk_no, round(list_sum(list_transform(range(1, 9), lambda n: i[8 * k + n]::DOUBLE)), 6) AS sum_i, round(list_sum(list_transform(range(1, 9), lambda n: q[8 * k + n]::DOUBLE)), 6) AS sum_q FROM w, range(4) z(k)""")
-def _(spark, sf):
-    """Raw little-endian content (the rows of the binaryFile reader) back to I/Q chunks of 8."""
-    w = v.iq_windows(spark, sf).select("vec_id", "i", "q")
+FILE = 1024  # windows a capture file holds
+
+
+def capture_files(spark, sf, **how):
+    """Raw files of the windows' samples, written by tasks; read back through the data source."""
+    w = v.iq_windows(spark, sf).select("recording_id", "vec_id", "i", "q")
+    w = blocked_row_number(w, ["recording_id"], ["vec_id"], id_block("vec_id"), "at")
+    folder = sinks.scratch(spark, "captures")
+
+    def put(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        name = f"{key[0]}.{key[1]}.iq"
+        captures.write_capture(folder if ":/" in folder else f"file://{folder}", name, np.concatenate(pdf["i"].to_list()), np.concatenate(pdf["q"].to_list()))
+        return pd.DataFrame({"path": [name]})
+
+    parts = w.groupBy("recording_id", F.floor((F.col("at") - 1) / FILE).cast("long").alias("part"))
+    cut(parts.applyInPandas(put, "path string"))
+    return captures.read_captures(spark, folder if ":/" in folder else f"file://{folder}", **how)
+
+
+IQ_FILES = W + f""", ra AS (SELECT recording_id, i, q, row_number() OVER (PARTITION BY recording_id ORDER BY vec_id) - 1 AS pos FROM w),
+ ch AS (SELECT concat(recording_id, '.', pos // {FILE}, '.iq') AS path, CAST(4 * (pos % {FILE}) + k AS BIGINT) AS chunk_no, round(list_sum(list_transform(range(1, 9), lambda n: i[8 * k + n]::DOUBLE)), 6) AS sum_i,
+  round(list_sum(list_transform(range(1, 9), lambda n: q[8 * k + n]::DOUBLE)), 6) AS sum_q FROM ra, range(4) z(k))"""
 
-    def pack(batches):
-        for b in batches:
-            content = [np.column_stack([i, q]).astype("<f4").tobytes() for i, q in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([pa.array([str(x) for x in b.column(0).to_pylist()]), pa.array(content, type=pa.binary())], names=["path", "content"])
 
-    d = ops.ingest_interleaved(w.mapInArrow(pack, "path string, content binary"), chunk=8)
+def chunk_sums(d):
     total = lambda c: F.round(F.expr(f"aggregate({c}, 0.0D, (t, z) -> t + cast(z as double))"), 6)
-    return d.select(F.col("path").cast("long").alias("vec_id"), "chunk_no", total("i").alias("sum_i"), total("q").alias("sum_q"))
+    return d.select("path", "chunk_no", total("i").alias("sum_i"), total("q").alias("sum_q"))
+
+
+@query("ingest_interleaved_iq", with_(IQ_FILES) + "SELECT * FROM ch")
+def _(spark, sf):
+    """Raw capture files back to I/Q chunks of 8; each file is read by ranges."""
+    return chunk_sums(capture_files(spark, sf, chunk=8, partition_bytes=1 << 16))
+
+
+@query("read_capture_range", with_(IQ_FILES) + "SELECT * FROM ch WHERE chunk_no >= 40 AND chunk_no < 44")
+def _(spark, sf):
+    """A slice of every capture; only its byte ranges are opened."""
+    return chunk_sums(capture_files(spark, sf, chunk=8).where("chunk_no >= 40 AND chunk_no < 44"))
 
 
 @query("file_inventory_sha256", "SELECT DISTINCT url AS path, CAST(octet_length(encode(html)) AS BIGINT) AS bytes, sha256(html) AS sha256 FROM pages")
