@@ -44,54 +44,65 @@ def fingerprints(windows: DataFrame, role: str, i: str = "i", q: str | None = "q
 
 PROJECTIONS = 8
 CELL_AXES = 3
-SALT = 32
+
+_dot = lambda x, y: F.expr(f"aggregate(zip_with({x}, {y}, (a, b) -> a * b), 0.0D, (t, z) -> t + z)")
+_apart = lambda x, y: F.sqrt(F.expr(f"aggregate(zip_with({x}, {y}, (a, b) -> (a - b) * (a - b)), 0.0D, (t, z) -> t + z)"))
 
 
 def near_duplicates(prints: DataFrame, threshold: float = 0.999) -> DataFrame:
-    """Cross-role pairs of recordings with fingerprints of cosine >= threshold, exactly.
-
-    Cosine t on unit vectors means distance <= d = sqrt(2 - 2t). Projections on orthonormal
-    directions never lengthen a difference, so both members of a pair lie in the same or a
-    neighbouring cell of side d on every projected axis. Equal fingerprints are collapsed while
-    candidates are sought and give their members back at the end, where roles are compared member
-    by member. Candidates are ids only, and a crowded cell is split over salted sub-cells: one side
-    takes one salt, the other visits them all.
+    """(recording_id, role, class_id, class_size, links): cross-role recordings with fingerprints of cosine >= threshold, exactly.
+
+    ``class_id`` is the least recording with an equal fingerprint, ``links`` the recordings of other roles
+    within the threshold. Cosine t on unit vectors means distance <= d = sqrt(2 - 2t). Projections on
+    orthonormal directions never lengthen a difference, so linked vectors lie in the same or
+    neighbouring cells of side d. In each cell the classes within d / 2 of its pivot form a ball, every
+    other class a ball of its own. By the triangle inequality two balls are wholly linked, wholly
+    apart, or open; only classes of open balls are compared, so a crowd of nearly equal recordings is
+    counted without its pairs.
     """
-    d = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12)) * (1 + 1e-9)
+    d = math.sqrt(max(2.0 - 2.0 * threshold, 1e-12))
+    reach, slack = d * (1 + 1e-9), 1e-9
     axis = lambda j: F.expr(
         f"aggregate(transform(unit, (z, p) -> z * cos(pi() * (p + 0.5D) * {j} / size(unit)) * sqrt(2.0D / size(unit))), 0.0D, (t, z) -> t + z)")
-    same = prints.groupBy(F.sha2(F.to_json(F.struct("unit")), 256).alias("fp")).agg(
-        F.first("unit").alias("unit"), F.min("recording_id").alias("recording_id"), F.collect_set("role").alias("roles"))
-    same = cut(same.withColumn("p", F.array(*[axis(j + 1) for j in range(PROJECTIONS)])))
-    light = same.select("fp", "recording_id", "roles", "p")
-    cell = F.transform(F.slice("p", 1, CELL_AXES), lambda z: F.floor(z / d))
-    salt = F.pmod(F.xxhash64("fp"), F.lit(SALT)).cast("int")
-    left = light.select(F.col("fp").alias("lf"), F.col("recording_id").alias("lr"), F.col("roles").alias("lo"), F.col("p").alias("lp"), cell.alias("cell"), salt.alias("salt"))
+    members = cut(prints.select("recording_id", "role", "unit", F.sha2(F.to_json(F.struct("unit")), 256).alias("fp")))
+    same = members.groupBy("fp").agg(F.first("unit").alias("unit"), F.min("recording_id").alias("class_id"), F.count("*").alias("class_size"))
+    same = same.withColumn("p", F.array(*[axis(j + 1) for j in range(PROJECTIONS)]))
+    same = cut(same.withColumn("cell", F.transform(F.slice("p", 1, CELL_AXES), lambda z: F.floor(z / reach))))
+    # the pivot is the class nearest to the middle of its cell, so that an outlier seldom is
+    middle = same.groupBy("cell").agg(F.array(*[F.avg(F.col("p")[j]) for j in range(PROJECTIONS)]).alias("_mid"))
+    pivots = same.join(middle, "cell").groupBy("cell").agg(F.min(F.struct(_apart("p", "_mid"), "fp", "unit")).alias("pivot"))
+    placed = same.join(pivots, "cell").withColumn("_far", _apart("unit", "pivot.unit"))
+    inner = F.col("_far") <= d / 2 - slack
+    placed = cut(placed.select(
+        "fp", "unit", "p", "cell", F.when(inner, F.col("pivot.fp")).otherwise(F.col("fp")).alias("ball"), F.when(inner, F.col("_far")).otherwise(0.0).alias("_far")))
+    roles = members.groupBy("fp", "role").agg(F.count("*").alias("n"))
+    by_ball = placed.select("fp", "ball").join(roles, "fp").groupBy("ball", "role").agg(F.sum("n").alias("n"))
+    radius = placed.groupBy("ball").agg(F.max("_far").alias("radius"))
+    balls = cut(placed.where("fp = ball").select("ball", "cell", "p", "unit").join(radius, "ball"))
+    light = balls.select("ball", "cell", "p", "radius")
     steps = F.array(*[F.array(*[F.lit(v).cast("long") for v in s]) for s in _offsets(CELL_AXES)])
-    right = light.withColumn("_c", cell).withColumn("_s", F.explode(steps)).select(
-        F.col("fp").alias("rf"), F.col("recording_id").alias("rr"), F.col("roles").alias("ro"), F.col("p").alias("rp"),
-        F.expr("zip_with(_c, _s, (a, b) -> a + b)").alias("cell"))
-    crowded = left.groupBy("cell").agg(F.count("*").alias("n")).where(F.col("n") > 4096).select("cell", F.lit(True).alias("_crowded"))
-    left = left.join(crowded, "cell", "left").withColumn("salt", F.when(F.col("_crowded"), F.col("salt")).otherwise(0))
-    right = right.join(crowded, "cell", "left").withColumn(
-        "salt", F.explode(F.when(F.col("_crowded"), F.sequence(F.lit(0), F.lit(SALT - 1))).otherwise(F.array(F.lit(0)))))
-    close = F.expr("aggregate(zip_with(lp, rp, (a, b) -> pow(a - b, 2)), 0.0D, (t, z) -> t + z)") <= d * d
-    crosses = F.size(F.array_union("lo", "ro")) > 1
-    ids = left.drop("_crowded").join(right.drop("_crowded"), ["cell", "salt"]).where((F.col("lr") < F.col("rr")) & crosses & close)
-    vectors = same.select("fp", "unit")
-    found = (
-        ids.select("lf", "rf", "lr", "rr")
-        .join(vectors.select(F.col("fp").alias("lf"), F.col("unit").alias("lu")), "lf")
-        .join(vectors.select(F.col("fp").alias("rf"), F.col("unit").alias("ru")), "rf"))
-    cosine = F.expr("aggregate(zip_with(lu, ru, (a, b) -> a * b), 0.0D, (t, z) -> t + z)")
-    unequal = found.select("lf", "rf", cosine.alias("cosine")).where(F.col("cosine") >= threshold)
-    equal = same.where("size(roles) > 1").select(F.col("fp").alias("lf"), F.col("fp").alias("rf"), F.lit(1.0).alias("cosine"))
-    members = prints.select(F.sha2(F.to_json(F.struct("unit")), 256).alias("fp"), "recording_id", "role")
-    left_members = members.select(F.col("fp").alias("lf"), F.col("recording_id").alias("l"), F.col("role").alias("_lrole"))
-    right_members = members.select(F.col("fp").alias("rf"), F.col("recording_id").alias("r"), F.col("role").alias("_rrole"))
-    pairs = unequal.unionByName(equal).join(left_members, "lf").join(right_members, "rf").where(
-        (F.col("_lrole") != F.col("_rrole")) & ((F.col("lf") != F.col("rf")) | (F.col("l") < F.col("r"))))
-    return pairs.select(F.least("l", "r").alias("left_recording"), F.greatest("l", "r").alias("right_recording"), "cosine")
+    left = light.select(*[F.col(c).alias(n) for c, n in (("ball", "l"), ("cell", "cell"), ("p", "lp"), ("radius", "lr"))])
+    right = light.withColumn("_s", F.explode(steps)).select(
+        F.col("ball").alias("r"), F.expr("zip_with(cell, _s, (a, b) -> a + b)").alias("cell"), F.col("p").alias("rp"), F.col("radius").alias("rr"))
+    near = left.join(right, "cell").where((F.col("l") < F.col("r")) & (_apart("lp", "rp") - F.col("lr") - F.col("rr") <= reach)).select("l", "r", "lr", "rr")
+    units = balls.select("ball", "unit")
+    near = near.join(units.select(F.col("ball").alias("l"), F.col("unit").alias("lu")), "l").join(units.select(F.col("ball").alias("r"), F.col("unit").alias("ru")), "r")
+    near = near.select("l", "r", "lr", "rr", _apart("lu", "ru").alias("between"))
+    wholly = F.col("between") + F.col("lr") + F.col("rr") <= d - slack
+    near = cut(near.where(F.col("between") - F.col("lr") - F.col("rr") <= reach).select("l", "r", wholly.alias("wholly")))
+    own = placed.select("fp", F.col("ball").alias("l"), "unit")
+    both = lambda pairs: pairs.select("l", "r").unionByName(pairs.select(F.col("r").alias("l"), F.col("l").alias("r")))
+    inside = placed.select("fp", "ball").join(by_ball, "ball").select("fp", "role", "n")
+    linked = both(near.where("wholly")).join(own.select("fp", "l"), "l").join(by_ball.withColumnRenamed("ball", "r"), "r").select("fp", "role", "n")
+    other = own.select(F.col("fp").alias("fp2"), F.col("l").alias("r"), F.col("unit").alias("unit2"))
+    open_ = near.where("not wholly").join(own, "l").join(other, "r").where(_dot("unit", "unit2") >= threshold).select("fp", "fp2")
+    pairs = open_.unionByName(open_.select(F.col("fp2").alias("fp"), F.col("fp").alias("fp2")))
+    found = pairs.join(roles.withColumnRenamed("fp", "fp2"), "fp2").select("fp", "role", "n")
+    links = inside.unionByName(linked).unionByName(found).groupBy("fp", "role").agg(F.sum("n").alias("n"))
+    links = links.withColumnRenamed("role", "_other")
+    counted = members.select("recording_id", "role", "fp").join(links, "fp").groupBy("recording_id", "role", "fp").agg(
+        F.sum(F.when(~F.col("role").eqNullSafe(F.col("_other")), F.col("n")).otherwise(0)).alias("links"))
+    return counted.join(same.select("fp", "class_id", "class_size"), "fp").select("recording_id", "role", "class_id", "class_size", "links")
 
 
 def _offsets(axes: int) -> list[tuple[int, ...]]:
