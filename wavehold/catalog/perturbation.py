@@ -7,6 +7,7 @@ from ..operators import metrics as m, perturb as ops, transforms as tr, windows
 from ..operators.fit import array_sum
 from ..sources import views as v
 from .base import W, query, with_
+from .splits import ROLES, fold_plan
 from .transforms import IL
 
 GRID_SQL = "gr AS (SELECT * FROM (VALUES " + ", ".join(
@@ -48,7 +49,7 @@ for _name, _id, _form in (
 
 @query("nuisance_grid", with_(GRID_SQL) + """SELECT case_index, nuisance, severity, case_id, count(*) AS cells FROM embeddings, gr GROUP BY ALL""")
 def _(spark, sf):
-    d = v.windows(spark, sf).withColumn("_c", F.explode(ops.case_array())).select("_c.*")
+    d = v.windows(spark, sf).withColumn("_c", F.explode(ops.case_array())).select("_c.*").drop("severity_index")
     return d.groupBy("case_index", "nuisance", "severity", "case_id").agg(F.count("*").alias("cells"))
 
 
@@ -62,13 +63,15 @@ def first_windows(spark, sf):
 @query("expand_relations", with_(W, GRID_SQL) + """, f AS (SELECT *, row_number() OVER (ORDER BY recording_id) - 1 AS position FROM (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY recording_id ORDER BY start) = 1))
   SELECT recording_id, vec_id, case_index, case_id, position * 32 + case_index AS cell, 80000 + 1009 * position + case_index AS seed FROM f, gr""")
 def _(spark, sf):
-    e = ops.expand_relations(first_windows(spark, sf), ops.base_seed("fit_relations", 0))
+    e = ops.expand_relations(first_windows(spark, sf), ops.seeds("fit_relations"))
     return e.select("recording_id", "vec_id", "case_index", "case_id", "cell", "seed")
 
 
-def cells_of(spark, sf, *names, base=36_000):
-    w = v.iq_windows(spark, sf).withColumn("position", F.col("vec_id"))
-    return ops.expand_relations(w, base, cases=[c for c in ops.CASES if c[0] in names])
+def cells_of(spark, sf, *names, use="bank_metrics"):
+    """Cells of all windows, numbered by recording and start."""
+    w = wo.global_order(v.iq_windows(spark, sf, starts=True), 64)
+    case = "severity_index" if use == "robustness" else "case_index"
+    return ops.expand_relations(w, ops.seeds(use), cases=[c for c in ops.CASES if c[0] in names], case=case)
 
 
 def power_of(i="i", q="q"):
@@ -120,15 +123,20 @@ def iq_families():
     return {"I": lambda x: x.real, "Q": lambda x: x.imag}
 
 
-@query("paired_features", with_(PT) + """, st AS (SELECT avg(re) AS mi, avg(im) AS mq, stddev_pop(re) AS si, stddev_pop(im) AS sq FROM il),
- pr AS (SELECT pt.vec_id, case_index, 'I' AS family, abs(pt.re - il.re) / si AS d, (pt.re - mi) / si AS z FROM pt JOIN il ON pt.vec_id = il.vec_id AND pt.n = il.n, st
-  UNION ALL SELECT pt.vec_id, case_index, 'Q', abs(pt.im - il.im) / sq, (pt.im - mq) / sq FROM pt JOIN il ON pt.vec_id = il.vec_id AND pt.n = il.n, st)
- SELECT vec_id, case_index, family, round(avg(d), 6) AS mean_gap, round(avg(z), 5) AS mean_perturbed FROM pr GROUP BY ALL""")
-def _(spark, sf):
-    """Same transform on both sides, standardised with statistics of the clean windows."""
-    w = v.iq_windows(spark, sf).withColumn("position", F.col("vec_id"))
-    pairs = ops.paired_maps(w, ["vec_id"], iq_families(), 80_000, cases=DETERMINISTIC)
-    stats = w.select(F.posexplode("i").alias("n", "a"), "q").select("a", F.get("q", F.col("n")).alias("b")).agg(
+# the windows that fits and selection may see: source recordings of the first fold
+SOURCE = """so AS (SELECT recording_id, role FROM roles WHERE fold_id = 'd0' AND role IN ('source_fit', 'source_selection'))"""
+
+
+def source_windows(spark, sf):
+    plan = fold_plan(spark, sf).where("fold_id = 'd0' AND role IN ('source_fit', 'source_selection')").select("recording_id", "role")
+    return v.iq_windows(spark, sf).join(plan, "recording_id").withColumn("position", F.col("vec_id"))
+
+
+def source_pairs(spark, sf, cases):
+    """Same transform on both sides, standardised with statistics of the clean windows of source_fit."""
+    w = source_windows(spark, sf)
+    pairs = ops.paired_maps(w, ["vec_id"], iq_families(), ops.seeds("fit_relations"), cases=cases)
+    stats = w.where("role = 'source_fit'").select(F.posexplode("i").alias("n", "a"), "q").select("a", F.get("q", F.col("n")).alias("b")).agg(
         F.struct(F.avg("a").alias("mi"), F.avg("b").alias("mq"), F.stddev_pop("a").alias("si"), F.stddev_pop("b").alias("sq")).alias("s"))
     d = pairs.withColumn("_s", stats.scalar())
     first = F.col("family") == "I"
@@ -138,6 +146,20 @@ def _(spark, sf):
     return d.select("vec_id", "case_index", "family", F.round(gap, 6).alias("mean_gap"), F.round(level, 5).alias("mean_perturbed"))
 
 
+@query("paired_features")
+def _(spark, sf):
+    return source_pairs(spark, sf, ops.CASES)
+
+
+@query("paired_features_fixed_cases", with_(ROLES, PT[len(W) + 2:], SOURCE) + """, st AS (SELECT avg(re) AS mi, avg(im) AS mq, stddev_pop(re) AS si, stddev_pop(im) AS sq FROM il JOIN w USING (vec_id) JOIN so ON so.recording_id = w.recording_id WHERE so.role = 'source_fit'),
+ pr AS (SELECT pt.vec_id, case_index, 'I' AS family, abs(pt.re - il.re) / si AS d, (pt.re - mi) / si AS z FROM pt JOIN il ON pt.vec_id = il.vec_id AND pt.n = il.n, st
+  UNION ALL SELECT pt.vec_id, case_index, 'Q', abs(pt.im - il.im) / sq, (pt.im - mq) / sq FROM pt JOIN il ON pt.vec_id = il.vec_id AND pt.n = il.n, st)
+ SELECT vec_id, case_index, family, round(avg(d), 6) AS mean_gap, round(avg(z), 5) AS mean_perturbed FROM pr WHERE vec_id IN (SELECT vec_id FROM w JOIN so USING (recording_id)) GROUP BY ALL""")
+def _(spark, sf):
+    """The cases without a random part."""
+    return source_pairs(spark, sf, DETERMINISTIC)
+
+
 @query("teacher_pairs", with_(IL) + """, g AS (SELECT vec_id, row_number() OVER (ORDER BY recording_id, start) - 1 AS position FROM w), pw AS (SELECT vec_id, avg(re * re + im * im) AS p FROM il GROUP BY vec_id),
  a AS (SELECT -1 AS case_index, p FROM pw UNION ALL SELECT position % 32, p FROM g JOIN pw USING (vec_id))
  SELECT CAST(case_index AS INTEGER) AS case_index, count(*) AS rows, CASE WHEN case_index = -1 OR case_index BETWEEN 13 AND 21 THEN round(avg(p), 6) END AS mean_power FROM a GROUP BY case_index""")
@@ -145,7 +167,7 @@ def _(spark, sf):
     """All clean rows, then each window once under the case its index falls on."""
     w = wo.global_order(v.iq_windows(spark, sf, starts=True), 64)
     clean = w.select("recording_id", "start", F.lit(-1).alias("case_index"), F.col("i").cast("array<double>").alias("i"), F.col("q").cast("array<double>").alias("q"))
-    turned = ops.perturb_rows(ops.cycle_cases(w, ops.base_seed("teacher_pairs", 0)), ["recording_id", "start", "case_index"])
+    turned = ops.perturb_rows(ops.cycle_cases(w, ops.seeds("teacher_pairs")), ["recording_id", "start", "case_index"])
     both = clean.unionByName(turned)
     # power is fixed for clean rows and for the cases that only rotate or shift samples
     kept = (F.col("case_index") == -1) | F.col("case_index").between(13, 21)
@@ -153,9 +175,9 @@ def _(spark, sf):
         "case_index", "rows", F.when(kept, F.round("p", 6)).alias("mean_power"))
 
 
-def severity_cells(spark, sf, names):
+def severity_cells(spark, sf, names, use="bank_metrics"):
     """A fixed two-class score on the perturbed windows: sign of the mean I x Q product."""
-    p = ops.perturb_rows(cells_of(spark, sf, *names).withColumnRenamed("cls", "truth"), ["recording_id", "domain", "truth", "case_index", "nuisance", "severity"])
+    p = ops.perturb_rows(cells_of(spark, sf, *names, use=use).withColumnRenamed("cls", "truth"), ["recording_id", "domain", "truth", "case_index", "nuisance", "severity"])
     s = F.expr("aggregate(zip_with(i, q, (a, b) -> a * b), 0.0D, (t, z) -> t + z)")
     probs = F.array(1 / (1 + F.exp(-4 * s)), 1 / (1 + F.exp(4 * s)))
     r = m.recording_mean_probs(p.withColumn("probs", probs), ["domain", "case_index", "nuisance", "severity"], 2)
@@ -185,7 +207,7 @@ def _(spark, sf):
 @query("robustness_curve")
 def _(spark, sf):
     """Macro F1 per severity on the noise and interference grids, with the area below."""
-    c = severity_cells(spark, sf, ["awgn", "ism_mixing"])
+    c = severity_cells(spark, sf, ["awgn", "ism_mixing"], "robustness")
     f1 = m.macro_f1(c, ["domain", "nuisance", "severity"]).withColumnRenamed("macro_f1", "value")
     area = m.curve_area(f1, ["domain", "nuisance"])
     return f1.join(area, ["domain", "nuisance"]).select("domain", "nuisance", "severity", F.round("value", 6).alias("macro_f1"), F.round("area", 6).alias("area"))

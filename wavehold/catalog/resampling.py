@@ -9,6 +9,7 @@ from ..session import cut
 from ..sources import views as v
 from .base import RP, SC, W, query, u, with_
 from .metrics import ensemble, recs
+from .perturbation import DETERMINISTIC
 from .selecting import DISP, medians
 
 B, SEED = 10_000, 24022
@@ -177,31 +178,41 @@ def _(spark, sf):
 _INS = DISP + """, mx AS (SELECT domain, recording_id, max(med) FILTER (WHERE family = 'I') AS l, max(med) FILTER (WHERE family = 'Q') AS r FROM fm GROUP BY ALL), df AS (SELECT domain, recording_id, r - l AS diff FROM mx)"""
 
 
-def instability_gaps(spark, sf):
+def instability_gaps(spark, sf, cases=None):
     """Worst case per recording of one family minus the other (comparator minus candidate)."""
-    md = medians(spark, sf).groupBy("domain", "recording_id").agg(
+    md = (medians(spark, sf, cases) if cases else medians(spark, sf)).groupBy("domain", "recording_id").agg(
         F.max(F.when(F.col("family") == "I", F.col("median"))).alias("l"), F.max(F.when(F.col("family") == "Q", F.col("median"))).alias("r"))
     return cut(md.select("domain", "recording_id", (F.col("r") - F.col("l")).alias("diff")))
 
 
-@query("source_instability_contrast", with_(_INS + draws_sql("df", [], ["domain"], "recording_id", "dr")) + """, dd2 AS (SELECT draw, domain, avg(diff) AS v FROM dr GROUP BY ALL), dv AS (SELECT draw, avg(v) AS v FROM dd2 GROUP BY draw),
-  ob AS (SELECT avg(v) AS e FROM (SELECT domain, avg(diff) AS v FROM df GROUP BY domain))
-  SELECT round(max(e), 6) AS estimate, round((1 + count(*) FILTER (WHERE v - e >= e + 0.01 - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dv, ob""")
-def _(spark, sf):
-    g = instability_gaps(spark, sf)
+def instability_contrast(g):
     d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED).groupBy("draw").agg(F.avg("v").alias("v"))
     e = g.groupBy("domain").agg(F.avg("diff").alias("v")).agg(F.avg("v").alias("e"))
-    d = d.withColumn("e", e.scalar())
-    p = rs.centered_p(d, [], "v", "e", null=-0.01)
+    p = rs.centered_p(d.withColumn("e", e.scalar()), [], "v", "e", null=-0.01)
     return e.select(F.round("e", 6).alias("estimate"), F.round(p.scalar(), 6).alias("raw_p"))
 
 
+def domain_p(g):
+    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED)
+    return rs.centered_p(d.join(g.groupBy("domain").agg(F.avg("diff").alias("e")), "domain"), ["domain"], "v", "e").select("domain", *r6("raw_p"))
+
+
+@query("source_instability_contrast")
+def _(spark, sf):
+    return instability_contrast(instability_gaps(spark, sf))
+
+
+@query("source_instability_contrast_fixed_cases", with_(_INS + draws_sql("df", [], ["domain"], "recording_id", "dr")) + """, dd2 AS (SELECT draw, domain, avg(diff) AS v FROM dr GROUP BY ALL), dv AS (SELECT draw, avg(v) AS v FROM dd2 GROUP BY draw),
+  ob AS (SELECT avg(v) AS e FROM (SELECT domain, avg(diff) AS v FROM df GROUP BY domain))
+  SELECT round(max(e), 6) AS estimate, round((1 + count(*) FILTER (WHERE v - e >= e + 0.01 - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dv, ob""")
+def _(spark, sf):
+    return instability_contrast(instability_gaps(spark, sf, DETERMINISTIC))
+
+
 @query("centered_p", with_(_INS + draws_sql("df", [], ["domain"], "recording_id", "dr")) + """, dd2 AS (SELECT draw, domain, avg(diff) AS v FROM dr GROUP BY ALL), ob AS (SELECT domain, avg(diff) AS e FROM df GROUP BY domain)
   SELECT domain, round((1 + count(*) FILTER (WHERE v - e >= e - 1e-12)) / (count(*) + 1), 6) AS raw_p FROM dd2 JOIN ob USING (domain) GROUP BY domain""")
 def _(spark, sf):
-    g = instability_gaps(spark, sf)
-    d = rs.mean_difference_draws(g, ["domain"], "diff", B, SEED)
-    return rs.centered_p(d.join(g.groupBy("domain").agg(F.avg("diff").alias("e")), "domain"), ["domain"], "v", "e").select("domain", *r6("raw_p"))
+    return domain_p(instability_gaps(spark, sf, DETERMINISTIC))
 
 
 _PB = """WITH pv AS (SELECT o_orderpriority AS k, o_custkey AS recording_id, avg(o_totalprice) / 1000 - 150 AS diff FROM orders GROUP BY ALL)"""

@@ -7,22 +7,21 @@ from ..session import cut
 from ..sources import views as v
 from .base import OBJ, RP, W, query, with_
 from .metrics import SEEDF1, seed_f1
-from .splits import fold_plan
-from .perturbation import DETERMINISTIC, PT, iq_families
+from .splits import ROLES, fold_plan
+from .perturbation import DETERMINISTIC, PT, SOURCE, iq_families, source_windows
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
 BOUND = lambda spark, sf: v.recordings(spark, sf).select(F.col("n_windows").alias("n"))
 
 
-def displacements(spark, sf):
-    """Window x case x family displacement on source-scaled I and Q maps."""
-    w = v.iq_windows(spark, sf).withColumn("position", F.col("vec_id"))
-    pairs = pt.paired_maps(w, ["vec_id", "recording_id", "domain"], iq_families(), pt.base_seed("source_instability", 0), cases=DETERMINISTIC)
+def displacements(spark, sf, cases=pt.CASES):
+    """Window x case x family displacement of I and Q maps on source windows."""
+    pairs = pt.paired_maps(source_windows(spark, sf), ["vec_id", "recording_id", "domain"], iq_families(), pt.seeds("source_instability"), cases=cases)
     return ops.linf_displacement(pairs)
 
 
-DISP = PT + """, dp AS (SELECT pt.vec_id, w.recording_id, w.domain, case_index, 'I' AS family, max(abs(pt.re - il.re)) AS d, max(abs(pt.im - il.im)) AS d2
-  FROM pt JOIN il ON pt.vec_id = il.vec_id AND pt.n = il.n JOIN w ON w.vec_id = pt.vec_id GROUP BY ALL),
+DISP = ROLES + ", " + PT[len(W) + 2:] + ", " + SOURCE + """, dp AS (SELECT pt.vec_id, w.recording_id, w.domain, case_index, 'I' AS family, max(abs(pt.re - il.re)) AS d, max(abs(pt.im - il.im)) AS d2
+  FROM pt JOIN il ON pt.vec_id = il.vec_id AND pt.n = il.n JOIN w ON w.vec_id = pt.vec_id JOIN so ON so.recording_id = w.recording_id GROUP BY ALL),
  dd AS (SELECT vec_id, recording_id, domain, case_index, 'I' AS family, d FROM dp UNION ALL SELECT vec_id, recording_id, domain, case_index, 'Q', d2 FROM dp),
  fm AS (SELECT domain, recording_id, case_index, family, median(d) AS med FROM dd GROUP BY ALL),
  rm AS (SELECT domain, recording_id, case_index, max(med) AS rmax FROM fm GROUP BY ALL),
@@ -30,47 +29,46 @@ DISP = PT + """, dp AS (SELECT pt.vec_id, w.recording_id, w.domain, case_index,
  ci AS (SELECT case_index, avg(med) AS instability FROM dm GROUP BY case_index)"""
 
 
-@query("linf_displacement", with_(DISP) + "SELECT vec_id, case_index, family, round(d, 6) AS displacement FROM dd")
-def _(spark, sf):
-    return displacements(spark, sf).select("vec_id", "case_index", "family", *r6("displacement"))
-
-
-def medians(spark, sf):
-    return ops.recording_family_medians(displacements(spark, sf), ["case_index"], BOUND(spark, sf))
-
-
-@query("reduce_recording_family_domain", with_(DISP) + "SELECT case_index, round(instability, 6) AS instability FROM ci")
-def _(spark, sf):
-    return ops.reduce_domains(medians(spark, sf), ["case_index"]).select("case_index", *r6("instability"))
+def medians(spark, sf, cases=pt.CASES):
+    return ops.recording_family_medians(displacements(spark, sf, cases), ["case_index"], BOUND(spark, sf))
 
 
-@query("recording_details", with_(DISP) + """SELECT fm.domain, fm.recording_id, fm.case_index, round(max(med) FILTER (WHERE family = 'I'), 6) AS median_i,
-  round(max(med) FILTER (WHERE family = 'Q'), 6) AS median_q, round(max(med), 6) AS recording_max FROM fm GROUP BY ALL""")
-def _(spark, sf):
-    d = ops.recording_details(medians(spark, sf), ["case_index"])
+def details(rows):
+    d = ops.recording_details(rows, ["case_index"])
     return d.select("domain", "recording_id", "case_index", F.round(F.col("family_medians")["I"], 6).alias("median_i"),
                     F.round(F.col("family_medians")["Q"], 6).alias("median_q"), *r6("recording_max"))
 
 
-@query("source_instability", with_(DISP) + "SELECT round(max(instability), 6) AS value, arg_max(case_index, (instability, -case_index)) AS worst_case FROM ci")
-def _(spark, sf):
-    return ops.worst_case(ops.reduce_domains(medians(spark, sf), ["case_index"]), []).select(*r6("value"), "worst_case")
+STEPS = {
+    "linf_displacement": (
+        "SELECT vec_id, case_index, family, round(d, 6) AS displacement FROM dd",
+        lambda spark, sf, cases: displacements(spark, sf, cases).select("vec_id", "case_index", "family", *r6("displacement"))),
+    "reduce_recording_family_domain": (
+        "SELECT case_index, round(instability, 6) AS instability FROM ci",
+        lambda spark, sf, cases: ops.reduce_domains(medians(spark, sf, cases), ["case_index"]).select("case_index", *r6("instability"))),
+    "recording_details": (
+        """SELECT fm.domain, fm.recording_id, fm.case_index, round(max(med) FILTER (WHERE family = 'I'), 6) AS median_i,
+  round(max(med) FILTER (WHERE family = 'Q'), 6) AS median_q, round(max(med), 6) AS recording_max FROM fm GROUP BY ALL""",
+        lambda spark, sf, cases: details(medians(spark, sf, cases))),
+    "source_instability": (
+        "SELECT round(max(instability), 6) AS value, arg_max(case_index, (instability, -case_index)) AS worst_case FROM ci",
+        lambda spark, sf, cases: ops.worst_case(ops.reduce_domains(medians(spark, sf, cases), ["case_index"]), []).select(*r6("value"), "worst_case")),
+    "recording_worst_case": (
+        "SELECT domain, recording_id, round(max(med), 6) AS worst FROM fm GROUP BY ALL",
+        lambda spark, sf, cases: ops.recording_worst_case(medians(spark, sf, cases), []).select("domain", "recording_id", *r6("worst"))),
+}
+for _name, (_sql, _step) in STEPS.items():  # all 32 cases; and, with an SQL twin, those without a random part
+    query(_name)(lambda spark, sf, step=_step: step(spark, sf, pt.CASES))
+    query(f"{_name}_fixed_cases", with_(DISP) + _sql)(lambda spark, sf, step=_step: step(spark, sf, DETERMINISTIC))
 
 
 @query("source_instability_all_cases")
 def _(spark, sf):
     """All 32 cases, random ones included, per case."""
-    w = v.iq_windows(spark, sf).withColumn("position", F.col("vec_id"))
-    pairs = pt.paired_maps(w, ["vec_id", "recording_id", "domain"], iq_families(), pt.base_seed("source_instability", 0))
-    med = ops.recording_family_medians(ops.linf_displacement(pairs), ["case_index"], BOUND(spark, sf))
+    med = medians(spark, sf)
     return ops.reduce_domains(med, ["case_index"]).select("case_index", *r6("instability"))
 
 
-@query("recording_worst_case", with_(DISP) + """SELECT domain, recording_id, round(max(med), 6) AS worst FROM fm GROUP BY ALL""")
-def _(spark, sf):
-    return ops.recording_worst_case(medians(spark, sf), []).select("domain", "recording_id", *r6("worst"))
-
-
 @query("fisher_ratio", with_(W) + """, l AS (SELECT domain, cls, p, x[p + 1]::DOUBLE AS z FROM w, range(64) r(p)),
  g AS (SELECT domain, p, avg(z) AS g FROM l GROUP BY ALL), c AS (SELECT domain, cls, p, count(*) AS n, avg(z) AS m, var_pop(z) AS s FROM l GROUP BY ALL)
  SELECT domain, round(sum(n * pow(m - g, 2)) / (sum(n * s) + 1e-3 * 64), 6) AS fisher FROM c JOIN g USING (domain, p) GROUP BY domain""")

@@ -97,7 +97,7 @@ def selection_f1(features: DataFrame, classes: int, role: str = "source_selectio
 def instability(windows: DataFrame, roles: DataFrame, kernels: dict, used: DataFrame, scalers: DataFrame, seed: int) -> DataFrame:
     """Worst case over the grid of the family displacement, on one window per recording."""
     first = wo.first_window(windows, ["recording_id", "domain"], ["start", "vec_id", "i", "q"])
-    pairs = perturb.paired_maps(perturb.recording_position(first), ["recording_id", "domain"], kernels, seed)
+    pairs = perturb.paired_maps(perturb.recording_position(first), ["recording_id", "domain"], kernels, lambda window, case: seed + 1009 * window + case)
     d = pairs.join(roles.where("role = 'source_selection'").select("fold_id", "recording_id"), "recording_id")
     d = d.join(scalers, ["fold_id", "family"])
     d = d.withColumn("clean", _scaled("clean")).withColumn("perturbed", _scaled("perturbed"))
