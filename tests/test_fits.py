@@ -103,3 +103,23 @@ def test_zigzag_closed_form(spark):
     order = {rc: k for k, rc in enumerate(zigzag(n))}
     d = spark.createDataFrame(list(order), "r int, c int").select("r", "c", zigzag_rank(F.col("r"), F.col("c"), n).alias("k"))
     assert {(x["r"], x["c"]): x["k"] for x in d.collect()} == order
+
+
+def test_ridge_keeps_its_digits_far_from_zero(spark):
+    """Mean 1e8 and deviation 1 give the weights and predictions of a centred solve."""
+    import numpy as np
+    from wavehold.operators import probe
+
+    rng = np.random.default_rng(4)
+    y = rng.integers(0, 3, 300)
+    near = rng.normal(size=(300, 5)) + np.eye(5)[y]
+    rows = [(str(k % 2), "source_fit", int(y[k]), (near[k] + 1e8).tolist()) for k in range(300)]
+    df = spark.createDataFrame(rows, "g string, role string, cls int, values array<double>").repartition(4)
+    for r in probe.fit_ridge(df, ["g"], 3, 0.01).collect():
+        x, t = (near + 1e8 - 1e8)[int(r["g"]) :: 2], y[int(r["g"]) :: 2]
+        z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(len(x))])
+        want = np.linalg.solve(z.T @ z + 0.01 * np.eye(6), z.T @ np.eye(3)[t])
+        assert np.allclose(r["scale"], x.std(0), rtol=1e-6) and np.allclose(np.array(r["mean"]) - 1e8, x.mean(0), atol=1e-6)
+        assert np.allclose(np.array(r["weights"]).reshape(6, 3), want, atol=1e-6)
+    whole = probe.fit_ridge(df, [], 3, 0.01).first()
+    assert np.allclose(whole["scale"], (near + 1e8 - 1e8).std(0), rtol=1e-6)

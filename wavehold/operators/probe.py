@@ -40,13 +40,20 @@ def _groups(batch: pa.RecordBatch, keys: list[str]):
         yield key if isinstance(key, tuple) else (key,), rows
 
 
+def centred(features: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Features with ``_m``, their key's mean vector, and the table of means: sums of centred values keep their digits."""
+    rows = features.withColumn("values", F.col("values").cast("array<double>"))
+    mean = cut(rows.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector("values"))).alias("_m")))
+    return (rows.join(mean, keys) if keys else rows.withColumn("_m", F.lit(mean.first()["_m"]))), mean
+
+
 def gram_rows(features: DataFrame, keys: list[str], classes: int) -> DataFrame:
-    """Rows of [x 1]' [x 1 onehot(cls)] summed over all source-fit windows.
+    """Rows of [x-m 1]' [x-m 1 onehot(cls)] summed over all source-fit windows, with the mean m.
 
     Each task emits its partial sums; rows are then added per (key, row) with map-side
     combining, so the shuffle is d rows per task, whatever the number of windows.
     """
-    source = source_only(features).select(*keys, "cls", F.col("values").cast("array<double>").alias("values"))
+    source, mean = centred(source_only(features).select(*keys, "cls", "values"), keys)
     schema = source.select(*keys).schema.add("r", T.IntegerType()).add("sums", T.ArrayType(T.DoubleType()))
 
     def run(batches):
@@ -64,10 +71,10 @@ def gram_rows(features: DataFrame, keys: list[str], classes: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _Vectors(batch.column(batch.schema.names.index("values")))
+            x, m = (_Vectors(batch.column(batch.schema.names.index(c))) for c in ("values", "_m"))
             y = batch.column(batch.schema.names.index("cls")).to_numpy(zero_copy_only=False).astype(int)
             for key, rows in _groups(batch, keys):
-                z = np.column_stack([x.take(rows), np.ones(len(rows))])
+                z = np.column_stack([x.take(rows) - m.take(rows), np.ones(len(rows))])
                 part = z.T @ np.column_stack([z, np.eye(classes)[y[rows]]])
                 if key in held:
                     held[key] += part
@@ -78,7 +85,8 @@ def gram_rows(features: DataFrame, keys: list[str], classes: int) -> DataFrame:
         yield from flush()
 
     partial = source.mapInArrow(run, schema).withColumn("_v", array_to_vector("sums"))
-    return partial.groupBy(*keys, "r").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("sums"))
+    total = partial.groupBy(*keys, "r").agg(vector_to_array(Summarizer.sum(F.col("_v"))).alias("sums"))
+    return total.join(mean, keys) if keys else total.withColumn("_m", F.lit(mean.first()["_m"]))
 
 
 def fit_ridge(features: DataFrame, keys: list[str], classes: int, l2: float = 0.01) -> DataFrame:
@@ -92,7 +100,7 @@ def fit_ridge(features: DataFrame, keys: list[str], classes: int, l2: float = 0.
     schema = (key_type + ", " if keys else "") + "mean array<double>, scale array<double>, weights array<double>, n double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.stack(pdf.sort_values("r")["sums"].to_numpy())
+        total, shift = np.stack(pdf.sort_values("r")["sums"].to_numpy()), np.asarray(pdf["_m"].iloc[0])
         d = len(total) - 1
         gram, target = total[:, : d + 1], total[:, d + 1 :]
         n = gram[d, d]
@@ -105,10 +113,10 @@ def fit_ridge(features: DataFrame, keys: list[str], classes: int, l2: float = 0.
         lhs = change.T @ gram @ change + l2 * np.eye(d + 1)
         weights = np.linalg.solve(lhs, change.T @ target)
         out = {name: [pdf[name].iloc[0]] for name in keys}
-        out.update(mean=[mean], scale=[scale], weights=[weights.ravel()], n=[n])
+        out.update(mean=[shift + mean], scale=[scale], weights=[weights.ravel()], n=[n])
         return pd.DataFrame(out)
 
-    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit(0))
+    grouped = rows.groupBy(*keys) if keys else rows.groupBy(F.lit("all"))
     return grouped.applyInPandas(solve, schema)
 
 

@@ -14,6 +14,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..operators.probe import centred
 from ..session import cut
 from .draws import permuted, round_keys
 from .ranking import blocked_row_number, text_block
@@ -46,13 +47,6 @@ def _chunks(draws: int) -> list[range]:
     return [range(k, min(draws, k + CHUNK)) for k in range(0, draws, CHUNK)]
 
 
-def _centred(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Adds _m, the key's mean vector, so that sums are of centred values only."""
-    vector = rows.select(*keys, F.col("values").cast("array<double>").alias("values"))
-    mean = vector.groupBy(*keys).agg(vector_to_array(Summarizer.mean(array_to_vector("values"))).alias("_m"))
-    return rows.withColumn("values", F.col("values").cast("array<double>")).join(cut(mean), keys)
-
-
 def _stack(column: pd.Series) -> np.ndarray:
     return np.stack(column.to_numpy()).astype(np.float64)
 
@@ -107,7 +101,7 @@ def _solved(gram: np.ndarray, target: np.ndarray, l2: float) -> tuple[np.ndarray
 
 def permuted_fits(fit_rows: DataFrame, keys: list[str], classes: int, draws: int, seed: int, l2: float, block: Column | None = None) -> DataFrame:
     """(keys, chunk, mean, scale, weights) of ridge probes on `draws` permutations of each key's labels; chunk -2 is the true fit."""
-    rows = _centred(_positions(fit_rows, keys, block), keys)
+    rows, _ = centred(_positions(fit_rows, keys, block), keys)
     sums = cut(_sums(rows, keys, classes, draws, seed))
     gram = sums.where("chunk = -1").select(*keys, "r", F.col("sums").alias("gram"))
     mean = rows.groupBy(*keys).agg(F.first("_m").alias("mean"))
@@ -178,7 +172,7 @@ def probe_null(recordings: DataFrame, keys: list[str], classes: int, draws: int,
     is scored, so each draw has a Gram matrix of its own. A block of recordings needs only how many
     of each domain come before it: counts per (block, draw, domain) are what blocks tell each other.
     """
-    rows = _centred(_positions(recordings, keys, block), keys)
+    rows, _ = centred(_positions(recordings, keys, block), keys)
     rows = cut(rows.withColumn("_block", F.floor(F.col("_pos") / ROWS).cast("int")).select(*keys, "_block", "_pos", "_n", "_cls", "_upto", "values", "_m"))
     parts = _chunks(draws)
     schema = _key_schema(rows, keys).add("_block", T.IntegerType()).add("part", T.IntegerType()).add("counts", T.ArrayType(T.DoubleType()))
