@@ -4,21 +4,52 @@ import re
 
 from pyspark.sql import functions as F
 
-from ..functions.rng import uniform
 from ..operators import decisions as ops, metrics as m, report
 from ..plans import resampling as rs
 from ..session import cut
 from ..sources import views as v
-from .base import RP, query, u, with_
+from .base import RP, query, with_
 from .metrics import F1, PER, _BINS, _CAL, ensemble, ensemble_cells, recs
-from .resampling import B, BDET2, BF1, CON, PC, ROB, SEED, _DM, contrast, detection_interval, f1_interval, macro2, robustness_draws
+from .resampling import B, BDET2, BF1, CON, PC, ROB, SEED, _DM, contrast, detection_interval, draws_sql, f1_interval, macro2, robustness_draws
 
 r6 = lambda *names: [F.round(n, 6).alias(n) for n in names]
-_P = lambda tag, *cols: f"round({u(repr(tag).replace(chr(34), chr(39)), *cols)}, 4)"
-draw = lambda tag, *cols: F.round(uniform(tag, *[F.col(c) for c in cols]), 4)
-
-H1C = f"""ca AS (SELECT p_brand AS experiment, p_size % 7 AS candidate, {_P('a', 'p_brand', 'p_size % 7')} / 10 AS a, {_P('b', 'p_brand', 'p_size % 7')} / 10 AS b, {_P('c', 'p_brand', 'p_size % 7')} / 10 AS c, {_P('d', 'p_brand', 'p_size % 7')} / 10 AS d,
-  avg(p_retailprice) < 1480 AS feasible, min(p_size) < 8 OR p_brand NOT LIKE '%3' AS valid FROM part GROUP BY p_brand, p_size % 7),
+# Four measured effects of each part; brands are experiments, parts their recordings.
+PE = """pe AS (SELECT p_brand AS experiment, p_size % 7 AS candidate, p_size % 4 AS family, p_partkey AS recording_id, avg(l_discount) - 0.049 AS e0, avg(l_tax) - 0.039 AS e1,
+  avg(l_quantity) / 50 - 0.5 AS e2, avg(l_extendedprice) / 100000 - 0.37 AS e3 FROM part JOIN lineitem ON p_partkey = l_partkey GROUP BY ALL)"""
+
+
+def effects(spark, sf):
+    line = v.table(spark, sf, "lineitem").groupBy("l_partkey").agg(*[F.avg(c).alias(c) for c in ("l_discount", "l_tax", "l_quantity", "l_extendedprice")])
+    part = v.table(spark, sf, "part").join(line, F.col("p_partkey") == F.col("l_partkey"))
+    return part.select(
+        F.col("p_brand").alias("experiment"), (F.col("p_size") % 7).alias("candidate"), (F.col("p_size") % 4).alias("family"), F.col("p_partkey").alias("recording_id"),
+        (F.col("l_discount") - 0.049).alias("e0"), (F.col("l_tax") - 0.039).alias("e1"), (F.col("l_quantity") / 50 - 0.5).alias("e2"), (F.col("l_extendedprice") / 100000 - 0.37).alias("e3"))
+
+
+def p_values(spark, sf, keys):
+    """(keys, e0..e3, p0..p3, low0, low1): mean effects, their centred bootstrap p and lower limits, on shared draws."""
+    e = cut(effects(spark, sf))
+    names = [f"e{k}" for k in range(4)]
+    d = rs.draw_sums(e.withColumn("_x", F.array(*names, F.lit(1.0))), keys, "_x", B, SEED)
+    d = d.select(*keys, *[(F.col("sums")[k] / F.col("sums")[4]).alias(f"v{k}") for k in range(4)])
+    seen = e.groupBy(*keys).agg(*[F.avg(n).alias(n) for n in names])
+    above = lambda k: F.count_if(F.col(f"v{k}") - F.col(f"e{k}") >= F.col(f"e{k}") - 1e-12)
+    p = d.join(seen, keys).groupBy(*keys, *names).agg(
+        *[((1 + above(k)) / (F.count("*") + 1)).alias(f"p{k}") for k in range(4)], *[F.percentile(f"v{k}", F.lit(0.025)).alias(f"low{k}") for k in range(2)])
+    return cut(p)
+
+
+def pv_sql(keys, out):
+    """`out`: the same from `pe`."""
+    g = ", ".join(keys)
+    return PE + draws_sql("pe", [], keys, "recording_id", f"{out}_d") + f""", {out}_o AS (SELECT {g}, {', '.join(f'avg(e{k}) AS e{k}' for k in range(4))} FROM pe GROUP BY {g}),
+ {out}_v AS (SELECT {g}, draw, {', '.join(f'avg(e{k}) AS v{k}' for k in range(4))} FROM {out}_d GROUP BY {g}, draw),
+ {out} AS (SELECT {g}, {', '.join(f'e{k}' for k in range(4))}, {', '.join(f'(1 + count(*) FILTER (WHERE v{k} - e{k} >= e{k} - 1e-12)) / (count(*) + 1) AS p{k}' for k in range(4))},
+  quantile_cont(v0, 0.025) AS low0, quantile_cont(v1, 0.025) AS low1 FROM {out}_v JOIN {out}_o USING ({g}) GROUP BY ALL)"""
+
+
+H1C = pv_sql(["experiment", "candidate"], "pc") + """, cs AS (SELECT p_brand AS experiment, p_size % 7 AS candidate, avg(p_retailprice) < 1480 AS feasible, min(p_size) < 8 OR p_brand NOT LIKE '%3' AS valid FROM part GROUP BY p_brand, p_size % 7),
+ ca AS (SELECT experiment, candidate, p0 AS a, p1 AS b, p2 AS c, p3 AS d, feasible, valid FROM cs JOIN pc USING (experiment, candidate)),
  h1 AS (SELECT experiment, count(*) AS candidates, CASE WHEN bool_and(valid) THEN 'ok' ELSE 'untestable' END AS status,
   CASE WHEN bool_and(valid) THEN least(1.0, count(*) * min(CASE WHEN feasible THEN greatest(a, b, c, d) ELSE 1.0 END)) END AS raw_p FROM ca GROUP BY experiment)"""
 
@@ -26,8 +57,9 @@ H1C = f"""ca AS (SELECT p_brand AS experiment, p_size % 7 AS candidate, {_P('a',
 def h1(spark, sf):
     g = v.table(spark, sf, "part").groupBy(F.col("p_brand").alias("experiment"), (F.col("p_size") % 7).alias("candidate")).agg(
         (F.avg("p_retailprice") < 1480).alias("feasible"), F.min("p_size").alias("_m"))
-    names = dict(a="p_instability_vs_w", b="p_instability_vs_stft", c="p_f1_vs_w", d="p_f1_vs_stft")
-    g = g.withColumns({n: draw(t, "experiment", "candidate") / 10 for t, n in names.items()})
+    names = ("p_instability_vs_w", "p_instability_vs_stft", "p_f1_vs_w", "p_f1_vs_stft")
+    p = p_values(spark, sf, ["experiment", "candidate"])
+    g = g.join(p.select("experiment", "candidate", *[F.col(f"p{k}").alias(n) for k, n in enumerate(names)]), ["experiment", "candidate"])
     g = g.withColumn("measurement_valid", (F.col("_m") < 8) | ~F.col("experiment").endswith("3"))
     return ops.intersection_union(g, ["experiment"])
 
@@ -37,14 +69,16 @@ def _(spark, sf):
     return h1(spark, sf).select("experiment", "candidates", "status", *r6("raw_p"))
 
 
-H3C = f"""fa AS (SELECT p_brand AS experiment, p_size % 4 AS family, {_P('e', 'p_brand', 'p_size % 4')} / 10 AS p, 0.99 + avg(p_size) / 4000 AS cosine, abs(avg(p_retailprice) - 1490) / 2000 AS nmae FROM part GROUP BY p_brand, p_size % 4),
+H3C = pv_sql(["experiment", "family"], "pf") + """, fs AS (SELECT p_brand AS experiment, p_size % 4 AS family, 0.99 + avg(p_size) / 4000 AS cosine, abs(avg(p_retailprice) - 1490) / 2000 AS nmae FROM part GROUP BY p_brand, p_size % 4),
+ fa AS (SELECT experiment, family, p2 AS p, cosine, nmae FROM fs JOIN pf USING (experiment, family)),
  h3 AS (SELECT experiment, count(*) FILTER (WHERE cosine >= 0.995 AND nmae <= 0.01) AS degenerate_families, 'ok' AS status, CASE WHEN count(*) FILTER (WHERE cosine >= 0.995 AND nmae <= 0.01) > 0 THEN 1.0 ELSE max(p) END AS raw_p FROM fa GROUP BY experiment)"""
 
 
 def h3(spark, sf):
     g = v.table(spark, sf, "part").groupBy(F.col("p_brand").alias("experiment"), (F.col("p_size") % 4).alias("family")).agg(
         (0.99 + F.avg("p_size") / 4000).alias("cosine"), (F.abs(F.avg("p_retailprice") - 1490) / 2000).alias("nmae"))
-    return ops.deletion(g.withColumn("raw_p", draw("e", "experiment", "family") / 10), ["experiment"])
+    p = p_values(spark, sf, ["experiment", "family"]).select("experiment", "family", F.col("p2").alias("raw_p"))
+    return ops.deletion(g.join(p, ["experiment", "family"]), ["experiment"])
 
 
 @query("h3_deletion", with_(H3C) + "SELECT experiment, degenerate_families, status, round(raw_p, 6) AS raw_p FROM h3")
@@ -52,11 +86,11 @@ def _(spark, sf):
     return h3(spark, sf).select("experiment", "degenerate_families", "status", *r6("raw_p"))
 
 
-H4C = f"""ex AS (SELECT p_brand AS experiment, avg(p_size) AS sz, avg(p_retailprice) AS pr, count(*) AS n FROM part GROUP BY p_brand),
+H4C = pv_sql(["experiment"], "pb") + """, ex AS (SELECT p_brand AS experiment, avg(p_size) AS sz, avg(p_retailprice) AS pr, count(*) AS n FROM part GROUP BY p_brand),
  h4 AS (SELECT experiment, CASE WHEN n > 1 AND experiment NOT LIKE '%4' THEN 'ok' ELSE 'untestable' END AS status,
-  CASE WHEN n > 1 AND experiment NOT LIKE '%4' THEN CASE WHEN sz < 26 AND pr < 1510 THEN greatest({_P('f', 'experiment')} / 10, {_P('g', 'experiment')} / 10) ELSE 1.0 END END AS raw_p FROM ex)"""
-MEC = f""", mm AS (SELECT *, {_P('h', 'experiment')} - 0.3 AS dg, {_P('i', 'experiment')} - 0.2 AS ds, {_P('j', 'experiment')} AS cov FROM ex),
- ms AS (SELECT experiment, CASE WHEN NOT (n > 20 AND cov >= 0.1) THEN 'untestable' WHEN dg <= 0 OR ds <= 0 THEN 'negative' WHEN dg - 0.1 > 0 AND ds - 0.1 > 0 AND sz / 25 <= 1.1 THEN 'supported' ELSE 'partial' END AS state FROM mm)"""
+  CASE WHEN n > 1 AND experiment NOT LIKE '%4' THEN CASE WHEN sz < 26 AND pr < 1510 THEN greatest(p0, p1) ELSE 1.0 END END AS raw_p FROM ex JOIN pb USING (experiment))"""
+MEC = """, mm AS (SELECT *, e0 AS dg, e1 AS ds FROM ex JOIN pb USING (experiment)),
+ ms AS (SELECT experiment, CASE WHEN NOT (n > 20) THEN 'untestable' WHEN dg <= 0 OR ds <= 0 THEN 'negative' WHEN low0 > 0 AND low1 > 0 AND sz / 25 <= 1.1 THEN 'supported' ELSE 'partial' END AS state FROM mm)"""
 
 
 def experiments(spark, sf):
@@ -65,33 +99,42 @@ def experiments(spark, sf):
 
 
 def h4(spark, sf):
-    e = experiments(spark, sf)
+    e = experiments(spark, sf).join(p_values(spark, sf, ["experiment"]), "experiment")
     return ops.cost_tradeoff(e.select(
         "experiment", (F.col("n") > 1).alias("measurement_valid"), (F.col("sz") < 26).alias("bytes_reduced"), (F.col("pr") < 1510).alias("macs_reduced"),
-        (draw("f", "experiment") / 10).alias("p_performance"), F.when(~F.col("experiment").endswith("4"), draw("g", "experiment") / 10).alias("p_latency")))
+        F.col("p0").alias("p_performance"), F.when(~F.col("experiment").endswith("4"), F.col("p1")).alias("p_latency")))
 
 
 @query("decision_ladders", with_(H4C + MEC) + "SELECT experiment, status, round(raw_p, 6) AS raw_p, state FROM h4 JOIN ms USING (experiment)")
 def _(spark, sf):
-    e = experiments(spark, sf)
+    e = experiments(spark, sf).join(p_values(spark, sf, ["experiment"]), "experiment")
     yes = F.lit(True)
     s = ops.mechanism_state(e.select(
         "experiment", yes.alias("eligible"), yes.alias("integrity"), yes.alias("calibration"), yes.alias("compute_valid"),
-        (F.col("n") - 1).alias("relation_recordings"), (draw("j", "experiment") + 0.4).alias("min_coverage"),
-        (draw("h", "experiment") - 0.3).alias("delta_gate"), (draw("i", "experiment") - 0.2).alias("delta_shuffle"),
-        (draw("h", "experiment") - 0.3 - 0.1).alias("gate_low"), (draw("i", "experiment") - 0.2 - 0.1).alias("shuffle_low"),
+        (F.col("n") - 1).alias("relation_recordings"), F.lit(0.5).alias("min_coverage"),
+        F.col("e0").alias("delta_gate"), F.col("e1").alias("delta_shuffle"), F.col("low0").alias("gate_low"), F.col("low1").alias("shuffle_low"),
         F.lit(0.0).alias("worst_low"), (F.col("sz") / 25).alias("parameter_ratio"), F.lit(1.0).alias("mac_ratio"), F.lit(1.0).alias("latency_ratio")))
     return h4(spark, sf).join(s.select("experiment", "state"), "experiment").select("experiment", "status", *r6("raw_p"), "state")
 
 
-@query("finalize_hypotheses", with_(H1C, H3C, H4C) + f""", al AS (SELECT experiment, 'H1' AS hypothesis, status, raw_p FROM h1 UNION ALL SELECT experiment, 'H3', status, raw_p FROM h3 UNION ALL SELECT experiment, 'H4', status, raw_p FROM h4
-  UNION ALL SELECT experiment, 'H2', 'ok', {_P('k', 'experiment')} / 50 FROM ex), rd AS (SELECT experiment, count(*) FILTER (WHERE status = 'ok') = 4 AS ready FROM al GROUP BY experiment),
+@query("holm", with_(pv_sql(["experiment"], "pb")) + """, p AS (SELECT experiment, h, CASE WHEN h = 3 AND experiment LIKE '%5' THEN NULL ELSE ([p0, p1, p2, p3])[h + 1] END AS p FROM pb, range(4) z(h)),
+  r AS (SELECT *, (count(p) OVER (PARTITION BY experiment) - row_number() OVER (PARTITION BY experiment ORDER BY p NULLS LAST, h) + 1) * p AS r FROM p)
+  SELECT experiment, CAST(h AS INTEGER) AS h, round(p, 6) AS p, round(CASE WHEN p IS NOT NULL THEN least(1.0, max(r) OVER (PARTITION BY experiment ORDER BY p NULLS LAST, h ROWS UNBOUNDED PRECEDING)) END, 6) AS holm_p FROM r""")
+def _(spark, sf):
+    """Four bootstrap p-values per brand; one is missing in some."""
+    p = p_values(spark, sf, ["experiment"]).select("experiment", F.posexplode(F.array(*[f"p{k}" for k in range(4)])).alias("h", "p"))
+    p = p.withColumn("p", F.when(~((F.col("h") == 3) & F.col("experiment").endswith("5")), F.col("p")))
+    return rs.holm(p, ["experiment"], "h", "p").select("experiment", "h", *r6("p", "holm_p"))
+
+
+@query("finalize_hypotheses", with_(H1C, H3C[len(PE) + 2:], H4C[len(PE) + 2:]) + f""", al AS (SELECT experiment, 'H1' AS hypothesis, status, raw_p FROM h1 UNION ALL SELECT experiment, 'H3', status, raw_p FROM h3 UNION ALL SELECT experiment, 'H4', status, raw_p FROM h4
+  UNION ALL SELECT experiment, 'H2', 'ok', p3 FROM pb), rd AS (SELECT experiment, count(*) FILTER (WHERE status = 'ok') = 4 AS ready FROM al GROUP BY experiment),
  rr AS (SELECT *, (count(raw_p) OVER (PARTITION BY experiment) - row_number() OVER (PARTITION BY experiment ORDER BY raw_p NULLS LAST, hypothesis) + 1) * raw_p AS r FROM al JOIN rd USING (experiment)),
  hh AS (SELECT *, least(1.0, max(r) OVER (PARTITION BY experiment ORDER BY raw_p NULLS LAST, hypothesis ROWS UNBOUNDED PRECEDING)) AS hp FROM rr)
  SELECT experiment, hypothesis, CASE WHEN ready THEN round(raw_p, 6) END AS raw_p, CASE WHEN ready THEN round(hp, 6) END AS holm_p, CASE WHEN NOT ready THEN 'untestable' WHEN hp <= 0.05 THEN 'supported' ELSE 'negative' END AS status FROM hh""")
 def _(spark, sf):
     tag = lambda d, h: d.select("experiment", F.lit(h).alias("hypothesis"), "status", F.col("raw_p").cast("double").alias("raw_p"))
-    h2 = experiments(spark, sf).select("experiment", F.lit("ok").alias("status"), (draw("k", "experiment") / 50).alias("raw_p"))
+    h2 = p_values(spark, sf, ["experiment"]).select("experiment", F.lit("ok").alias("status"), F.col("p3").alias("raw_p"))
     raw = tag(h1(spark, sf), "H1").unionByName(tag(h2, "H2")).unionByName(tag(h3(spark, sf), "H3")).unionByName(tag(h4(spark, sf), "H4"))
     return ops.finalize(raw, ["experiment"]).select("experiment", "hypothesis", *r6("raw_p", "holm_p"), "status")
 

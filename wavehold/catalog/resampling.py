@@ -234,16 +234,6 @@ def _(spark, sf):
     return rs.block_bootstrap_ci(e, ["k"], "user_id", "value", B, SEED, F.floor(F.col("recording_id") / 65536)).select("k", "blocks", *r6("low", "high"))
 
 
-@query("holm", f"""WITH p AS (SELECT DISTINCT p_brand AS experiment, h, CASE WHEN h = 3 AND p_brand LIKE '%5' THEN NULL ELSE round({u("'h'", 'p_brand', 'h')} / 10, 4) END AS p FROM part, range(4) z(h)),
-  r AS (SELECT *, (count(p) OVER (PARTITION BY experiment) - row_number() OVER (PARTITION BY experiment ORDER BY p NULLS LAST, h) + 1) * p AS r FROM p)
-  SELECT experiment, CAST(h AS INTEGER) AS h, p, round(CASE WHEN p IS NOT NULL THEN least(1.0, max(r) OVER (PARTITION BY experiment ORDER BY p NULLS LAST, h ROWS UNBOUNDED PRECEDING)) END, 6) AS holm_p FROM r""")
-def _(spark, sf):
-    p = v.table(spark, sf, "part").select(F.col("p_brand").alias("experiment")).distinct().withColumn("h", F.explode(F.sequence(F.lit(0), F.lit(3))))
-    draw = F.round(uniform("h", F.col("experiment"), F.col("h")) / 10, 4)
-    p = p.withColumn("p", F.when(~((F.col("h") == 3) & F.col("experiment").endswith("5")), draw))
-    return rs.holm(p, ["experiment"], "h", "p").select("experiment", "h", "p", *r6("holm_p"))
-
-
 # ---- the bank: 12 configurations per recording ----
 
 BANK = W + f""", rc AS (SELECT recording_id, domain, cls AS truth, [{', '.join(f'avg(abs(x[{k}]::DOUBLE))' for k in range(1, 13))}] AS ins FROM w GROUP BY ALL),

@@ -79,7 +79,9 @@ def _blocks(rows: DataFrame, stratum: list[str], block: Column | None) -> DataFr
     placed = blocked_row_number(rows, stratum, ["recording_id"], block, "_at")
     sizes = rows.groupBy(*stratum).agg(F.count("*").alias("_n"))
     placed = placed.withColumn("_block", F.floor((F.col("_at") - 1) / dr.BLOCK)).join(sizes, stratum)
-    return placed.repartition(*stratum, "_block").sortWithinPartitions(*stratum, "_block", "_at")
+    # few rows, many draws: a fixed number, so that adaptive execution does not gather them in one task
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return placed.repartition(parts, *stratum, "_block").sortWithinPartitions(*stratum, "_block", "_at")
 
 
 def _whole_blocks(frames, names: list[str]):
