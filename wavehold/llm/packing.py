@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 import sys
 import types
@@ -111,9 +112,9 @@ class _WordEncoder:
                 letters.append((w, text))
             else:
                 ended.append((w, stem.encode(), text[len(stem):].encode()))
-        have = known.keys() | {w for w, _ in letters} | {w for w, _ in rest}
-        letters += [(s, s.decode()) for s in {s for _, s, _ in ended} - have]
-        rest += [(t, t.decode()) for t in {t for _, _, t in ended} - have]
+        have = {w for w, _ in letters} | {w for w, _ in rest}
+        letters += [(s, s.decode()) for s in {s for _, s, _ in ended if s not in known} - have]
+        rest += [(t, t.decode()) for t in {t for _, _, t in ended if t not in known} - have]
         for some, encode in ((letters, self._letters), (rest, self._single)):
             for k in range(0, len(some), 8_192):
                 known.update(zip([w for w, _ in some[k : k + 8_192]], encode([t for _, t in some[k : k + 8_192]]), strict=True))
@@ -174,23 +175,28 @@ def write_blocks(
             block, held, pending = block + 1, 0, []
             return pa.RecordBatch.from_pydict(row, schema=schema)
 
-        for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-            for k in range(0, len(ids), 512):
-                for d, x in zip(ids[k : k + 512], encoder(texts[k : k + 512]), strict=True):
-                    pending.append((d, x + end))
-                    held += len(x) // 4 + 1
-                    if held >= block_ids:
-                        yield flush()
-        if pending:
-            yield flush()
+        gc.disable()  # words and ids make no cycles, and looking for some among millions takes a fifth of the time
+        try:
+            for batch in batches:
+                ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
+                for k in range(0, len(ids), 512):
+                    for d, x in zip(ids[k : k + 512], encoder(texts[k : k + 512]), strict=True):
+                        pending.append((d, x + end))
+                        held += len(x) // 4 + 1
+                        if held >= block_ids:
+                            yield flush()
+            if pending:
+                yield flush()
+        finally:
+            gc.enable()
 
     schema = pa.schema([
         ("part", pa.int32()), ("block", pa.int32()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int32()),
         ("n_ids", pa.int64()), ("bits", pa.int32()), ("doc_ids", pa.binary()), ("doc_starts", pa.binary()), ("payload", pa.binary()),
     ])
     rows = df.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(F.col(text_col)).alias("text"))
-    rows = rows.repartitionByRange(parts, "doc_id") if parts else rows.repartitionByRange("doc_id")
+    rows = rows.withColumn("tie", F.monotonically_increasing_id())  # so that equal and null ids are spread
+    rows = rows.repartitionByRange(parts, "doc_id", "tie") if parts else rows.repartitionByRange("doc_id", "tie")
     rows.sortWithinPartitions("doc_id").mapInArrow(encode, BLOCK_SCHEMA).write.parquet(path)
 
 

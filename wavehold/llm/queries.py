@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,7 +21,7 @@ from .packing import read_documents, write_blocks
 from .runs import repeated_runs
 from .sharding import shard_rows
 
-TOKENIZERS = "/opt/tokenizers"
+TOKENIZERS = str(Path(public_tokenizers.path("word_bpe_49k.json")).parent)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
