@@ -109,3 +109,12 @@ def test_written_shards_and_empty(spark, none):
     dealt_rows = write_shards(df, 4, at)
     assert {(r.doc_id, r.shard) for r in spark.read.parquet(at).collect()} == {(r.doc_id, r.shard) for r in dealt_rows.collect()}
     assert shard_rows(none, 8).count() == 0
+
+
+def test_written_shards_keep_columns_of_the_same_names(spark, odd):
+    path = fresh_path(spark, "shards")
+    df = odd.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    dealt = {r.doc_id: (r.shard, r.slot) for r in write_shards(df, 3, path).collect()}
+    rows = spark.read.parquet(path).collect()
+    assert {r.doc_id: (r.shard, r.slot) for r in rows} == dealt
+    assert {(r.shard_of_row, r.slot_of_row, r.score) for r in rows} == {("shard", "slot", "score")}

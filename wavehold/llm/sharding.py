@@ -46,8 +46,12 @@ def shard_rows(df: DataFrame, shards: int, id_col: str = "doc_id", text_col: str
 
 
 def write_shards(df: DataFrame, shards: int, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write all columns of `df` under path/shard=K in slot order and return the assignment. Ids must be unique."""
+    """Write all columns of `df` under path/shard=K in slot order and return the assignment. Ids must be unique.
+
+    Own columns of `df` named shard or slot are written as shard_of_row and slot_of_row.
+    """
     dealt = shard_rows(df, shards, id_col, text_col)
-    out = df.join(dealt.select(F.col("doc_id").alias("__id"), "shard", "slot"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    renamed = df.withColumnsRenamed({c: f"{c}_of_row" for c in ("shard", "slot") if c in df.columns})
+    out = renamed.join(dealt.select(F.col("doc_id").alias("__id"), "shard", "slot"), F.col(id_col).eqNullSafe(F.col("__id"))).drop("__id")
     out.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
     return dealt
