@@ -4,7 +4,7 @@ from importlib import import_module
 
 SUBJECTS = (
     "metrics", "framing", "splits", "projection", "transforms", "fitting", "perturbation",
-    "selecting", "relating", "auditing", "resampling", "deciding", "files", "streams",
+    "selecting", "relating", "auditing", "resampling", "deciding", "files", "streams", "extending",
 )
 
 
