@@ -86,3 +86,43 @@ def test_refinement_ends_on_odd_values(spark, odd):
     got = q.exact_quantiles(df, [], "v", {"x": 0.5, "y": 0.9}, "higher", limit=16).first()
     ranked = sorted(values, key=lambda z: (z != z, z))
     assert [got["x"], got["y"]] == [ranked[-(-5 * (len(values) - 1) // 10)], ranked[-(-9 * (len(values) - 1) // 10)]]
+
+
+def burst(spark, kind="timestamp"):
+    """A recording with 40,000 samples in one second, most of them in one millisecond, beside quiet ones."""
+    hot = spark.range(40_000).select(
+        F.lit("hot").alias("g"), F.lit(0).alias("null_key"), F.col("id").alias("event_id"),
+        (F.lit(1_700_000_000_000_000) + F.when(F.col("id") % 10 < 9, F.col("id") % 7).otherwise(F.col("id") * 25)).alias("us"))
+    quiet = spark.range(600).select(
+        F.concat(F.lit("q"), (F.col("id") % 20).cast("string")), F.lit(None).cast("int"), F.col("id") + 100_000, F.lit(1_700_000_000_000_000) + F.col("id") * 3_600_000_000)
+    return hot.union(quiet).withColumn("ts", F.timestamp_micros("us").cast(kind)).repartition(5)
+
+
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_density_blocks_follow_bursts(spark, kind):
+    d = burst(spark, kind)
+    order = ["g", "ts", "event_id"]
+    b = d.withColumn("b", r.density_block(d, order, width=1000))
+    sizes = [x["count"] for x in b.groupBy("b").count().collect()]
+    assert len(sizes) > 30 and max(sizes) < 4000
+    # blocks never decrease along the order
+    assert b.withColumn("last", F.lag("b").over(Window.partitionBy("null_key").orderBy(*order))).where("last > b").isEmpty()
+    n = r.blocked_row_number(d, ["g"], ["ts", "event_id"], r.density_block(d, order, width=1000), "n")
+    assert n.withColumn("m", F.row_number().over(Window.partitionBy("g").orderBy("ts", "event_id"))).where("n <> m").isEmpty()
+
+
+def test_density_blocks_are_bounded_and_need_rows(spark):
+    d = burst(spark)
+    sizes = d.groupBy(r.density_block(d, ["g", "ts", "event_id"], width=10, most=8).alias("b")).count().collect()
+    assert 4 <= len(sizes) <= 8
+    none = d.limit(0)
+    assert none.withColumn("b", r.density_block(none, ["g", "ts"])).isEmpty()
+    same = spark.range(5000).select(F.lit("a").alias("g"), F.lit(1).alias("n"))
+    assert same.groupBy(r.density_block(same, ["g", "n"], width=100).alias("b")).count().count() <= 2
+
+
+def test_density_blocks_with_null_keys(spark):
+    d = burst(spark).select("null_key", "event_id")
+    n = r.blocked_row_number(d, ["null_key"], ["event_id"], r.density_block(d, ["null_key", "event_id"], width=500), "n")
+    w = Window.partitionBy("null_key").orderBy("event_id")
+    assert n.count() == 40_600 and n.withColumn("m", F.row_number().over(w)).where("n <> m").isEmpty()

@@ -65,3 +65,12 @@ def test_a_stratum_without_support_stops_the_split(spark, corpus):
     short = corpus.where("NOT (domain = 'd1' AND label = 'x' AND group_id LIKE '%-3')")
     with pytest.raises(ValueError):
         s.split_roles(short, ["d0", "d1", "d2"])
+
+
+def test_a_burst_is_spread_and_gives_the_same_windows(spark):
+    d = spark.range(30_000).select(
+        F.lit("r").alias("recording_id"), F.timestamp_micros(F.lit(1_700_000_000_000_000) + F.col("id") % 11).alias("ts"), F.col("id").alias("event_id"), F.col("id").cast("double").alias("v"))
+    numbered = w.number_samples(d.repartition(4), ["recording_id"], ["ts", "event_id"], width=1000)
+    got = {r["start"]: r["x"] for r in w.frame_samples(numbered, ["recording_id"], 16, 8, chunk=64).collect()}
+    want = sorted(range(30_000), key=lambda k: (k % 11, k))
+    assert got == {s: [float(k) for k in want[s : s + 16]] for s in range(0, 30_000 - 15, 8)}

@@ -4,13 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..plans.ranking import blocked_running_sum, text_block
+from ..plans.ranking import BLOCK_IDS, blocked_row_number, blocked_running_sum, density_block, text_block
 
 
 def window_count(n: Column, length: int, hop: int) -> Column:
     return F.greatest(F.lit(0), F.lit(1) + F.floor((n - length) / F.lit(hop))).cast("long")
 
 
+def number_samples(samples: DataFrame, keys: list[str], order: list[str], width: int = BLOCK_IDS) -> DataFrame:
+    """0-based position ``n`` of each sample in its recording.
+
+    Work is cut where samples lie, not by the clock: a burst of any density is spread over blocks of
+    about ``width`` samples, and quiet recordings are not torn into empty hours.
+    """
+    block = density_block(samples, [*keys, *order], width)
+    return blocked_row_number(samples, keys, order, block, "n").withColumn("n", F.col("n") - 1)
+
+
 def signal_chunks(samples: DataFrame, keys: list[str], halo: int = 0, chunk: int = 4096) -> DataFrame:
     """Samples packed into arrays of ``chunk`` values plus ``halo`` values of the next chunk.
 

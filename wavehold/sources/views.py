@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import rng
-from ..plans.ranking import blocked_row_number, id_block, time_block
+from ..operators.windows import number_samples
+from ..plans.ranking import blocked_row_number, id_block
 
 CLASSES = 10
 CONDITIONS = {"full": 0.55, "control": 0.35}
@@ -58,9 +59,7 @@ def samples(spark: SparkSession, sf: str, position: bool = True) -> DataFrame:
     )
     if not position:
         return s
-    return blocked_row_number(s, ["recording_id"], ["ts", "event_id"], time_block("ts"), "n").withColumn(
-        "n", F.col("n") - 1
-    )
+    return number_samples(s, ["recording_id"], ["ts", "event_id"])
 
 
 def scores(spark: SparkSession, sf: str) -> DataFrame:
