@@ -94,16 +94,52 @@ def event_files(spark, folder, parts):
     return f"{folder}/in/*"
 
 
+def first_of(stream):
+    return jobs.first_sample(jobs.drain_whole(jobs.first_sample_parts(stream, "1 hour", "1 day"), jobs.PART, "t1"))
+
+
+def detected(stream):
+    return jobs.running_detection(jobs.drain_whole(jobs.detection_parts(stream, F.col("v"), "1 hour", "1 day"), jobs.PART, "t2"), 5.0)
+
+
 def test_updates_over_many_files_equal_the_batch_answer(spark, folder):
     parts = [[(1, "2024-01-01 00:10:00", 1, 2.0), (2, "2024-01-01 05:00:00", 2, 4.0)], [(3, "2024-01-01 00:05:00", 1, 6.0)], [(4, "2024-01-01 06:30:00", 2, 8.0)]]
     src = event_files(spark, folder, parts)
     stream = lambda: jobs.event_stream(spark, src, files_per_batch=1)
-    first = {r["recording_id"]: r["event_id"] for r in jobs.drain(jobs.first_sample(stream()), ["recording_id"], "t1").collect()}
+    first = {r["recording_id"]: r["event_id"] for r in first_of(stream()).collect()}
     assert first == {"1": 3, "2": 2}
-    det = {r["recording_id"]: (r["score"], r["samples"], r["detected"]) for r in jobs.drain(jobs.running_detection(stream(), F.col("v"), 5.0), ["recording_id"], "t2").collect()}
+    det = {r["recording_id"]: (r["score"], r["samples"], r["detected"]) for r in detected(stream()).collect()}
     assert det == {"1": (4.0, 2, False), "2": (6.0, 2, True)}
 
 
+def test_state_is_dropped_behind_the_watermark_and_parts_merge(spark, folder):
+    """Recordings come and go over ten days; recording 7 returns on the last one."""
+    parts = [[(100 * day + k, f"2024-01-{day + 1:02d} {k:02d}:00:00", 10 * day + k % 5, float(k)) for k in range(20)] for day in range(10)]
+    parts[0].append((1, "2024-01-01 03:30:00", 7, 2.0))
+    parts[9] += [(2, "2024-01-10 04:00:00", 7, 9.0), (3, "2024-01-10 05:00:00", 7, None)]
+    src = event_files(spark, folder, parts)
+    stream = lambda: jobs.event_stream(spark, src, files_per_batch=1)
+    rows = [r for part in parts for r in part]
+    out = jobs.drain_counted(jobs.first_sample_parts(stream(), "6 hours", "12 hours"), jobs.PART, "gone")
+    assert out.dropped == 0
+    held, seen = out.state_rows, len({(r[1][:10], int(r[1][11:13]) // 6, r[2]) for r in rows})
+    assert max(held) <= 45 < seen and any(b < a for a, b in zip(held, held[1:]))
+    want = {}
+    for event, ts, user, _ in rows:
+        want[str(user)] = min(want.get(str(user), (ts, event)), (ts, event))
+    assert {r["recording_id"]: r["event_id"] for r in jobs.first_sample(out.rows).collect()} == {u: e for u, (_, e) in want.items()}
+
+    out = jobs.drain_counted(jobs.detection_parts(stream(), F.col("v"), "6 hours", "12 hours"), jobs.PART, "gone2")
+    assert out.dropped == 0 and max(out.state_rows) <= 45
+    got = {r["recording_id"]: (r["score"], r["samples"], r["detected"]) for r in jobs.running_detection(out.rows, 6.0).collect()}
+    for user in {r[2] for r in rows}:
+        mine = [r[3] for r in rows if r[2] == user]
+        scored = [v for v in mine if v is not None]
+        mean = sum(scored) / len(scored)
+        assert got[str(user)] == (pytest.approx(mean), len(mine), mean >= 6.0)
+    assert len(got) == len({r[2] for r in rows})
+
+
 def test_rows_behind_the_watermark_are_dropped(spark, folder):
     parts = [[(1, "2024-01-03 00:00:00", 1, 2.0)], [(2, "2024-01-03 01:00:00", 1, 4.0)], [(3, "2024-01-01 00:00:00", 1, 6.0)]]
     src = event_files(spark, folder, parts)

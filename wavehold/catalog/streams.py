@@ -34,7 +34,8 @@ def _(spark, sf):
 
 @query("stream_first_window", with_(S) + "SELECT recording_id, event_id, v FROM s WHERE n = 0")
 def _(spark, sf):
-    return jobs.drain_whole(jobs.first_sample(events(spark, sf)), ["recording_id"], "first").select("recording_id", "event_id", "v")
+    parts = jobs.drain_whole(jobs.first_sample_parts(events(spark, sf), "1 day", "1 day"), jobs.PART, "first")
+    return jobs.first_sample(parts).select("recording_id", "event_id", "v")
 
 
 @query("stream_energy", with_(S) + """, rf AS (SELECT domain, avg(v * v) AS reference FROM s GROUP BY domain), x AS (SELECT recording_id, s.domain, CAST(floor(epoch(ts) / 43200) AS BIGINT) * 12 AS start, avg(v * v) AS power FROM s GROUP BY ALL)
@@ -57,5 +58,5 @@ def _(spark, sf):
 
 @query("stream_detection", with_(S) + "SELECT recording_id, round(avg(v / 500.0), 6) AS score, count(*) AS samples, avg(v / 500.0) >= 0.05 AS detected FROM s GROUP BY recording_id")
 def _(spark, sf):
-    d = jobs.drain_whole(jobs.running_detection(events(spark, sf), F.col("v") / 500.0, 0.05), ["recording_id"], "detect")
-    return d.select("recording_id", *r6("score"), "samples", "detected")
+    parts = jobs.drain_whole(jobs.detection_parts(events(spark, sf), F.col("v") / 500.0, "1 day", "1 day"), jobs.PART, "detect")
+    return jobs.running_detection(parts, 0.05).select("recording_id", *r6("score"), "samples", "detected")

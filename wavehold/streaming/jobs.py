@@ -36,6 +36,7 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = N
 class Drained(NamedTuple):
     rows: DataFrame
     dropped: int
+    state_rows: list[int]  # groups held after each micro-batch
 
 
 def drain(query: DataFrame, keys: list[str], name: str, mode: str = "update") -> DataFrame:
@@ -68,7 +69,8 @@ def drain_counted(query: DataFrame, keys: list[str], name: str, mode: str = "upd
     q = query.writeStream.outputMode(mode).option("checkpointLocation", f"{base}/state").foreachBatch(keep).trigger(availableNow=True).start()
     q.awaitTermination()
     dropped = sum(op.numRowsDroppedByWatermark for p in q.recentProgress for op in p.stateOperators)
-    return Drained(newest(spark.read.parquet(f"{base}/out"), keys), dropped)
+    held = [sum(op.numRowsTotal for op in p.stateOperators) for p in q.recentProgress if p.stateOperators]
+    return Drained(newest(spark.read.parquet(f"{base}/out"), keys), dropped, held)
 
 
 def newest(versions: DataFrame, keys: list[str]) -> DataFrame:
@@ -83,9 +85,37 @@ def frame_windows(stream: DataFrame, length: str, hop: str, late: str, *aggregat
     return d.select("recording_id", "domain", F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), *[c for c in d.columns if c not in ("_w", "recording_id", "domain")])
 
 
-def first_sample(stream: DataFrame) -> DataFrame:
-    """Earliest sample per recording whatever the arrival order."""
-    return stream.groupBy("recording_id").agg(F.min(F.struct("ts", "event_id", "v")).alias("_f")).select("recording_id", "_f.*")
+PART = ["recording_id", "part"]
+
+
+def _parts(stream: DataFrame, length: str, late: str, *aggregates: Column) -> DataFrame:
+    """One row per (recording, stretch of event time): state that Spark drops once the watermark has passed.
+
+    A key without time would be held forever, one group for each recording ever seen.
+    """
+    d = stream.withWatermark("ts", late).groupBy(F.window("ts", length).alias("_w"), "recording_id").agg(*aggregates)
+    return d.withColumn("part", F.col("_w.start")).drop("_w")
+
+
+def first_sample_parts(stream: DataFrame, length: str, late: str) -> DataFrame:
+    """Earliest sample per recording and stretch, whatever the arrival order; merged by first_sample."""
+    return _parts(stream, length, late, F.min(F.struct("ts", "event_id", "v")).alias("first"))
+
+
+def first_sample(parts: DataFrame) -> DataFrame:
+    """Earliest sample per recording from the sink's newest parts."""
+    return parts.groupBy("recording_id").agg(F.min("first").alias("_f")).select("recording_id", "_f.*")
+
+
+def detection_parts(stream: DataFrame, score: Column, length: str, late: str) -> DataFrame:
+    """Sum and count of scores per recording and stretch; merged by running_detection. Null scores count as samples only."""
+    return _parts(stream, length, late, F.sum(score).alias("total"), F.count(score).alias("scored"), F.count("*").alias("samples"))
+
+
+def running_detection(parts: DataFrame, threshold: float) -> DataFrame:
+    """Mean score and decision per recording from the sink's newest parts."""
+    d = parts.groupBy("recording_id").agg((F.sum("total") / F.nullif(F.sum("scored"), F.lit(0))).alias("score"), F.sum("samples").alias("samples"))
+    return d.select("recording_id", "score", "samples", (F.col("score") >= threshold).alias("detected"))
 
 
 def energy_windows(stream: DataFrame, references: DataFrame, length: str, late: str) -> DataFrame:
@@ -100,11 +130,6 @@ def sessions(stream: DataFrame, gap: str, late: str) -> DataFrame:
     return d.select("recording_id", F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "samples")
 
 
-def running_detection(stream: DataFrame, score: Column, threshold: float) -> DataFrame:
-    d = stream.groupBy("recording_id").agg(F.avg(score).alias("score"), F.count("*").alias("samples"))
-    return d.withColumn("detected", F.col("score") >= threshold)
-
-
 class Ledger:
     """Append-only record of how much of a fixed set of recordings has been read.
 
