@@ -136,7 +136,7 @@ def edit_distance(a, b):
     return row[-1]
 
 
-def brute_lines(spark, texts, union, distance=4, reach=16, blocks=6, similarity=0.9):
+def brute_lines(spark, texts, union, distance=3, reach=16, blocks=5, similarity=0.9):
     """Every pair of lines, compared by the rule itself: equal blocks are counted, no keys are made."""
     join, find = union
     letters = lambda x: regex.search(r"\p{L}", x)
@@ -148,7 +148,9 @@ def brute_lines(spark, texts, union, distance=4, reach=16, blocks=6, similarity=
     hashed = spark.createDataFrame([(w, w[:2], w[-2:]) for w in words], "w string, p string, s string").select(
         "w", F.xxhash64("w").alias("x"), F.xxhash64("p", F.lit(1)).alias("y"), F.xxhash64("s", F.lit(2)).alias("z")).collect()
     value = {r.w: sum(1 << k for k in range(64) if (r.x >> k & 1) + (r.y >> k & 1) + (r.z >> k & 1) >= 2) for r in hashed}
-    hashes = {x: sum(1 << k for k in range(64) if 2 * sum(value[w] >> k & 1 for w in ws) > len(ws)) for x, ws in split.items()}
+    every = [value[w] for ws in split.values() for w in ws]
+    share = [round(sum(v >> k & 1 for v in every) / len(every), 6) for k in range(64)]
+    hashes = {x: sum(1 << k for k in range(64) if sum(value[w] >> k & 1 for w in ws) > share[k] * len(ws)) for x, ws in split.items()}
     edges = [64 * k // blocks for k in range(blocks + 1)]
     same = lambda d: sum(not any(d >> k & 1 for k in range(p, q)) for p, q in zip(edges, edges[1:]))
     for x in known:
