@@ -79,15 +79,43 @@ def slots(base: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray,
     return draw, (x * np.uint64(size) >> np.uint64(32)).astype(np.int64)
 
 
-def resampled(seed: int, group: tuple, n: int, block: int, draws: int, values: np.ndarray, at_once: int = 1 << 21) -> np.ndarray:
-    """(draws, columns): sums over each draw's slots in a block of the rows' values (rows, columns)."""
+def slot_cells(base: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
+    """draw * size + position of every slot, as `slots` deals them, in 32-bit arithmetic that wraps by itself."""
+    steps = np.uint32(STEP)
+    with np.errstate(over="ignore"):
+        first = base.astype(np.uint32) - (np.cumsum(counts) - counts).astype(np.uint32) * steps
+        x = np.repeat(first, counts)
+        x += np.arange(len(x), dtype=np.uint32) * steps
+    # mix32, in place
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    x *= np.uint32(0xC2B2AE35)
+    x ^= x >> np.uint32(16)
+    if size & (size - 1) == 0:
+        cell = (x >> np.uint32(33 - size.bit_length())).astype(np.int64) if size > 1 else np.zeros(len(x), np.int64)
+    else:
+        wide = x.astype(np.uint64)
+        wide *= np.uint64(size)
+        wide >>= np.uint64(32)
+        cell = wide.view(np.int64)
+    cell += np.repeat(np.arange(len(base)) * size, counts)
+    return cell
+
+
+def resampled(seed: int, group: tuple, n: int, block: int, draws: int, values: np.ndarray, at_once: int = 1 << 16) -> np.ndarray:
+    """(draws, columns): sums over each draw's slots in a block of the rows' values (rows, columns).
+
+    So few draws at a time that the slots stay in a core's cache.
+    """
     counts, out = block_counts(seed, group, n, block, draws), np.zeros((draws, values.shape[1]))
-    step = max(1, at_once // max(1, int(counts.max(initial=1))))
+    bases, size = keyed(seed, group, range(draws), block), len(values)
+    step = max(1, at_once // max(1, int(counts.max(initial=1)), size))
     for k in range(0, draws, step):
-        some = range(k, min(draws, k + step))
-        draw, at = slots(keyed(seed, group, some, block), counts[k : some.stop], len(values))
-        times = np.bincount(draw * len(values) + at, minlength=len(some) * len(values)).reshape(len(some), len(values))
-        out[k : some.stop] = times @ values
+        some = slice(k, min(draws, k + step))
+        cell = slot_cells(bases[some], counts[some], size)
+        times = np.bincount(cell, minlength=(some.stop - k) * size).reshape(some.stop - k, size)
+        out[some] = times.astype(np.float64) @ values
     return out
 
 

@@ -20,6 +20,7 @@ from .quantiles import exact_quantiles
 from .ranking import blocked_row_number, text_block
 
 HELD = 16 << 20  # numbers of unsent sums in one task
+TOGETHER = 250  # draws whose sums travel in one row
 
 
 def _schema(df: DataFrame, names: list[str], *more: tuple[str, T.DataType]) -> T.StructType:
@@ -101,18 +102,20 @@ def _whole_blocks(frames, names: list[str]):
 def draw_sums(rows: DataFrame, stratum: list[str], values: str, draws: int, seed: int, block: Column | None = None) -> DataFrame:
     """(stratum, draw, sums): sums of the vector column ``values`` over each draw of the stratum's rows.
 
-    One row per recording. Strata are drawn within themselves.
+    One row per recording. Strata are drawn within themselves. Tasks send the sums of many draws in one
+    row, so adding them up costs by the number, not by the draw.
     """
     placed = _blocks(rows.select(*stratum, "recording_id", F.col(values).cast("array<double>").alias("_v")), stratum, block)
-    schema = _schema(placed, stratum, ("draw", T.IntegerType()), ("sums", T.ArrayType(T.DoubleType())))
+    schema = _schema(placed, stratum, ("_from", T.IntegerType()), ("sums", T.ArrayType(T.DoubleType())))
 
     def run(frames):
         held: dict[tuple, np.ndarray] = {}
 
         def flush():
             for key, total in held.items():
-                out = pd.DataFrame({"draw": np.arange(draws, dtype=np.int32), "sums": list(total)})
-                yield out.assign(**dict(zip(stratum, key)))[[*stratum, "draw", "sums"]]
+                at = np.arange(0, draws, TOGETHER, dtype=np.int32)
+                out = pd.DataFrame({"_from": at, "sums": [total[k : k + TOGETHER].ravel() for k in at]})
+                yield out.assign(**dict(zip(stratum, key)))[[*stratum, "_from", "sums"]]
             held.clear()
 
         for key, pdf in _whole_blocks(frames, [*stratum, "_block"]):
@@ -124,7 +127,10 @@ def draw_sums(rows: DataFrame, stratum: list[str], values: str, draws: int, seed
         yield from flush()
 
     partial = placed.mapInPandas(run, schema).withColumn("_s", array_to_vector("sums"))
-    return partial.groupBy(*stratum, "draw").agg(vector_to_array(Summarizer.sum(F.col("_s"))).alias("sums"))
+    whole = partial.groupBy(*stratum, "_from").agg(vector_to_array(Summarizer.sum(F.col("_s"))).alias("_t"))
+    n = f"least({TOGETHER}, {draws} - _from)"
+    each = F.expr(f"transform(sequence(0, {n} - 1), k -> struct(_from + k as draw, slice(_t, cast(k * (size(_t) div {n}) + 1 as int), cast(size(_t) div {n} as int)) as sums))")
+    return whole.select(*stratum, F.inline(each))
 
 
 def draw_recordings(rows: DataFrame, stratum: list[str], draws: int, seed: int, carry: list[str] = (), block: Column | None = None) -> DataFrame:
