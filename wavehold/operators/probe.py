@@ -51,9 +51,16 @@ def gram_rows(features: DataFrame, keys: list[str], classes: int) -> DataFrame:
     """Rows of [x-m 1]' [x-m 1 onehot(cls)] summed over all source-fit windows, with the mean m.
 
     Each task emits its partial sums; rows are then added per (key, row) with map-side
-    combining, so the shuffle is d rows per task, whatever the number of windows.
+    combining, so the shuffle is d rows per task, whatever the number of windows. Means are sent to
+    executors under a checked size, so that the windows stay where they are.
     """
-    source, mean = centred(source_only(features).select(*keys, "cls", "values"), keys)
+    rows = source_only(features).select(*keys, "cls", "values")
+    source, mean = centred(rows, keys)
+    size = mean.agg(F.sum(F.size("_m").cast("long")).alias("s")).first()["s"] or 0
+    sent = None
+    if keys and size <= BROADCAST:
+        sent = rows.sparkSession.sparkContext.broadcast({tuple(r[k] for k in keys): np.array(r["_m"]) for r in mean.collect()})
+        source = rows.withColumn("values", F.col("values").cast("array<double>"))
     schema = source.select(*keys).schema.add("r", T.IntegerType()).add("sums", T.ArrayType(T.DoubleType()))
 
     def run(batches):
@@ -71,10 +78,11 @@ def gram_rows(features: DataFrame, keys: list[str], classes: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, m = (_Vectors(batch.column(batch.schema.names.index(c))) for c in ("values", "_m"))
+            x = _Vectors(batch.column(batch.schema.names.index("values")))
+            m = _Vectors(batch.column(batch.schema.names.index("_m"))) if sent is None else None
             y = batch.column(batch.schema.names.index("cls")).to_numpy(zero_copy_only=False).astype(int)
             for key, rows in _groups(batch, keys):
-                z = np.column_stack([x.take(rows) - m.take(rows), np.ones(len(rows))])
+                z = np.column_stack([x.take(rows) - (m.take(rows) if sent is None else sent.value[key]), np.ones(len(rows))])
                 part = z.T @ np.column_stack([z, np.eye(classes)[y[rows]]])
                 if key in held:
                     held[key] += part

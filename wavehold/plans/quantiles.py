@@ -12,7 +12,7 @@ import sys
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..session import cut
+from ..session import cut, sized
 
 LIMIT = 500_000
 BUCKETS = 1024
@@ -56,7 +56,7 @@ def exact_quantiles(
     over = F.col("n") > limit
     if bounded or (sizes is not None and sizes.where(over).isEmpty()):
         return _plain(df, keys, value, probs, kind)
-    hot = df.groupBy(*keys).agg(F.count(value).alias("n")).where(over).select(*keys)
+    hot = sized(df.groupBy(*keys).agg(F.count(value).alias("n")).where(over).select(*keys))
     if hot.isEmpty():
         return _plain(df, keys, value, probs, kind)
     if not keys:
@@ -93,7 +93,7 @@ def refine_quantiles(
         F.lit(0).cast("long").alias("_base"),
         F.col("_n").alias("_cnt"),
     ).distinct()
-    target = cut(target)
+    target = sized(target)
     while not target.where((F.col("_cnt") > limit) & (F.col("_lo") < F.col("_hi"))).isEmpty():
         inside = data.join(target, group).where(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         # infinities and NaN (the largest, as Spark orders it) have buckets of their own
@@ -114,7 +114,7 @@ def refine_quantiles(
             .orderBy("_b")
             .rowsBetween(Window.unboundedPreceding, Window.currentRow)
         )
-        target = cut(
+        target = sized(
             counted.withColumn("_end", F.col("_base") + F.sum("_c").over(upto))
             .where((F.col("_rank") < F.col("_end")) & (F.col("_rank") >= F.col("_end") - F.col("_c")))
             .select(

@@ -8,6 +8,7 @@ and run side by side.
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..operators import costs, fit, metrics as m, perturb, probe, selection, transforms as tr, windows as wo
@@ -50,11 +51,16 @@ def _member_table(spark, members) -> DataFrame:
     return spark.createDataFrame(members, "fold_id string, config_id string, member string, family string, mode string")
 
 
-def fit_scalers(raw: DataFrame, roles: DataFrame, used: DataFrame) -> DataFrame:
+def fit_scalers(raw: DataFrame, kernels: dict, members: list[tuple]) -> DataFrame:
     """Offset and scale per (fold, raw map, mode), from source-fit windows."""
-    wanted = used.select("fold_id", "family", "mode").distinct()
-    d = raw.join(roles.where("role = 'source_fit'"), "recording_id")
-    pick = lambda mode: d.join(wanted.where(F.col("mode") == mode).drop("mode"), ["fold_id", "family"])
+    places = {name: k + 1 for k, name in enumerate(kernels)}
+    fitted = raw.select("recording_id", "maps", F.inline("roles")).where("role = 'source_fit'")
+
+    def pick(mode):
+        wanted = sorted({(fold, name, places[name]) for fold, _, _, name, m in members if m == mode})
+        wanted = _local(raw.sparkSession, wanted, fold_id=pa.string(), family=pa.string(), at=pa.int32())
+        return fitted.join(wanted, "fold_id").select("fold_id", "family", "role", "recording_id", F.element_at("maps", F.col("at")).alias("values"))
+
     keys = ["fold_id", "family"]
     ref = fit.energy_reference(pick("energy"), keys).select(*keys, F.lit("energy").alias("mode"), F.lit(0.0).alias("offset"), F.col("reference").alias("scale"))
     parts = [fit.fit_percentile(pick("percentile"), keys), fit.fit_zscore(pick("zscore"), keys), fit.fit_none(pick("none"), keys), ref]
@@ -64,25 +70,41 @@ def fit_scalers(raw: DataFrame, roles: DataFrame, used: DataFrame) -> DataFrame:
     return cut(out)
 
 
+def _local(spark, rows: list[tuple], **kinds) -> DataFrame:
+    """A table of a few rows whose size Spark knows, so that joins with it move nothing else."""
+    return spark.createDataFrame(pa.table([pa.array(list(c), kind) for c, kind in zip(zip(*rows) if rows else [[]] * len(kinds), kinds.values())], names=list(kinds)))
+
+
+def _one(x: Column, mode: Column, offset: Column, scale: Column) -> Column:
+    z = (x - offset) / scale
+    return (
+        F.when(mode == "percentile", F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0)))
+        .when(mode == "energy", F.log1p(F.greatest(x, F.lit(0.0)) / scale))
+        .otherwise(z)
+        .cast("float"))
+
+
 def _scaled(column: str) -> Column:
-    def one(x):
-        z = (x - F.col("offset")) / F.col("scale")
-        return (
-            F.when(F.col("mode") == "percentile", F.least(F.greatest(z, F.lit(0.0)), F.lit(1.0)))
-            .when(F.col("mode") == "energy", F.log1p(F.greatest(x, F.lit(0.0)) / F.col("scale")))
-            .otherwise(z)
-            .cast("float"))
-    return F.transform(column, one)
-
-
-def assembled(raw: DataFrame, roles: DataFrame, used: DataFrame, scalers: DataFrame) -> DataFrame:
-    """One feature vector per (fold, config, window): scaled maps in family order."""
-    d = raw.join(roles.where("role <> 'held_target'"), "recording_id").join(used, ["fold_id", "family"])
-    d = d.join(scalers, ["fold_id", "family", "mode"]).withColumn("values", _scaled("values"))
-    rank = F.instr(F.lit("WCESIQV"), F.col("member"))
-    g = d.groupBy("fold_id", "config_id", "role", "recording_id", "vec_id", "cls").agg(
-        F.array_sort(F.collect_list(F.struct(rank.alias("k"), "values"))).alias("_m"))
-    return g.select("fold_id", "config_id", "role", "recording_id", "vec_id", "cls", F.flatten("_m.values").alias("values"))
+    return F.transform(column, lambda x: _one(x, F.col("mode"), F.col("offset"), F.col("scale")))
+
+
+def assembled(raw: DataFrame, kernels: dict, members: list[tuple], scalers: DataFrame) -> DataFrame:
+    """One feature vector per (fold, config, window): scaled maps in family order, put together in the window's own row.
+
+    The scalers, a few numbers per fold and map, reach the driver.
+    """
+    places = {name: k + 1 for k, name in enumerate(kernels)}
+    fitted = {(r["fold_id"], r["family"], r["mode"]): (r["offset"], r["scale"]) for r in scalers.collect()}
+    recipes = {}
+    for fold, config, family, name, mode in sorted(members, key=lambda m: "WCESIQV".index(m[2])):
+        if (fold, name, mode) in fitted:
+            offset, scale = fitted[fold, name, mode]
+            recipes.setdefault((fold, config), []).append({"at": places[name], "mode": mode, "offset": offset, "scale": scale})
+    part = pa.struct([("at", pa.int32()), ("mode", pa.string()), ("offset", pa.float64()), ("scale", pa.float64())])
+    recipes = _local(raw.sparkSession, [(*key, parts) for key, parts in recipes.items()], fold_id=pa.string(), config_id=pa.string(), parts=pa.list_(part))
+    d = raw.select("recording_id", "vec_id", "cls", "maps", F.inline("roles")).where("role <> 'held_target'").join(recipes, "fold_id")
+    scaled = F.transform("parts", lambda p: F.transform(F.element_at("maps", p["at"]), lambda x: _one(x, p["mode"], p["offset"], p["scale"])))
+    return d.select("fold_id", "config_id", "role", "recording_id", "vec_id", "cls", F.flatten(scaled).alias("values"))
 
 
 def selection_f1(features: DataFrame, classes: int, role: str = "source_selection") -> DataFrame:
@@ -122,9 +144,11 @@ def objectives(windows: DataFrame, roles: DataFrame, configs, folds: list[str],
     alphas = cyclic_frequencies(windows, roles, counts, configs[0].frame)
     kernels, members = _raw_families(configs, folds, alphas)
     used = _member_table(spark, members)
-    raw = cut(tr.map_windows(windows, ["vec_id", "recording_id", "cls"], kernels))
-    scalers = fit_scalers(raw, roles, used)
-    f1 = selection_f1(assembled(raw, roles, used, scalers), classes)
+    # roles meet the short signals, not the maps
+    placed = windows.join(roles.groupBy("recording_id").agg(F.collect_list(F.struct("fold_id", "role")).alias("roles")), "recording_id")
+    raw = cut(tr.map_bank(placed, ["vec_id", "recording_id", "cls", "roles"], kernels))
+    scalers = fit_scalers(raw, kernels, members)
+    f1 = selection_f1(assembled(raw, kernels, members, scalers), classes)
     unstable = instability(windows, roles, kernels, used, scalers, seed)
     lengths = windows.select(F.size("i").alias("n")).distinct()
     cost = costs.representation_cost(lengths, configs).join(latencies, "config_id").withColumnRenamed("latency_ms", "batch1_latency_ms")
