@@ -86,6 +86,17 @@ def test_words_equal_library():
         assert [np.frombuffer(x, "<u4").tolist() for x in got] == [e.ids for e in library.encode_batch(texts[k : k + 100], add_special_tokens=False)]
 
 
+def test_words_that_fit_are_encoded_once():
+    own, learned = _WordEncoder(WORD, 100), []
+    learn = own.learn
+    own.learn = lambda parts: (learned.extend(parts), learn(parts))
+    batches = [" ".join(f"{a}{b}" for b in ("ab", "cd", "ef", "gh", "ij", "kl", "mn", "op", "qr", "st")) for a in "abcdefghijklmnopqr"]
+    for _ in range(4):
+        for k in range(0, 18, 6):
+            own.encode([t.encode() for t in batches[k : k + 6]])
+    assert len(learned) == 180
+
+
 @pytest.mark.parametrize("bits,parts", [(49_408, 3), (1 << 19, 1)])
 def test_blocks_equal_library(spark, odd, bits, parts):
     at, library = fresh_path(spark, "blocks"), Tokenizer.from_file(WORD)

@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import gc
+import os
 import string
 import sys
 import types
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -67,8 +70,8 @@ class _WordEncoder:
     White space ends words in this tokenizer and never reaches an id, so a text's ids are those of
     its parts between ASCII white space; and a part's last marks are a word of their own after
     letters. Letters only: many such words go to the library as one text, and each ends with an id
-    that marks a word's end. Other parts are encoded one by one. What was encoded is remembered in
-    two generations of `limit` parts: the old one goes when the young one is full.
+    that marks a word's end. Other parts are encoded one by one. The ids of all remembered parts lie in
+    one array; beyond twice `limit` parts only the `limit` used last are kept.
     """
 
     def __init__(self, path: str, limit: int):
@@ -78,65 +81,115 @@ class _WordEncoder:
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.young: dict[bytes, bytes] = {}
-        self.old: dict[bytes, bytes] = {}
+        self.at: dict[str, int] = {}  # part -> its place in the arrays, in that order
+        self.pool, self.first, self.size, self.used = np.zeros(0, "<u4"), *(np.zeros(0, np.int64) for _ in range(3))
+        self.clock = 0
 
-    def _single(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+    def _single(self, parts: list[str]) -> tuple[np.ndarray, list[int]]:
+        ids = [e.ids for e in self.tok.encode_batch_fast(parts, add_special_tokens=False)]
+        return np.array([i for own in ids for i in own], "<u4"), [len(own) for own in ids]
 
-    def _letters(self, words: list[str], joined: int = 256) -> list[bytes]:
-        out: list[bytes] = []
+    def _letters(self, words: list[str], joined: int = 256) -> tuple[np.ndarray, list[int]]:
+        flat, sizes = [], []
         groups = [words[k : k + joined] for k in range(0, len(words), joined)]
         for some, e in zip(groups, self.tok.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
             ids = np.array(e.ids, "<u4")
-            stop = (np.flatnonzero(self.ends[ids]) + 1).tolist()
+            stop = np.flatnonzero(self.ends[ids]) + 1
             if len(stop) == len(some) and stop[-1] == len(ids):
-                flat = ids.tobytes()
-                out += [flat[4 * a : 4 * b] for a, b in zip([0, *stop[:-1]], stop, strict=True)]
+                own = np.diff(stop, prepend=0).tolist()
             else:
-                out += self._single(some)
-        return out
-
-    def learn(self, parts: list[bytes]) -> None:
-        known, old = self.young, self.old
+                ids, own = self._single(some)
+            flat.append(ids)
+            sizes += own
+        return np.concatenate(flat), sizes
+
+    def _gathered(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts one after another, and where each part's ids begin."""
+        count = self.size[places]
+        stop = np.concatenate([[0], np.cumsum(count)])
+        return self.pool[np.repeat(self.first[places] - stop[:-1], count) + np.arange(stop[-1])], stop
+
+    def _remember(self, parts: list[str], ids: np.ndarray, sizes: np.ndarray | list[int]) -> None:
+        sizes = np.asarray(sizes, np.int64)
+        self.at.update(zip(parts, range(len(self.at), len(self.at) + len(parts))))
+        self.first = np.concatenate([self.first, len(self.pool) + np.cumsum(sizes) - sizes])
+        self.size, self.pool = np.concatenate([self.size, sizes]), np.concatenate([self.pool, ids])
+        self.used = np.concatenate([self.used, np.full(len(parts), self.clock)])
+
+    def _places(self, parts: list[str]) -> np.ndarray:
+        return np.fromiter(map(self.at.get, parts, repeat(-1)), np.int64, len(parts))
+
+    def _forget(self) -> None:
+        keep = np.sort(np.argsort(self.used, kind="stable")[-self.limit :])
+        parts = list(self.at)
+        (self.pool, stop), self.used = self._gathered(keep), self.used[keep]
+        self.at = {parts[k]: n for n, k in enumerate(keep.tolist())}
+        self.first, self.size = stop[:-1], np.diff(stop)
+
+    def learn(self, parts: list[str]) -> None:
+        """Remember parts that are not remembered yet, each given once."""
         letters, rest, ended = [], [], []
         for w in parts:
-            if w in old:
-                known[w] = old[w]
-                continue
-            text = w.decode()
-            stem = text.rstrip(string.punctuation)
+            stem = w.rstrip(string.punctuation)
             if not stem.isalpha():
-                rest.append((w, text))
-            elif len(stem) == len(text):
-                letters.append((w, text))
+                rest.append(w)
+            elif len(stem) == len(w):
+                letters.append(w)
             else:
-                ended.append((w, stem.encode(), text[len(stem):].encode()))
-        have = {w for w, _ in letters} | {w for w, _ in rest}
-        letters += [(s, s.decode()) for s in {s for _, s, _ in ended if s not in known} - have]
-        rest += [(t, t.decode()) for t in {t for _, _, t in ended if t not in known} - have]
+                ended.append((w, stem, w[len(stem) :]))
+        letters += {s for _, s, _ in ended if s not in self.at}.difference(letters)
+        rest += {t for _, _, t in ended if t not in self.at}.difference(rest)
         for some, encode in ((letters, self._letters), (rest, self._single)):
             for k in range(0, len(some), 8_192):
-                known.update(zip([w for w, _ in some[k : k + 8_192]], encode([t for _, t in some[k : k + 8_192]]), strict=True))
-        known.update((w, known[s] + known[t]) for w, s, t in ended)
+                self._remember(some[k : k + 8_192], *encode(some[k : k + 8_192]))
+        if ended:
+            words, *both = zip(*ended)
+            ids, stop = self._gathered(np.stack([self._places(x) for x in both], axis=1).ravel())
+            self._remember(list(words), ids, np.diff(stop[::2]))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
+        flat, at = self.encode_many(texts)
+        return [flat[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+
+    def encode_many(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, and where each text's ids begin (one place more than texts).
+
+        Arrow splits the texts and numbers their different parts; each of those is looked up once.
+        """
         # the library looks for special tokens before it lowers letters, and so must this
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
-        seen: set[bytes] = set()
-        for ws in split:
-            seen.update(ws)
-        self.learn(list(seen.difference(self.young)))
-        return [b"".join(map(self.young.__getitem__, ws)) for ws in split]
+        split = pc.ascii_split_whitespace(pa.array([t if b"<|" in t else t.lower() for t in texts], pa.large_string()))
+        parts = split.flatten().dictionary_encode()
+        seen = parts.dictionary.to_pylist()
+        if len(self.at) > 2 * self.limit:
+            self._forget()
+        self.clock += 1
+        places = self._places(seen)
+        new = np.flatnonzero(places < 0).tolist()
+        if new:
+            some = [seen[k] for k in new]
+            self.learn(some)
+            places[new] = self._places(some)
+        self.used[places] = self.clock
+        flat, stop = self._gathered(places[parts.indices.to_numpy()])
+        return flat, stop[split.offsets.to_numpy()]
+
+
+def _stretches(texts: list[bytes], most: int) -> Iterator[tuple[int, int]]:
+    """[first, last) of stretches with about `most` bytes, or of one larger text."""
+    first = held = 0
+    for k, t in enumerate(texts, 1):
+        held += len(t)
+        if held >= most or k == len(texts):
+            yield first, k
+            first, held = k, 0
 
 
 def _library_encoder(path: str, limit: int):
     state = _kept(f"words {path}")
     if not state:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and the library's own threads cost more than they save
         state["encoder"] = _WordEncoder(path, limit)
-    return state["encoder"].encode
+    return state["encoder"].encode_many
 
 
 def write_blocks(
@@ -157,13 +210,13 @@ def write_blocks(
         from pyspark import TaskContext
 
         encoder, part = _library_encoder(tokenizer, word_limit), TaskContext.get().partitionId()
-        end = np.array([end_id], "<u4").tobytes()
+        end = np.array([end_id], "<u4")
         block, held, pending = 0, 0, []
 
         def flush() -> pa.RecordBatch:
             nonlocal block, held, pending
-            docs, ids = [d for d, _ in pending], [np.frombuffer(x, "<u4") for _, x in pending]
-            starts = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype("<i8")
+            docs, ids = [d for d, _ in pending], [x for _, own in pending for x in (own, end)]
+            starts = np.concatenate([[0], np.cumsum([len(x) + 1 for _, x in pending])]).astype("<i8")
             known = [d for d in docs if d is not None]
             row = {
                 "part": [part], "block": [block], "first_doc": [known[0] if known else None], "last_doc": [known[-1] if known else None],
@@ -179,10 +232,11 @@ def write_blocks(
         try:
             for batch in batches:
                 ids, texts = batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist()
-                for k in range(0, len(ids), 512):
-                    for d, x in zip(ids[k : k + 512], encoder(texts[k : k + 512]), strict=True):
-                        pending.append((d, x + end))
-                        held += len(x) // 4 + 1
+                for k, n in _stretches(texts, 8 << 20):
+                    flat, at = encoder(texts[k:n])
+                    for d, a, b in zip(ids[k:n], at[:-1].tolist(), at[1:].tolist(), strict=True):
+                        pending.append((d, flat[a:b]))
+                        held += b - a + 1
                         if held >= block_ids:
                             yield flush()
             if pending:
