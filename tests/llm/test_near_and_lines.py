@@ -268,6 +268,35 @@ def test_odd_lines(spark, odd, none, tmp_path):
     assert through_query(spark, tmp_path / "none", none) == {}
 
 
+def test_crowded_buckets_and_clashing_ids_change_nothing(spark, lined, union, monkeypatch):
+    df = frame(spark, lined)
+    want = brute_lines(spark, lined, union)
+    groups = lambda crowd: {frozenset(r.ids) for r in fuzzy_lines.line_groups(df, crowd=crowd)[1].groupBy("component").agg(F.collect_list("id").alias("ids")).collect()}
+    assert groups(256) == groups(2) and len(groups(2)) > 5
+    own = fuzzy_lines._line_id
+    monkeypatch.setattr(fuzzy_lines, "_line_id", lambda norm, seed: F.length(norm).cast("long") if seed == 1 else own(norm, seed))
+    assert {r.doc_id: r.dropped for r in fuzzy_lines.repeated_lines(df).collect() if r.dropped} == want
+
+
+def test_ends_are_cut(spark):
+    rng = random.Random(3)
+    rows = [("".join(rng.choice("ab") for _ in range(rng.randint(0, 9))), "".join(rng.choice("ab") for _ in range(rng.randint(0, 9)))) for _ in range(200)]
+    rows += [("abc" * 90_000, "abc" * 90_000 + " tail"), ("", ""), ("é" * 5, "é" * 3)]
+    x, y = fuzzy_lines._ends_cut(F.col("x"), F.col("y"))
+    got = spark.createDataFrame(rows, "x string, y string").select("x", "y", x.alias("p"), y.alias("q")).collect()
+    assert all(edit_distance(r.p, r.q) == (5 if len(r.x) > 99 else edit_distance(r.x, r.y)) and (not r.p or not r.q or r.p[0] != r.q[0] and r.p[-1] != r.q[-1]) for r in got)
+
+
+def test_texts_of_lines_without_candidates_are_sent_once(spark, tmp_path):
+    rng = random.Random(17)
+    rows = [(i, "\n".join(" ".join(f"{rng.getrandbits(40):x}" for _ in range(rng.randint(8, 60))) for _ in range(4))) for i in range(1500)]
+    store = spark._jsc.sc().statusStore()
+    sent = lambda: (lambda e: sum(e.apply(k).totalShuffleWrite() for k in range(e.size())))(store.executorList(False))
+    before = sent()
+    through_query(spark, tmp_path, frame(spark, rows))
+    assert sent() - before < 2 * sum(len(t) for _, t in rows)
+
+
 def test_pigeonhole_keys(spark):
     rng = random.Random(9)
     for blocks in (4, 5, 7):
