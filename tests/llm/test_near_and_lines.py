@@ -297,6 +297,39 @@ def test_texts_of_lines_without_candidates_are_sent_once(spark, tmp_path):
     assert sent() - before < 2 * sum(len(t) for _, t in rows)
 
 
+def test_texts_meet_for_few_candidates_that_are_no_links(spark, tmp_path, monkeypatch):
+    # the same words in any order have one SimHash: all lines of a kind are candidates, hardly any are links
+    rng, tables = random.Random(5), {}
+    lines = []
+    for _ in range(4):
+        words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 5))) for _ in range(100)]
+        lines += [" ".join(rng.sample(words, 100)) for _ in range(120)]
+    keep = fuzzy_lines.stored
+    monkeypatch.setattr(fuzzy_lines, "stored", lambda df, name: tables.setdefault(name, keep(df, name)))
+    got = through_query(spark, tmp_path, frame(spark, [*enumerate(lines), (len(lines), lines[7].replace(" ", "  ")), (len(lines) + 1, " ".join([*lines[200].split(" ")[1::-1], *lines[200].split(" ")[2:]]))]))
+    assert {i: d for i, d in got.items() if d} == {480: [0], 481: [0]}
+    assert tables["line-pairs"].count() > 4 * 120 * 119 // 2 and tables["line-sharing"].count() < 100
+
+
+def test_pairs_that_share_too_few_pieces_are_no_links(spark):
+    rng, rows, near = random.Random(8), [], set()
+    for n in range(400):
+        letters = rng.choice(["ab", "abcdefghij", "aé\U0001f642\u65e5 "])
+        x = "".join(rng.choice(letters) for _ in range(rng.randint(9, 120)))
+        y = list(x)
+        for _ in range(rng.randint(0, len(x) // 7)):
+            at, kind = rng.randrange(len(y)), rng.random()
+            y[at : at + (kind < 0.7)] = "" if kind < 0.35 else rng.choice(letters)
+        rows += [(2 * n, x), (2 * n + 1, "".join(y) if n % 4 else "".join(rng.sample(x, len(x))))]
+        if edit_distance(x, rows[-1][1]) <= int(0.1 * max(len(x), len(rows[-1][1])) + 1e-9):
+            near.add(2 * n)
+    lines = spark.createDataFrame(rows, "id bigint, norm string")
+    pairs = spark.range(0, 800, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    left = {r.a for r in fuzzy_lines._sharing(pairs, lines, 0.9).collect()}
+    assert near <= left and len(near) > 100 and len(left) < 360
+    assert {r.a for r in fuzzy_lines._edited(pairs, lines, 0.9).collect()} == near
+
+
 def test_pigeonhole_keys(spark):
     rng = random.Random(9)
     for blocks in (4, 5, 7):
