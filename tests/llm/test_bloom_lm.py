@@ -99,3 +99,32 @@ def test_query_equals_brute_force_and_beats_the_base(spark):
     close(got, brute(rows), 0.05)
     kept = [r for r in got if r[1]]
     assert sum(r[6] for r in kept) > sum(r[5] for r in kept)  # held-out texts are likelier under the model
+
+
+def test_packed_keys_come_back():
+    rng = np.random.default_rng(5)
+    for values in ([], [0], [255, 0, 256], [2**64 - 1, 0, 7], rng.integers(0, 1 << 40, 1000)):
+        values = np.array(values, np.uint64)
+        assert (bloom_lm._wide(bloom_lm._narrow(values)) == values).all()
+    keys = np.unique(np.r_[rng.integers(0, 1 << 63, 5000).astype(np.uint64) * np.uint64(2), np.uint64(0), np.uint64(2**64 - 1)])
+    for segments in (1, 7, 300, 70_000):
+        order, packed = bloom_lm._to_segments(keys, segments)
+        assert sorted(order) == list(range(len(keys))) and [s for s, *_ in packed] == sorted({int(k) % segments for k in keys.tolist()})
+        assert all((bloom_lm._from_segment(p, s, segments) == keys[order[a:b]]).all() for s, a, b, p in packed)
+
+
+def test_a_filter_left_where_it_is_moves_few_bytes_and_leaves_no_shuffle_files(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    size = sum(len((r.text or "").encode()) for r in df.select("text").collect())
+    sc = spark._jsc.sc()
+    executors = lambda: (lambda e: [e.apply(k) for k in range(e.size())])(sc.statusStore().executorList(False))
+    sent = lambda: sum(e.totalShuffleWrite() for e in executors())
+    files = lambda: (lambda f: sum(f.apply(k).length() for k in range(f.size()) if f.apply(k).getName().startswith("shuffle_")))(sc.env().blockManager().diskBlockManager().getAllFiles())
+    before, left = sent(), files()
+    model = bloom_lm.train(df.where(~bloom_lm.held_out()))
+    trained = sent() - before
+    assert trained < size and files() - left < trained / 10  # n-grams, packed; gone when the filter is written
+    got = bloom_lm.score(df, model, broadcast_bytes=0)
+    assert sent() - before - trained < 1.6 * size and files() - left < trained / 10  # n-grams of the blocks and their levels, no texts
+    a, b = ({r.doc_id: r for r in rows.collect()} for rows in (got, bloom_lm.score(df, model)))
+    assert a.keys() == b.keys() and all(a[i][:5] == b[i][:5] and a[i][5:] == pytest.approx(b[i][5:], rel=1e-9) for i in a)
